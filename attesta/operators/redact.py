@@ -62,8 +62,7 @@ def _folded_case(text: Column) -> Column:
 
 def _steps(ruleset: RedactionRules) -> list[tuple[str, str, tuple[str, ...] | None]]:
     """(regex, replacement, gate words) in the order the rules apply; no words means no gate."""
-    n_extra = len(ruleset.extra_patterns)
-    gates = _PATTERN_WORDS + (None,) * n_extra
+    gates = _PATTERN_WORDS + (None,) * len(ruleset.extra_patterns)
     steps = [(pattern_regex(p), "[REDACTED]", g) for p, g in zip(ruleset.patterns, gates)]
     # An extra pattern's mark cannot spell a keyword, so keyword gates hold on the original text too.
     return steps + [(keyword_regex(k), f"[{k.upper()}_REDACTED]", (k,)) for k in ruleset.keywords]
@@ -80,19 +79,27 @@ def redact_text(text: Column, ruleset: RedactionRules = RedactionRules()) -> Col
     return F.when(contains_any(_folded_case(text), sorted(words)), out).otherwise(text)
 
 
-def _fold(df: DataFrame, text: str, ruleset: RedactionRules, count: bool) -> tuple[DataFrame, list[str]]:
-    """One projection per rule: each stage's text is computed once, and only where the rule's words occur."""
-    df = df.withColumns({"_t": F.col(text), "_folded": _folded_case(F.col(text))})
-    counts = []
-    for i, (regex, mark, gate) in enumerate(_steps(ruleset)):
-        hit = contains_any(F.col("_folded"), gate) if gate else F.lit(True)
-        if count:
-            name = f"_n{i}"
-            df = df.withColumn(name, F.when(hit, F.regexp_count("_t", F.lit(regex))).otherwise(0))
-            hit = F.col(name) > 0
-            counts.append(name)
-        df = df.withColumn("_t", F.when(hit, F.regexp_replace("_t", regex, mark)).otherwise(F.col("_t")))
-    return df.drop("_folded"), counts
+def _any_word(words: Sequence[str] | None) -> str:
+    return "(" + " OR ".join(f"contains(_folded, '{w}')" for w in words) + ")" if words else "true"
+
+
+def _fold(df: DataFrame, text: str, steps: Sequence[tuple[str, str, str]], count: bool) -> DataFrame:
+    """Apply (regex, mark, condition) steps in order to ``text``; adds ``_t`` and, on request, counts ``_n<i>``.
+
+    One nested projection per step: each stage's text is computed once and read twice (count, replace), and a regex
+    runs only where its condition holds. Written as one SQL text because it is analysed once, not once per step.
+    """
+    sql, args = f"SELECT *, `{text}` AS _t, lower(upper(`{text}`)) AS _folded FROM {{df}}", {}
+    for i, (regex, mark, when) in enumerate(steps):
+        args |= {f"p{i}": regex, f"m{i}": mark}
+        counted = f"CASE WHEN {when} THEN regexp_count(_t, :p{i}) ELSE 0 END AS _n{i}, " if count else ""
+        sql = (f"SELECT * EXCEPT (_t), {counted}"
+               f"CASE WHEN {when} THEN regexp_replace(_t, :p{i}, :m{i}) ELSE _t END AS _t FROM ({sql})")
+    return df.sparkSession.sql(f"SELECT * EXCEPT (_folded) FROM ({sql})", args, df=df)
+
+
+def _sql_steps(ruleset: RedactionRules) -> list[tuple[str, str, str]]:
+    return [(regex, mark, _any_word(words)) for regex, mark, words in _steps(ruleset)]
 
 
 def truncate_text(text: Column, limit: int = rules.MAX_TEXT) -> Column:
@@ -112,27 +119,24 @@ def redact(df: DataFrame, text: str = "text", path: str | None = None,
     if path is not None:
         marker = F.concat(F.lit("[FILE CONTENTS REDACTED: "), F.col(path), F.lit("]"))
         clean = F.when(is_sensitive_file(F.col(path), ruleset.extra_files), marker).otherwise(clean)
-    folded, _ = _fold(df, text, ruleset, count=False)
+    folded = _fold(df, text, _sql_steps(ruleset), count=False)
     return folded.withColumn(out, clean).drop("_t")
 
 
 def redact_by_language(df: DataFrame, text: str, language: str, path: str) -> DataFrame:
     """Redact a corpus of mixed languages: each row also sees its own language's patterns and file names."""
-    out = df.withColumns({"_t": F.col(text), "_folded": _folded_case(F.col(text))})
-    sensitive = is_sensitive_file(F.col(path))
-    steps = [(r, m, contains_any(F.col("_folded"), g)) for r, m, g in _steps(RedactionRules())]
-    extras = []
+    sensitive, extras = is_sensitive_file(F.col(path)), []
     for name in rules.LANGUAGES:
-        is_lang, extra = F.lower(F.col(language)) == name, rules_for_language(name)
-        extras += [(pattern_regex(p), "[REDACTED]", is_lang) for p in extra.extra_patterns]
+        extra = rules_for_language(name)
+        extras += [(pattern_regex(p), "[REDACTED]", f"lower(`{language}`) = '{name}'") for p in extra.extra_patterns]
         if extra.extra_files:
-            sensitive = sensitive | (is_lang & contains_any(F.lower(F.col(path)), [f.lower() for f in extra.extra_files]))
-    n = len(rules.SECRET_PATTERNS)
-    for regex, mark, gate in steps[:n] + extras + steps[n:]:
-        out = out.withColumn("_t", F.when(gate, F.regexp_replace("_t", regex, mark)).otherwise(F.col("_t")))
+            named = contains_any(F.lower(F.col(path)), [f.lower() for f in extra.extra_files])
+            sensitive = sensitive | ((F.lower(F.col(language)) == name) & named)
+    steps, n = _sql_steps(RedactionRules()), len(rules.SECRET_PATTERNS)
+    out = _fold(df, text, steps[:n] + extras + steps[n:], count=False)
     marker = F.concat(F.lit("[FILE CONTENTS REDACTED: "), F.col(path), F.lit("]"))
     clean = F.when(sensitive, marker).otherwise(truncate_text(F.col("_t")))
-    return out.withColumn("sanitized", clean).drop("_t", "_folded")
+    return out.withColumn("sanitized", clean).drop("_t")
 
 
 def rule_names(ruleset: RedactionRules = RedactionRules()) -> list[str]:
@@ -144,7 +148,8 @@ def redact_with_log(df: DataFrame, text: str = "text", path: str | None = None,
                     ruleset: RedactionRules = RedactionRules()) -> DataFrame:
     """Adds ``sanitized``, ``redactions`` (ordered log) and ``was_modified``."""
     keep = df.columns
-    folded, counts = _fold(df, text, ruleset, count=True)
+    folded = _fold(df, text, _sql_steps(ruleset), count=True)
+    counts = [f"_n{i}" for i in range(len(ruleset.patterns) + len(ruleset.keywords))]
     n_patterns = len(ruleset.patterns)
     entries = [F.when(F.col(c) > 0, F.concat(F.lit(f"Pattern {i + 1}: "), F.col(c).cast("string"),
                                             F.lit(" match(es) redacted")))
@@ -168,8 +173,9 @@ def redaction_report(df: DataFrame, text: str = "text", ruleset: RedactionRules
 
     All counters are one partial aggregate; only a single row is turned into the rule table.
     """
-    folded, counts = _fold(df.select(text), text, ruleset, count=True)
+    folded = _fold(df.select(text), text, _sql_steps(ruleset), count=True)
     names = rule_names(ruleset)
+    counts = [f"_n{i}" for i in range(len(names))]
     totals = folded.agg(
         F.count(F.lit(1)).alias("n_files"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"h{i}") for i, c in enumerate(counts)],

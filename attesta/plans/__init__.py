@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("redaction", "jobs")
+_MODULES = ("redaction", "registry", "jobs")
 
 
 def load() -> tuple[dict, dict]:

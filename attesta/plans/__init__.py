@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("redaction", "registry", "jobs")
+_MODULES = ("redaction", "registry", "metrics", "jobs")
 
 
 def load() -> tuple[dict, dict]:

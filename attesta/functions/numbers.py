@@ -14,3 +14,8 @@ def fixed(value: Column, digits: int) -> Column:
 def round_binary(value: Column, digits: int) -> Column:
     """Round a double the way its exact binary value rounds."""
     return fixed(value, digits).cast("double")
+
+
+def round_scaled(value: Column, digits: int) -> Column:
+    """Scale, round half to even, scale back: the rounding of array libraries."""
+    return F.rint(value * 10 ** digits) / 10 ** digits

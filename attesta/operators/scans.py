@@ -59,3 +59,26 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     cut = df.withColumn("_one", F.lit(1).cast("bigint"))
     cut = cut.withColumn("_range", bucket) if bucket is not None else cut_into_ranges(cut, order[0])
     return _totals_by_range(cut, keys, order, {name: "_one"}).drop("_one", "_range")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row ``q``: the linearly interpolated quantiles as an array, found by rank over the distinct values."""
+    counts = (df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    run = running_totals(counts, [], ["v"], {"upto": "n"})
+    run = run.withColumn("_total", counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar())
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("upto") > index, F.col("v")))
+
+    out = []
+    for share in shares:
+        place = (F.col("_total") - 1) * F.lit(float(share))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append(low + (high - low) * F.max(place - F.floor(place)))
+    return run.agg(F.array(*out).alias("q"))
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``median``."""
+    return exact_quantiles(df, column, [0.5]).select(F.col("q")[0].alias("median"))

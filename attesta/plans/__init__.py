@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("redaction", "registry", "metrics", "jobs")
+_MODULES = ("redaction", "registry", "features", "modelling", "metrics", "jobs")
 
 
 def load() -> tuple[dict, dict]:

@@ -49,18 +49,20 @@ def score_counts(df: DataFrame, keys: Sequence[str], y_true: str, score: str) ->
 def roc_auc(df: DataFrame, keys: Sequence[str], y_true: str, score: str) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null where only one class occurs."""
     counts = score_counts(df, keys, y_true, score)
-    run = running_totals(counts, keys, ["score"], {"neg_to_here": "neg"})
+    run = running_totals(counts, keys, ["score"], {"pos_to_here": "pos", "neg_to_here": "neg"},
+                         source=df.select(F.col(score).alias("score")))
     # Twice the number of (positive, negative) pairs ordered rightly, in exact integers.
     pairs = F.col("pos").cast(_WIDE) * (2 * F.col("neg_to_here") - F.col("neg")).cast(_WIDE)
-    sums = _grouped(run, keys, F.sum(pairs).cast("double").alias("_pairs"), F.sum("pos").cast("double").alias("_p"),
-                    F.sum("neg").cast("double").alias("_n"))
+    sums = _grouped(run, keys, F.sum(pairs).cast("double").alias("_pairs"),
+                    F.max("pos_to_here").cast("double").alias("_p"), F.max("neg_to_here").cast("double").alias("_n"))
     return sums.select(*keys, F.try_divide(F.col("_pairs"), 2 * F.col("_p") * F.col("_n")).alias("roc_auc"))
 
 
 def _descending(df: DataFrame, keys: Sequence[str], y_true: str, score: str) -> DataFrame:
     """Per distinct score from the highest down: true and false positives, and the totals of the group."""
     counts = score_counts(df, keys, y_true, score).withColumn("_down", -F.col("score"))
-    return running_totals(counts, keys, ["_down"], {"tp": "pos", "fp": "neg"}).drop("_down")
+    return running_totals(counts, keys, ["_down"], {"tp": "pos", "fp": "neg"},
+                          source=df.select((-F.col(score)).alias("_down"))).drop("_down")
 
 
 def _with_totals(run: DataFrame, df: DataFrame, keys: Sequence[str], y_true: str) -> DataFrame:

@@ -13,25 +13,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES = 64
 
 
-def cut_into_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+def cut_into_ranges(df: DataFrame, order: str, ranges: int = RANGES, source: DataFrame | None = None) -> DataFrame:
     """Add ``_range``, a monotone step function of ``order`` with about equally many rows per step.
 
-    Steps come from approximate quantiles; results stay exact because any monotone cut gives the same totals.
+    Steps come from approximate quantiles; results stay exact because any monotone cut gives the same totals. The
+    quantiles read ``source`` if given: a plain scan that has ``order``, cheaper than computing ``df`` twice.
     """
+    source = df if source is None else source
     quantiles = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)
-    steps = df.agg(F.array_distinct(F.coalesce(quantiles, F.array().cast(f"array<{dict(df.dtypes)[order]}>")))
-                   .alias("steps")).scalar()
+    steps = source.agg(F.array_distinct(F.coalesce(quantiles, F.array().cast(f"array<{dict(source.dtypes)[order]}>")))
+                       .alias("steps")).scalar()
     return (df.withColumn("_steps", steps)
             .withColumn("_range", F.size(F.filter("_steps", lambda b: b < F.col(order)))).drop("_steps"))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str],
-                   ranges: int = RANGES) -> DataFrame:
+                   ranges: int = RANGES, source: DataFrame | None = None) -> DataFrame:
     """Add inclusive running sums ``{new column: value column}`` per ``keys`` in ``order``.
 
     ``order[0]`` must be numeric and not null; the other order columns only break ties.
     """
-    return _totals_by_range(cut_into_ranges(df, order[0], ranges), keys, order, values).drop("_range")
+    return _totals_by_range(cut_into_ranges(df, order[0], ranges, source), keys, order, values).drop("_range")
 
 
 def _totals_by_range(cut: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]) -> DataFrame:
@@ -65,7 +67,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> Data
     """One row ``q``: the linearly interpolated quantiles as an array, found by rank over the distinct values."""
     counts = (df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
               .agg(F.count(F.lit(1)).alias("n")))
-    run = running_totals(counts, [], ["v"], {"upto": "n"})
+    run = running_totals(counts, [], ["v"], {"upto": "n"}, source=df.select(F.col(column).cast("double").alias("v")))
     run = run.withColumn("_total", counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar())
 
     def at(index: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("redaction", "registry", "lineage", "features", "modelling", "metrics", "jobs")
+_MODULES = ("redaction", "corpus", "registry", "lineage", "features", "modelling", "metrics", "jobs")
 
 
 def load() -> tuple[dict, dict]:

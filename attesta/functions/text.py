@@ -120,3 +120,8 @@ def matches_patterns(col: Column, patterns: Iterable[str]) -> Column:
     for pattern in patterns:
         out = out | (col.rlike(glob_regex(pattern)) if set("*?") & set(pattern) else col == F.lit(pattern))
     return out
+
+
+def base64_text(raw: Column) -> Column:
+    """Base64 in one line, whatever line length the session's encoder uses."""
+    return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))

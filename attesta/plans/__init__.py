@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("redaction", "corpus", "registry", "lineage", "documents", "features", "modelling", "metrics", "jobs")
+_MODULES = ("redaction", "corpus", "registry", "lineage", "documents", "features", "modelling", "metrics", "jobs", "storage")
 
 
 def load() -> tuple[dict, dict]:

@@ -186,10 +186,13 @@ def citation_details(models: DataFrame, artifacts: DataFrame, evidence: DataFram
     return rows.groupBy("doc_id", "citation_id").agg(last.alias("d")).select("doc_id", "citation_id", "d.*")
 
 
+FORMS_PER_VALUE = 32  # more than the printed forms of one value
+
+
 def metric_forms(metrics: DataFrame) -> DataFrame:
-    """metrics(scope, ord, citation_id, value) -> every printed form of every value: (scope, form, citation_id, ord).
+    """metrics(scope, ord, value) -> every printed form of every value: (scope, form, first, last).
 
-    ``ord`` is the form's first appearance, ``citation_id`` the one of its last.
+    ``ord`` numbers the metric rows of a scope; ``first`` and ``last`` are places, ord * FORMS_PER_VALUE + form number.
     """
     v = F.col("value").cast("double")
 
@@ -206,10 +209,9 @@ def metric_forms(metrics: DataFrame) -> DataFrame:
         text = fixed(v * 100, digits)
         forms += [F.when(share, F.concat(text, F.lit(s))) for s in ("%", " %", "")]
     finite = metrics.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = finite.select("scope", "citation_id", "ord", F.posexplode(F.array(*forms)).alias("nth", "form"))
-    place = F.struct("ord", "nth")
-    return (rows.filter(F.col("form").isNotNull()).groupBy("scope", "form")
-            .agg(F.max_by("citation_id", place).alias("citation_id"), F.min(place).alias("first")))
+    rows = finite.select("scope", "ord", F.posexplode(F.array(*forms)).alias("nth", "form")).filter(F.col("form").isNotNull())
+    place = F.col("ord").cast("bigint") * FORMS_PER_VALUE + F.col("nth")
+    return rows.groupBy("scope", "form").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
 
 def _candidates(text: Column) -> Column:
@@ -244,13 +246,15 @@ def _insert_markers(text: str, forms) -> str:
 def cite_metric_values(docs: DataFrame, key: str, scope: str, text: str, metrics: DataFrame) -> DataFrame:
     """Add ``cited``: a marker after every number of the text that prints a metric of the text's scope.
 
+    metrics(scope, ord, citation_id, value), ``ord`` unique in its scope; a form's citation is the one of its last row.
     Which forms occur in which text is an equality join; only the order-dependent insertion runs in Python, per text
     and with just its own forms.
     """
-    forms = metric_forms(metrics).withColumnRenamed("scope", "_scope")
-    hits = docs.select(F.col(key), F.col(scope).alias("_scope"), F.explode(_candidates(F.col(text))).alias("form"))
+    hits = docs.select(F.col(key), F.col(scope).alias("scope"), F.explode(_candidates(F.col(text))).alias("form"))
+    found = hits.join(metric_forms(metrics), ["scope", "form"]).withColumn("ord", F.floor(F.col("last") / FORMS_PER_VALUE))
+    named = found.join(metrics.select("scope", F.col("ord").cast("bigint").alias("ord"), "citation_id"), ["scope", "ord"])
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("size"), "first", "form", "citation_id")))
-    per_doc = hits.join(forms, ["_scope", "form"]).groupBy(key).agg(ordered.alias("_forms"))
+    per_doc = named.groupBy(key).agg(ordered.alias("_forms"))
 
     @F.pandas_udf("string")
     def insert(texts: pd.Series, form_lists: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ class RedactionRules:
     extra_patterns: tuple[str, ...] = ()
     extra_files: tuple[str, ...] = ()
     keywords: tuple[str, ...] = rules.SENSITIVE_KEYWORDS
-    max_length: int = rules.MAX_TEXT
+    max_length: int | None = rules.MAX_TEXT
     strict_private_ip: bool = False
 
     @property
@@ -102,7 +102,10 @@ def _sql_steps(ruleset: RedactionRules) -> list[tuple[str, str, str]]:
     return [(regex, mark, _any_word(words)) for regex, mark, words in _steps(ruleset)]
 
 
-def truncate_text(text: Column, limit: int = rules.MAX_TEXT) -> Column:
+def truncate_text(text: Column, limit: int | None = rules.MAX_TEXT) -> Column:
+    """The first ``limit`` characters and a note of how many are gone; no limit leaves the text whole."""
+    if limit is None:
+        return text
     cut = F.concat(F.substring(text, 1, limit), F.lit("\n\n... [TRUNCATED: "),
                    (F.length(text) - limit).cast("string"), F.lit(" characters removed]"))
     return F.when(F.length(text) > limit, cut).otherwise(text)
@@ -157,8 +160,9 @@ def redact_with_log(df: DataFrame, text: str = "text", path: str | None = None,
     entries += [F.when(F.col(c) > 0, F.lit(f"Keyword '{k}' redacted"))
                 for k, c in zip(ruleset.keywords, counts[n_patterns:])]
     size = F.length("_t")
-    entries.append(F.when(size > ruleset.max_length, F.concat(
-        F.lit("Truncated from "), size.cast("string"), F.lit(f" to {ruleset.max_length} characters"))))
+    if ruleset.max_length is not None:
+        entries.append(F.when(size > ruleset.max_length, F.concat(
+            F.lit("Truncated from "), size.cast("string"), F.lit(f" to {ruleset.max_length} characters"))))
     log, clean = F.array_compact(F.array(*entries)), truncate_text(F.col("_t"), ruleset.max_length)
     if path is not None:
         hit = is_sensitive_file(F.col(path), ruleset.extra_files)

@@ -187,11 +187,16 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
     the requested lengths by equality.
     """
     patterns = _purpose_patterns()
-    images = images.withColumn("_low", F.lower("path"))
+    images = images.select("scope", "seq", "path", F.lower("path").alias("_low"))
     entry = F.struct("seq", "path")
-    firsts = images.groupBy("scope").agg(
-        F.min(entry).alias("_any"),
-        *[F.min(F.when(F.contains("_low", F.lit(p)), entry)).alias(f"_p{i}") for i, p in enumerate(patterns)])
+    # Pattern 0 fits every image. First the lowest seq per scope and pattern (hash aggregation over numbers), then the
+    # paths at those few places.
+    fits = [F.lit(True), *[F.contains("_low", F.lit(p)) for p in patterns]]
+    lowest = images.groupBy("scope").agg(*[F.min(F.when(f, F.col("seq"))).alias(f"_s{i}") for i, f in enumerate(fits)])
+    places = lowest.select("scope", F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(len(fits))])).alias("_p", "seq"))
+    at_place = (images.join(places.filter(F.col("seq").isNotNull()), ["scope", "seq"])
+                .filter(F.array(*fits)[F.col("_p")]).groupBy("scope", "_p").agg(F.min(entry).alias("e")))
+    firsts = at_place.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("_p", "e"))).alias("_firsts"))
 
     names = (blocks.filter(F.coalesce("image_name", F.lit("")) != "")
              .select("scope", F.lower("image_name").alias("_name")).distinct())
@@ -206,11 +211,11 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
     hits = [F.col("_named")]
     for i, p in enumerate(patterns):
         words = [w for w, path_words in rules.IMAGE_PURPOSES.items() if p in path_words]
-        hits.append(F.when(contains_any(purpose, words), F.col(f"_p{i}")))
+        hits.append(F.when(contains_any(purpose, words), F.try_element_at("_firsts", F.lit(i + 1))))
     matched = F.array_min(F.array_compact(F.array(*hits)))
     joined = (blocks.withColumn("_name", F.lower("image_name")).join(named, ["scope", "_name"], "left")
               .join(firsts, "scope", "left"))
-    return joined.select(*blocks.columns, F.coalesce(matched, F.col("_any"))["path"].alias("path"),
+    return joined.select(*blocks.columns, F.coalesce(matched, F.try_element_at("_firsts", F.lit(0)))["path"].alias("path"),
                          matched.isNotNull().alias("matched"))
 
 

@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES = 64
 
 
+def _steps_below(steps: Column, value: Column, lo: int, hi: int) -> Column:
+    """How many of the sorted ``steps`` are below ``value``: a binary search spelled as nested conditions, so that it
+    compiles with the rest of the projection."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value > steps[mid], _steps_below(steps, value, mid + 1, hi)).otherwise(_steps_below(steps, value, lo, mid))
+
+
 def cut_into_ranges(df: DataFrame, order: str, ranges: int = RANGES, source: DataFrame | None = None) -> DataFrame:
     """Add ``_range``, a monotone step function of ``order`` with about equally many rows per step.
 
@@ -21,10 +30,9 @@ def cut_into_ranges(df: DataFrame, order: str, ranges: int = RANGES, source: Dat
     """
     source = df if source is None else source
     quantiles = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)
-    steps = source.agg(F.array_distinct(F.coalesce(quantiles, F.array().cast(f"array<{dict(source.dtypes)[order]}>")))
-                       .alias("steps")).scalar()
+    steps = source.agg(quantiles.alias("steps")).scalar()
     return (df.withColumn("_steps", steps)
-            .withColumn("_range", F.size(F.filter("_steps", lambda b: b < F.col(order)))).drop("_steps"))
+            .withColumn("_range", _steps_below(F.col("_steps"), F.col(order), 0, ranges - 1)).drop("_steps"))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str],

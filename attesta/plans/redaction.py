@@ -44,6 +44,9 @@ PATTERN_STEPS = [(_re2(p), "[REDACTED]") for p in rules.SECRET_PATTERNS]
 KEYWORD_STEPS = [(_keyword_re2(k), f"[{k.upper()}_REDACTED]") for k in rules.SENSITIVE_KEYWORDS]
 
 
+WHOLE = R.RedactionRules(max_length=None)
+
+
 def fold_sql(expr: str, steps) -> str:
     for pattern, mark in steps:
         expr = f"regexp_replace({expr}, '{pattern}', '{mark}', 'g')"
@@ -68,19 +71,19 @@ def _counted_sql(source: str, key: str, extra=()) -> str:
 
 @query("b01_redact_patterns", f"SELECT doc_id, {fold_sql('text', PATTERN_STEPS)} AS sanitized FROM ({plain(SEEDED)})")
 def b01(spark, sf_dir):
-    return R.redact(bind(spark, sf_dir, SEEDED), ruleset=R.RedactionRules(keywords=())).select("doc_id", "sanitized")
+    return R.redact(bind(spark, sf_dir, SEEDED), ruleset=R.RedactionRules(keywords=(), max_length=None)).select("doc_id", "sanitized")
 
 
 @query("b02_redact_keywords", f"""SELECT doc_id, {fold_sql('text', PATTERN_STEPS + KEYWORD_STEPS)} AS sanitized
   FROM ({plain(SEEDED)})""")
 def b02(spark, sf_dir):
-    return R.redact(bind(spark, sf_dir, SEEDED)).select("doc_id", "sanitized")
+    return R.redact(bind(spark, sf_dir, SEEDED), ruleset=WHOLE).select("doc_id", "sanitized")
 
 
 @query("b02_redact_conversations", f"""SELECT conv_id, turn, {fold_sql('text', PATTERN_STEPS + KEYWORD_STEPS)} AS sanitized
   FROM conversations""")
 def b02_conversations(spark, sf_dir):
-    return R.redact(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "sanitized")
+    return R.redact(table(spark, sf_dir, "conversations"), ruleset=WHOLE).select("conv_id", "turn", "sanitized")
 
 
 @query("b03_truncate_text", f"SELECT doc_id, {truncate_sql('text', 2000)} AS clipped FROM documents")

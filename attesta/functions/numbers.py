@@ -6,7 +6,10 @@ from pyspark.sql import Column, functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """``%.<digits>f`` text, rounded half-even on the exact binary value."""
+    """``%.<digits>f`` text, rounded half-even on the exact binary value.
+
+    Where the text needs more than 17 significant digits, the digits are those of the shortest decimal form.
+    """
     pattern = "0." + "0" * digits if digits else "0"
     return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 

@@ -55,9 +55,21 @@ def keyword_regex(keyword: str) -> str:
     return "(?iu)" + unicode_regex(rf"\b\w*{keyword}\w*\s*[=:]\s*[\"']?[^\"'\s\n]+[\"']?")
 
 
+# The letters besides the ASCII ones that case-insensitive matching equates with an ASCII letter; lower() folds the
+# Kelvin sign by itself.
+_FOLDS = (("ſ", "s"), ("ı", "i"), ("İ", "i"))
+
+
+def _folded_sql(text: str) -> str:
+    for letter, plain in _FOLDS:
+        text = f"replace({text}, '{letter}', '{plain}')"
+    return f"lower({text})"
+
+
 def _folded_case(text: Column) -> Column:
-    # upper then lower is the folding that case-insensitive Unicode matching uses (long s, Kelvin sign).
-    return F.lower(F.upper(text))
+    for letter, plain in _FOLDS:
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
 
 
 def _steps(ruleset: RedactionRules) -> list[tuple[str, str, tuple[str, ...] | None]]:
@@ -89,7 +101,7 @@ def _fold(df: DataFrame, text: str, steps: Sequence[tuple[str, str, str]], count
     One nested projection per step: each stage's text is computed once and read twice (count, replace), and a regex
     runs only where its condition holds. Written as one SQL text because it is analysed once, not once per step.
     """
-    sql, args = f"SELECT *, `{text}` AS _t, lower(upper(`{text}`)) AS _folded FROM {{df}}", {}
+    sql, args = f"SELECT *, `{text}` AS _t, {_folded_sql(f'`{text}`')} AS _folded FROM {{df}}", {}
     for i, (regex, mark, when) in enumerate(steps):
         args |= {f"p{i}": regex, f"m{i}": mark}
         counted = f"CASE WHEN {when} THEN regexp_count(_t, :p{i}) ELSE 0 END AS _n{i}, " if count else ""

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attesta import rules
 from attesta.functions import citations as C
 from attesta.functions.text import contains_any, is_blank, safe_float, strip, WORD
-from attesta.operators.scans import ranked
+from attesta.operators.scans import ranked, running_totals
 
 # --- fixed values: defaults and limits of a spec ---
 AUTHORS, CITATION_STYLE, PER_MODEL = "Data Science Team", "numeric", ": per_model"
@@ -281,7 +281,8 @@ _HEADER = rf"^##\s+([\p{{Nd}}.]+)\.\s+([^\n]+)"
 def notebook_sections(cells: DataFrame) -> DataFrame:
     """Content cells with the section they belong to: (notebook, cell_no, cell_type, source, number, title).
 
-    A notebook is one file, so its cells fit one task. Cells before the first header and layout cells are dropped.
+    A cell's section is the number of headers up to it, an exact running count that splits long notebooks over tasks.
+    Cells before the first header and layout cells are dropped.
     """
     source, body = F.col("source"), strip(F.col("source"))
     markdown, code = F.col("cell_type") == "markdown", F.col("cell_type") == "code"
@@ -292,12 +293,13 @@ def notebook_sections(cells: DataFrame) -> DataFrame:
                          | (F.contains(source, F.lit("---")) & (F.length(body) < 10)))
     exporter = code & F.contains(source, F.lit("NotebookExporter"))
     kind = F.when(setup, "skip").when(header, "header").when(layout | exporter, "skip").otherwise("content")
-    opened = F.when(kind == "header", F.struct(F.regexp_extract(body, _HEADER, 1).alias("number"),
-                                               F.regexp_extract(body, _HEADER, 2).alias("title")))
-    window = Window.partitionBy("notebook").orderBy("cell_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = cells.withColumn("_kind", kind).withColumn("_h", F.last(opened, ignorenulls=True).over(window))
-    return filled.filter((F.col("_kind") == "content") & F.col("_h").isNotNull()).select(
-        "notebook", "cell_no", "cell_type", "source", "_h.number", "_h.title")
+    marked = cells.select("notebook", "cell_no", "cell_type", "source", kind.alias("_kind"),
+                          (kind == "header").cast("bigint").alias("_header"))
+    counted = running_totals(marked, ["notebook"], ["cell_no"], {"_section": "_header"}, source=cells.select("cell_no"))
+    opened = counted.filter(F.col("_kind") == "header").select(
+        "notebook", "_section", F.regexp_extract(body, _HEADER, 1).alias("number"), F.regexp_extract(body, _HEADER, 2).alias("title"))
+    return (counted.filter(F.col("_kind") == "content").join(opened, ["notebook", "_section"])
+            .select("notebook", "cell_no", "cell_type", "source", "number", "title"))
 
 
 def _filled_lines(source: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta import rules
 from attesta.functions.numbers import round_scaled
 from attesta.operators.scans import exact_median, ranked
+from attesta.session import broadcast_if_small, materialise
 
 
 def flag(condition: Column) -> Column:
@@ -134,13 +135,14 @@ def raw_ratio_features(df: DataFrame) -> DataFrame:
 def label_table(df: DataFrame, column: str) -> DataFrame:
     """(value, index): indexes follow the sorted order of the distinct values, however many there are."""
     values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return ranked(values, [], ["value"], "index", bucket=F.ascii("value")).select(
-        "value", (F.col("index") - 1).alias("index"))
+    # Values are range-partitioned and written once, so that the partition numbers stay what they are.
+    cut = materialise(values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "labels")
+    return ranked(cut, [], ["value"], "index", bucket=F.col("_part")).select("value", (F.col("index") - 1).alias("index"))
 
 
 def label_encode(df: DataFrame, column: str, labels: DataFrame, out: str | None = None) -> DataFrame:
     """Replace a category by its index; a value the labels do not know is an error."""
-    keyed = labels.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+    keyed = broadcast_if_small(labels.select(F.col("value").alias("_value"), F.col("index").alias("_index")))
     unseen = F.raise_error(F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(column, F.lit("null"))))
     joined = df.join(keyed, F.col(column) == F.col("_value"), "left")
     return joined.withColumn(out or column, F.when(F.col("_index").isNull(), unseen.cast("bigint"))
@@ -190,7 +192,7 @@ def split_stratified(df: DataFrame, key: str, label: str, share: float = 0.2, se
     bucket = F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int")
     numbered = ranked(hashed, [label], ["_hash", key], "_rank", bucket=bucket)
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.round(F.count(F.lit(1)) * share).alias("_size"))
-    return (numbered.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_label")))
             .withColumn("is_test", F.col("_rank") <= F.col("_size")).drop("_hash", "_rank", "_label", "_size"))
 
 
@@ -208,7 +210,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = n / (k x rows of the label)."""
     counts = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg((F.sum("_n") / F.count(F.lit(1))).alias("t")).scalar()
-    weights = counts.select("_label", (totals / F.col("_n")).alias("weight"))
+    weights = broadcast_if_small(counts.select("_label", (totals / F.col("_n")).alias("weight")))
     return df.join(weights, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 

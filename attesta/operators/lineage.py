@@ -17,7 +17,7 @@ from attesta.functions import citations as C
 from attesta.functions.numbers import fixed
 from attesta.functions.text import SPACE, squeeze, unicode_regex
 from attesta.operators.scans import ranked
-from attesta.session import materialise
+from attesta.session import materialise, spread
 
 BLOCKS_PER_RANGE = 1024
 DETAIL_FIELDS = ("type", "run_id", "experiment_id", "experiment_name", "run_name", "code_path", "code_symbol",
@@ -250,6 +250,7 @@ def cite_metric_values(docs: DataFrame, key: str, scope: str, text: str, metrics
     Which forms occur in which text is an equality join; only the order-dependent insertion runs in Python, per text
     and with just its own forms.
     """
+    docs, metrics = spread(docs), spread(metrics)
     hits = docs.select(F.col(key), F.col(scope).alias("scope"), F.explode(_candidates(F.col(text))).alias("form"))
     found = hits.join(metric_forms(metrics), ["scope", "form"]).withColumn("ord", F.floor(F.col("last") / FORMS_PER_VALUE))
     named = found.join(metrics.select("scope", F.col("ord").cast("bigint").alias("ord"), "citation_id"), ["scope", "ord"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta import rules
 from attesta.functions.text import contains_any, unicode_regex
+from attesta.session import spread
 
 # Words of which a text must hold at least one (case folded) before the rule at the same position can match.
 # Replacements only insert bracketed marks, so a word missing from the original stays missing at every stage.
@@ -101,6 +102,7 @@ def _fold(df: DataFrame, text: str, steps: Sequence[tuple[str, str, str]], count
     One nested projection per step: each stage's text is computed once and read twice (count, replace), and a regex
     runs only where its condition holds. Written as one SQL text because it is analysed once, not once per step.
     """
+    df = spread(df)
     sql, args = f"SELECT *, `{text}` AS _t, {_folded_sql(f'`{text}`')} AS _folded FROM {{df}}", {}
     for i, (regex, mark, when) in enumerate(steps):
         args |= {f"p{i}": regex, f"m{i}": mark}

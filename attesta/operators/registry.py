@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from attesta import rules
 from attesta.functions.numbers import fixed
 from attesta.functions.text import basename, contains_any, matches_patterns
+from attesta.session import spread
 
 LOG_MODEL_TAG = "mlflow.log-model"
 PROJECT_TAG = "project_id"
@@ -187,7 +188,7 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
     the requested lengths by equality.
     """
     patterns = _purpose_patterns()
-    images = images.select("scope", "seq", "path", F.lower("path").alias("_low"))
+    images = spread(images.select("scope", "seq", "path")).withColumn("_low", F.lower("path"))
     entry = F.struct("seq", "path")
     # Pattern 0 fits every image. First the lowest seq per scope and pattern (hash aggregation over numbers), then the
     # paths at those few places.

@@ -186,10 +186,15 @@ def split_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def hash_range(hashed: Column) -> Column:
+    """One of 4096 equal ranges, in the order of the hash text."""
+    return F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
+
+
 def split_stratified(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly round(share x count) rows of every label, chosen by a seeded hash of a unique key."""
     hashed = df.withColumn("_hash", split_hash(F.col(key), seed))
-    bucket = F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int")
+    bucket = hash_range(F.col("_hash"))
     numbered = ranked(hashed, [label], ["_hash", key], "_rank", bucket=bucket)
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.round(F.count(F.lit(1)) * share).alias("_size"))
     return (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_label")))
@@ -241,12 +246,14 @@ def smote_oversample(df: DataFrame, key: str, label: str, features: Sequence[str
 
     point = F.array(*[F.col(f).cast("double") for f in features])
     minority = df.filter(F.col(label) == 1).select(F.col(key).alias("_key"), point.alias("_x"))
-    rng = np.random.default_rng(seed)
+    rng, ranges = np.random.default_rng(seed), 2
+    while ranges < min(m / rows_per_range, 8192):
+        ranges *= 2
     pairs = None
     for _ in range(projections):
         line = [float(v) for v in rng.normal(size=len(features))]
         shadow = sum((F.col("_x")[i] * v for i, v in enumerate(line[1:], 1)), F.col("_x")[0] * line[0])
-        cut = cut_into_ranges(minority.withColumn("_p", shadow), "_p", max(2, min(1000, m // rows_per_range + 2)))
+        cut = cut_into_ranges(minority.withColumn("_p", shadow), "_p", ranges)
         window = Window.partitionBy("_range").orderBy("_p", "_key").rowsBetween(-reach, reach)
         near = cut.select("_key", "_x", F.collect_list(F.struct(F.col("_key").alias("k"), F.col("_x").alias("x")))
                           .over(window).alias("near"))
@@ -259,7 +266,7 @@ def smote_oversample(df: DataFrame, key: str, label: str, features: Sequence[str
     base, extra = divmod(wanted, m)
     hashed = nearest.withColumn("_hash", split_hash(F.col("_key"), seed))
     numbered = ranked(hashed, [], ["_hash", "_key"], "_rank",
-                      bucket=F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
+                      bucket=hash_range(F.col("_hash")))
     copies = numbered.withColumn("_copies", F.lit(base) + (F.col("_rank") <= extra).cast("int")).filter("_copies > 0")
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     dice = F.xxhash64(F.lit(seed), F.col("_key"), F.col("_copy"))

@@ -112,11 +112,13 @@ def job_status(df: DataFrame, sources: Sequence[str], unreachable: str | None =
 
 def apply_status(jobs: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     """Copy each run's latest status event (run_ref, raw_status, ts) onto its active job."""
-    latest = (events.groupBy("run_ref").agg(F.max_by("raw_status", "ts").alias("_raw"))
-              .filter(F.coalesce("run_ref", F.lit("")) != ""))
-    joined = jobs.join(latest, "run_ref", "left")
-    local = normalise_status(F.col("_raw"))
-    live = F.col("_raw").isNotNull() & F.col("status").isin(*rules.RUNNING_STATUSES) & ~_no_run()
+    latest = (events.filter(F.coalesce("run_ref", F.lit("")) != "").groupBy(F.col("run_ref").alias("_key"))
+              .agg(F.max_by("raw_status", "ts").alias("_raw")))
+    active = F.coalesce(F.col("status").isin(*rules.RUNNING_STATUSES), F.lit(False)) & ~_no_run()
+    # Jobs that need no status get a key of their own: missing run references would otherwise meet in one task.
+    key = F.when(active, F.concat(F.lit("r"), F.col("run_ref"))).otherwise(F.concat(F.lit("-"), F.col("id")))
+    joined = jobs.withColumn("_key", key).join(latest.withColumn("_key", F.concat(F.lit("r"), F.col("_key"))), "_key", "left")
+    live, local = F.col("_raw").isNotNull(), normalise_status(F.col("_raw"))
     done = live & local.isin(*rules.COMPLETED_STATUSES)
     new = {"status": F.when(live, local).otherwise(F.col("status")),
            "remote_status": F.when(live, F.col("_raw")).otherwise(F.col("remote_status")),

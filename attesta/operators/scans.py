@@ -10,7 +10,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 8192
+
+
+def range_count(df: DataFrame) -> int:
+    """A power of two that keeps pace with the session's shuffle partitions."""
+    wanted, ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_RANGES
+    while ranges < min(wanted, MAX_RANGES):
+        ranges *= 2
+    return ranges
 
 
 def _steps_below(steps: Column, value: Column, lo: int, hi: int) -> Column:
@@ -22,21 +30,34 @@ def _steps_below(steps: Column, value: Column, lo: int, hi: int) -> Column:
     return F.when(value > steps[mid], _steps_below(steps, value, mid + 1, hi)).otherwise(_steps_below(steps, value, lo, mid))
 
 
-def cut_into_ranges(df: DataFrame, order: str, ranges: int = RANGES, source: DataFrame | None = None) -> DataFrame:
+def _steps_below_many(steps: Column, value: Column, ranges: int) -> Column:
+    """The same for many steps, as a fold over the halving jump widths; ``ranges`` is a power of two."""
+    widths, width = [], ranges // 2
+    while width:
+        widths.append(F.lit(width))
+        width //= 2
+    return F.aggregate(F.array(*widths), F.lit(0), lambda at, w: F.when(
+        F.try_element_at(steps, at + w) < value, at + w).otherwise(at))
+
+
+def cut_into_ranges(df: DataFrame, order: str, ranges: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Add ``_range``, a monotone step function of ``order`` with about equally many rows per step.
 
     Steps come from approximate quantiles; results stay exact because any monotone cut gives the same totals. The
     quantiles read ``source`` if given: a plain scan that has ``order``, cheaper than computing ``df`` twice.
+    ``ranges`` must be a power of two.
     """
-    source = df if source is None else source
+    source, ranges = (df if source is None else source), ranges or range_count(df)
     quantiles = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)
-    steps = source.agg(quantiles.alias("steps")).scalar()
-    return (df.withColumn("_steps", steps)
-            .withColumn("_range", _steps_below(F.col("_steps"), F.col(order), 0, ranges - 1)).drop("_steps"))
+    out = df.withColumn("_steps", source.agg(quantiles.alias("steps")).scalar())
+    steps, value = F.col("_steps"), F.col(order)
+    number = (_steps_below(steps, value, 0, ranges - 1) if ranges <= MIN_RANGES
+              else _steps_below_many(steps, value, ranges))
+    return out.withColumn("_range", number).drop("_steps")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str],
-                   ranges: int = RANGES, source: DataFrame | None = None) -> DataFrame:
+                   ranges: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Add inclusive running sums ``{new column: value column}`` per ``keys`` in ``order``.
 
     ``order[0]`` must be numeric and not null; the other order columns only break ties.

@@ -90,6 +90,10 @@ def test_running_totals_and_quantiles(spark):
     got = {r["i"]: r["upto"] for r in running_totals(df, [], ["v", "i"], {"upto": "one"}).collect()}
     place = {i: n + 1 for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert got == place
+    many = running_totals(df, [], ["v", "i"], {"upto": "one"}, ranges=256)
+    assert {r["i"]: r["upto"] for r in many.collect()} == place
+    few = running_totals(df, [], ["v", "i"], {"upto": "one"}, ranges=2)
+    assert {r["i"]: r["upto"] for r in few.collect()} == place
     assert {r["i"]: r["rank"] for r in ranked(df, [], ["v", "i"]).collect()} == place
     ordered = sorted(values)
 

@@ -147,7 +147,7 @@ def expand_sections(specs: DataFrame, models: DataFrame) -> DataFrame:
         "spec_id", "hints", "s", F.col("s.pos").cast("string").alias("number"),
         F.lit(None).cast("string").alias("model_name"), F.lit(None).cast("string").alias("run_id"))
     each = specs.select("spec_id", "project", "hints", F.filter("sections", lambda x: x["per_model"]).alias("sections"))
-    each = each.filter(F.size("sections") > 0).join(numbered, "project").select(
+    each = each.join(numbered, "project").select(
         "spec_id", "hints", "j", F.col("name").alias("model_name"), "run_id", F.explode("sections").alias("s"))
     each = each.withColumn("number", F.concat(F.col("s.pos").cast("string"), F.lit("."), F.col("j").cast("string"))).drop("j")
     out = once.unionByName(each)

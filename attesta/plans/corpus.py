@@ -171,7 +171,7 @@ def c08(spark, sf_dir):
     return cards.select("path", S.card_text(*[F.col(n) for n in names]).alias("card"))
 
 
-_SECRET = "concat(substr(text, 1, 200), chr(10), 'password = ', md5(cast(doc_id AS string)))"
+_SECRET = "concat(text, chr(10), 'password = ', md5(cast(doc_id AS string)))"
 
 
 @query("c09_sanitise_snippets", f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[FILE CONTENTS REDACTED: conf/.env]' ELSE
@@ -243,7 +243,7 @@ def c13(spark, sf_dir):
 
 
 # A conversation is a project, a turn a batch, its words the batch's findings.
-BATCHES_SPARK = """SELECT conv_id AS project, turn AS batch_id, slice(split(text, ' '), 1, 6) AS features,
+BATCHES_SPARK = """SELECT conv_id AS project, turn AS batch_id, split(text, ' ') AS features,
   array(role, concat('m', cast(turn % 2 AS string))) AS model_classes, array(role) AS data_sources,
   array(concat('t', cast(turn AS string))) AS transformations, array(concat('e', cast(turn AS string)), role) AS evidence,
   map(role, cast(turn AS string), 'seed', concat('s', cast(turn AS string))) AS hyperparameters,
@@ -258,8 +258,8 @@ FILE_RANKS = """SELECT DISTINCT conv_id AS project, concat('f', cast(conv_id % 3
     LEFT JOIN ({plain(FILE_RANKS)}) f USING (project, path) GROUP BY ALL),
   b AS (SELECT conv_id AS project, turn, role, text, rk, row_number() OVER (PARTITION BY conv_id ORDER BY rk, turn) AS o,
     count(*) OVER (PARTITION BY conv_id) AS n FROM conversations JOIN r ON r.project = conv_id AND r.batch_id = turn),
-  w AS (SELECT project, o, n, unnest(string_split(text, ' ')[1:6]) AS word, unnest(range(len(string_split(text, ' ')[1:6]))) AS p FROM b),
-  fw AS (SELECT project, string_agg(word, '~' ORDER BY f) AS features FROM (SELECT project, word, min(o * 100 + p) AS f FROM w WHERE n > 1
+  w AS (SELECT project, o, n, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS p FROM b),
+  fw AS (SELECT project, string_agg(word, '~' ORDER BY f) AS features FROM (SELECT project, word, min(o * 1000000 + p) AS f FROM w WHERE n > 1
       GROUP BY ALL) GROUP BY project UNION ALL SELECT project, string_agg(word, '~' ORDER BY p) FROM w WHERE n = 1 GROUP BY project),
   m AS (SELECT project, o, role AS v, 0 AS p FROM b UNION ALL SELECT project, o, 'm' || turn % 2, 1 FROM b),
   mw AS (SELECT project, string_agg(v, '~' ORDER BY f) AS model_classes FROM (SELECT project, v, min(o * 100 + p) AS f FROM m GROUP BY ALL)

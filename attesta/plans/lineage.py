@@ -61,7 +61,7 @@ def _columns(text):
     return [f"{b} END AS {n}" for b, n in zip(bodies, names)]
 
 
-NAMES = r"""SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN substr(line, 1, 40) WHEN 2 THEN '--__..' ELSE
+NAMES = r"""SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN line WHEN 2 THEN '--__..' ELSE
   concat('été ', line) END AS name FROM {lines}"""
 _SANITIZE = r"""coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\-]', '_', 'g'), '_+', '_', 'g'),
   '_'), ''), 'Unknown')"""

@@ -81,15 +81,24 @@ def _steps(ruleset: RedactionRules) -> list[tuple[str, str, tuple[str, ...] | No
     return steps + [(keyword_regex(k), f"[{k.upper()}_REDACTED]", (k,)) for k in ruleset.keywords]
 
 
+_NEVER = "(?!)"
+
+
 def redact_text(text: Column, ruleset: RedactionRules = RedactionRules()) -> Column:
-    """The redacted text as one expression, for short texts and use inside ``transform``."""
-    out, words = text, set()
-    for regex, mark, gate in _steps(ruleset):
-        out = F.regexp_replace(out, regex, mark)
-        words.update(gate or ())
-    if ruleset.extra_patterns:
+    """The redacted text as one expression, for use inside ``transform``.
+
+    The folded text is bound once; a rule whose words are missing gets a pattern that fails at once.
+    """
+    def fold(bound: Column) -> Column:
+        out = bound["text"]
+        for regex, mark, words in _steps(ruleset):
+            pattern = F.lit(regex) if words is None else F.when(
+                contains_any(bound["folded"], words), F.lit(regex)).otherwise(F.lit(_NEVER))
+            out = F.regexp_replace(out, pattern, F.lit(mark))
         return out
-    return F.when(contains_any(_folded_case(text), sorted(words)), out).otherwise(text)
+
+    both = F.array(F.struct(text.alias("text"), _folded_case(text).alias("folded")))
+    return F.transform(both, fold)[0]
 
 
 def _any_word(words: Sequence[str] | None) -> str:

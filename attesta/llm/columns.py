@@ -31,6 +31,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that are no part of a letter or digit; bytes beyond ASCII count as letters.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -88,12 +90,13 @@ def inverse_powers(n: int) -> np.ndarray:
 
 class Words:
     """The words of one slice: ``start``/``end`` byte places, ``key`` 64-bit hashes, ``doc`` row of each word and
-    ``first`` the number of the first word of each row (one more entry at the end)."""
+    ``first`` the number of the first word of each row (one more entry at the end). ``alnum``: ASCII other than letters
+    and digits separates words too."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold_case: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold_case: bool = False, alnum: bool = False):
         if fold_case:  # A-Z only
             data = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
-        word = ~IS_SPACE[data]
+        word = ~(IS_MARK if alnum else IS_SPACE)[data]
         before = np.empty(len(word), dtype=bool)
         before[:1] = False
         before[1:] = word[:-1]

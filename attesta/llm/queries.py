@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import fm_index, suffix_sort
+from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, mixing, near_dedup, pseudo_likelihood, suffix_sort, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+d AS (SELECT h, max(page_id) AS r, list_reduce(list_transform(range(1, 41), lambda i: lpad(
+        bin(instr('0123456789abcdef', h[i:i]) - 1), 4, '0')), lambda a, b: a || b) AS bits FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_sum(list_transform(range(0, 5), lambda j: CASE WHEN bits[5 * i + j + 1:5 * i + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END))::BIGINT + 1,
+         1)), '') AS payload_digest,
+       CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> r THEN r END AS refers_to
+FROM p JOIN d USING (h)
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written, read back and identified by its payload."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that bring each source to its target."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 @query(r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
@@ -49,3 +71,59 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes kept of every document once repeated 400-byte strings are removed."""
     return suffix_sort.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=400).drop("kept")
+
+
+@query(r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+e AS MATERIALIZED (SELECT doc_id, md5(unnest(g)) AS h FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+                       WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+""")
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are at least 80 % alike."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80).drop("class")
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+""")
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of highest integer inner product with each query vector."""
+    return kd_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage within a fifth of word edits of a benchmark item, with the item."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from typing import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
@@ -272,7 +272,7 @@ def extract_text(pages: DataFrame, markup: str = "html", into: str = "text") ->
     """``pages`` with the visible text of ``markup`` as ``into`` (replaced if there). Null stays null; an empty page, or one
     without visible text, gives an empty text. Rows are independent: nothing is shuffled."""
     @F.pandas_udf("string")
-    def shown(sources: Iterator) -> Iterator:
+    def shown(sources: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in sources:
             yield series.map(page_text)
     return pages.withColumn(into, shown(F.col(markup)))

@@ -10,11 +10,14 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from attesta.llm.scratch import fresh
 
 ROWS_PER_LANGUAGE = 4_000
 MAX_ENTRIES = 400_000
@@ -117,7 +120,7 @@ class Model:
         return got
 
 
-def fit(labelled: DataFrame, text: str, lang: str, pick, rows_per_language: int = ROWS_PER_LANGUAGE,
+def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_language: int = ROWS_PER_LANGUAGE,
         max_entries: int = MAX_ENTRIES) -> Model:
     """Fit on the ``rows_per_language`` rows of each language with the least ``pick``; of (token, language) counts the
     ``max_entries`` largest stay. What reaches the driver is bounded by these two."""
@@ -142,19 +145,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = "struct<lang_pred:string,score:double>"
 
     @F.pandas_udf(schema)
-    def judge(texts: Iterator) -> Iterator:
-        import pandas as pd
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             yield pd.DataFrame([shared.value.predict(x) for x in series], columns=["lang_pred", "score"])
 
-    from attesta.llm.scratch import fresh
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score")))
     verdict, = fresh(docs, "verdict")
     return docs.withColumn(verdict, judge(F.col(text))).withColumns(
         {"lang_pred": F.col(f"{verdict}.lang_pred"), "score": F.col(f"{verdict}.score")}).drop(verdict)
 
 
-def held_out(key: str):
+def held_out(key: str) -> Column:
     """Rows kept from training: crc32 of the id as text is divisible by five (a null id is not held out)."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 

@@ -19,7 +19,7 @@ from attesta.llm.columns import Words, slices, text_column
 from attesta.llm.repeats import covered, repeated_spans, with_spans
 
 GRAM = 8
-SHARD_SYMBOLS = 1 << 19
+SHARD_BYTES = 1 << 22
 
 
 class WaveletMatrix:
@@ -119,7 +119,7 @@ def repeated_windows(bodies: list[np.ndarray], anchors: np.ndarray, asked: np.nd
 
 def repeated_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """Spans (row_id, row_hash, first, past) of words covered by a window of ``window`` words that starts anywhere else."""
-    return repeated_spans(docs, key, text, "words", window, min(GRAM, window), repeated_windows, SHARD_SYMBOLS)
+    return repeated_spans(docs, key, text, "words", window, min(GRAM, window), repeated_windows, SHARD_BYTES)
 
 
 def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:

@@ -1,9 +1,12 @@
 """Windows that occur more than once, over whole corpora: anchors bring equal windows together.
 
 A window of ``window`` symbols is named by its anchor, its least ``gram``-symbol hash. Neighbouring windows that share
-an anchor form one segment, so a corpus yields a row per segment (about one per seven symbols of the gram count), not per
-window, and equal windows always lie in segments of one anchor. Equal segments (they share all their windows) are settled
-by sorting; only distinct segments of one anchor go on to a resolver, which compares their windows within shards.
+an anchor form one segment, so a corpus yields a row per segment, not per window, and equal windows always lie in segments
+of one anchor. Equal segments (they share all their windows) are settled by sorting; only distinct segments of one anchor
+go on to a resolver, which compares their windows within shards.
+
+No anchor fills a task: the segments of anchors with more than ``HOT_ROWS`` rows are counted by body (partial sums) instead
+of sorted, and their distinct ones are counted window by window, so shards hold at most that many segments of an anchor.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ SEGMENT = "row_id long, row_hash int, anchor long, body long, place long"
 SETTLED = SEGMENT + ", role int"
 SPAN = "row_id long, row_hash int, first long, past long"
 _SPAN_BITS = 16  # place = first window * 2^16 + number of windows
+HOT_ROWS = 10_000
+#: Roles: 0 repeated, 1 to be compared, 2 stands for repeated ones; 4 more: single windows of an anchor with many rows.
+_WINDOWS = 4
 
 
 def _symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +126,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(unit: str, window: int):
-    """The symbols of the asked segments of each text."""
+    """The asked segments of each text: their bytes, or window by window (the window's hash as anchor)."""
+    names = ["row_id", "row_hash", "anchor", "place", "role", "symbols"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(batch.schema.get_field_index("asked"))
@@ -128,29 +136,52 @@ def _cut_out(unit: str, window: int):
             anchors, places, roles = (np.asarray(flat.field(i)) for i in range(3))
             ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for row, end, data, offsets in slices(text_column(batch, "text")):
-                symbols, first = _symbols(data, offsets, unit)
-                lo, hi = bounds[row], bounds[end]
+                if unit == "words":
+                    words = Words(data, offsets)
+                    symbols, first, start, past_byte = words.key, words.first, words.start, words.end
+                else:
+                    symbols, first = data, offsets
+                mine = slice(bounds[row], bounds[end])
                 doc = np.repeat(np.arange(end - row), np.diff(bounds[row:end + 1]))
-                begin = (places[lo:hi] >> _SPAN_BITS) + first[doc]
-                past = begin + (places[lo:hi] & ((1 << _SPAN_BITS) - 1)) + window - 1
+                anchor, place, role = anchors[mine], places[mine], roles[mine]
+                begin = (place >> _SPAN_BITS) + first[doc]
+                count = place & ((1 << _SPAN_BITS) - 1)
+                whole = np.flatnonzero(role < _WINDOWS)
+                low, high = begin[whole], (begin + count + window - 1)[whole]
+                if unit == "words":
+                    low, high = start[low], past_byte[high - 1]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row + doc]), pa.array(hashes[row + doc]), pa.array(anchors[lo:hi]),
-                    pa.array(places[lo:hi]), pa.array(roles[lo:hi]),
-                    pa.array([symbols[b:p].tobytes() for b, p in zip(begin, past)], pa.binary())],
-                    names=["row_id", "row_hash", "anchor", "place", "role", "symbols"])
+                    pa.array(ids[row + doc[whole]]), pa.array(hashes[row + doc[whole]]), pa.array(anchor[whole]),
+                    pa.array(place[whole]), pa.array(role[whole]),
+                    pa.array([data[a:b].tobytes() for a, b in zip(low, high)], pa.binary())], names=names)
+                split = np.flatnonzero(role >= _WINDOWS)
+                if len(split):
+                    each = np.repeat(split, count[split])
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(count[split]) - count[split], count[split])
+                    hashed = gram_hashes(_codes(symbols), window)[begin[each] + step]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[row + doc[each]]), pa.array(hashes[row + doc[each]]), pa.array(hashed.view(np.int64)),
+                        pa.array((((place[each] >> _SPAN_BITS) + step) << _SPAN_BITS) | 1), pa.array(role[each]),
+                        pa.nulls(len(each), pa.binary())], names=names)
     return run
 
 
-def _resolve(unit: str, window: int, resolver: Resolver, shard_symbols: int):
-    """Shards of whole anchors of about ``shard_symbols`` symbols: spans of the windows that the resolver finds twice."""
-    kind = np.uint64 if unit == "words" else np.uint8
+def _bodies(column: pa.Array, unit: str) -> list[np.ndarray]:
+    out = []
+    for _, _, data, offsets in slices(column, 1 << 22):
+        symbols, first = _symbols(data, offsets, unit)
+        out += [symbols[a:b] for a, b in zip(first[:-1], first[1:])]
+    return out
+
 
+def _resolve(unit: str, window: int, resolver: Resolver, shard_bytes: int):
+    """Shards of whole anchors of about ``shard_bytes`` bytes: spans of the windows that the resolver finds twice."""
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(parts).combine_chunks()
         role = np.asarray(rows["role"])
         if not (role == 1).any():
             return None
-        bodies = [np.frombuffer(b, dtype=kind) for b in rows["symbols"].to_pylist()]
+        bodies = _bodies(rows["symbols"].chunk(0).cast(pa.large_binary()), unit)
         marks = resolver(bodies, np.asarray(rows["anchor"]), role == 1, window)
         first, past, at = [], [], []
         begin = np.asarray(rows["place"]) >> _SPAN_BITS
@@ -170,8 +201,8 @@ def _resolve(unit: str, window: int, resolver: Resolver, shard_symbols: int):
             if batch.num_rows == 0:
                 continue
             anchor = np.asarray(batch.column(batch.schema.get_field_index("anchor")))
-            length = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("symbols")))) // kind().itemsize
-            if held >= shard_symbols and anchor[0] != last:
+            length = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("symbols"))))
+            if held >= shard_bytes and anchor[0] != last:
                 if (done := shard(parts)) is not None:
                     yield done
                 parts, held = [], 0
@@ -179,7 +210,7 @@ def _resolve(unit: str, window: int, resolver: Resolver, shard_symbols: int):
             for end in np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)):
                 held += int(length[at:end].sum())
                 at = end
-                if held >= shard_symbols and end < len(anchor):
+                if held >= shard_bytes and end < len(anchor):
                     if (done := shard([*parts, batch.slice(start, end - start)])) is not None:
                         yield done
                     parts, held, start = [], 0, end
@@ -192,23 +223,35 @@ def _resolve(unit: str, window: int, resolver: Resolver, shard_symbols: int):
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, unit: str, window: int, gram: int, resolver: Resolver,
-                   shard_symbols: int) -> DataFrame:
+                   shard_bytes: int) -> DataFrame:
     """Spans (row_id, row_hash, first, past) of symbols covered by windows that start more than once in ``docs``."""
     named = docs.select(*identity(key, text), F.col(text).alias("text"))
-    segments = named.mapInArrow(_find_segments(unit, window, gram), SEGMENT)
-    settled = materialise(segments.repartition("anchor").sortWithinPartitions("anchor", "body")
-                          .mapInArrow(_settle, SETTLED), "segments")
+    segments = materialise(named.mapInArrow(_find_segments(unit, window, gram), SEGMENT), "segments")
+    hot = materialise(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("anchor"), "hot")
+    sorted_out = (segments.join(hot, "anchor", "left_anti").select(*segments.columns).repartition("anchor")
+                  .sortWithinPartitions("anchor", "body").mapInArrow(_settle, SETTLED))
+    crowd = segments.join(hot, "anchor", "left_semi").select(*segments.columns)
+    counted = crowd.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "place")).alias("one"))
+    repeated = crowd.join(counted.filter("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi")
+    settled = materialise(
+        sorted_out.unionByName(repeated.withColumn("role", F.lit(0))).unionByName(counted.select(
+            "one.row_id", "one.row_hash", "anchor", "body", "one.place",
+            (F.when(F.col("n") == 1, 1).otherwise(2) + _WINDOWS).alias("role"))), "settled")
     asked = (settled.filter("role > 0").groupBy("row_id", "row_hash")
              .agg(F.collect_list(F.struct("anchor", "place", "role")).alias("asked")))
-    bodies = (asked.join(named, ["row_id", "row_hash"]).select("row_id", "row_hash", "text", "asked")
-              .mapInArrow(_cut_out(unit, window), "row_id long, row_hash int, anchor long, place long, role int, symbols binary"))
-    found = (bodies.repartition("anchor").sortWithinPartitions("anchor")
-             .mapInArrow(_resolve(unit, window, resolver, shard_symbols), SPAN))
+    bodies = materialise(
+        asked.join(named, ["row_id", "row_hash"]).select("row_id", "row_hash", "text", "asked").mapInArrow(
+            _cut_out(unit, window), "row_id long, row_hash int, anchor long, place long, role int, symbols binary"), "bodies")
     place = F.col("place")
     begin = F.shiftright(place, _SPAN_BITS)
-    sure = settled.filter("role = 0").select("row_id", "row_hash", begin.alias("first"), (
-        begin + place.bitwiseAND((1 << _SPAN_BITS) - 1) + F.lit(window - 1)).alias("past"))
-    return sure.unionByName(found)
+    past = begin + place.bitwiseAND((1 << _SPAN_BITS) - 1) + F.lit(window - 1)
+    span = ["row_id", "row_hash", begin.alias("first"), past.alias("past")]
+    found = (bodies.filter(F.col("role") < _WINDOWS).repartition("anchor").sortWithinPartitions("anchor")
+             .mapInArrow(_resolve(unit, window, resolver, shard_bytes), SPAN))
+    windows = bodies.filter(F.col("role") >= _WINDOWS)
+    twice = windows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found_hot = windows.filter(F.col("role") == 1 + _WINDOWS).join(twice, "anchor", "left_semi").select(*span)
+    return settled.filter("role = 0").select(*span).unionByName(found).unionByName(found_hot)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attesta.llm.columns import Words, slices, text_column
-from attesta.llm.repeats import covered, repeated_spans, with_spans
+from attesta.llm.columns import text_column
+from attesta.llm.repeats import covered, repeated_spans, schema_with, with_spans
 
 GRAM = 8
 SHARD_BYTES = 1 << 22
@@ -123,31 +123,28 @@ def repeated_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
-    """Per document: its id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and
-    ``kept_sha256``. Null and empty texts have no words; a repeated row is one more document, so its windows repeat.
-    Rows need not have an id."""
-    spans = with_spans(docs.select(key, text), repeated_word_spans(docs, key, text, window), key, text)
+    """``docs`` with ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and ``kept_sha256``; columns
+    of these names are replaced. Null and empty texts have no words; a repeated row is one more document, so its windows
+    repeat. Rows need not have an id."""
+    added = {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string"}
+    spans = repeated_word_spans(docs, key, text, window)
+    rows = with_spans(docs.drop(*(c for c in docs.columns if c.lower() in added)), spans, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), text_column(batch, "text")
-            removals = batch.column(2).to_pylist()
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": []}
-            for row, value in enumerate(column.to_pylist()):
+            out: dict[str, list] = {name: [] for name in added}
+            removals = batch.column(batch.num_columns - 1).to_pylist()
+            for value, gone_spans in zip(text_column(batch, text).to_pylist(), removals):
                 words = (value or b"").split()  # bytes split at exactly these six spaces
                 n = len(words)
-                if removals[row]:
-                    gone = covered(n, np.array([s["first"] for s in removals[row]]),
-                                   np.array([s["past"] for s in removals[row]]))
+                if gone_spans:
+                    gone = covered(n, np.array([s["first"] for s in gone_spans]), np.array([s["past"] for s in gone_spans]))
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                out["n_words"].append(n)
-                out["n_removed"].append(n - len(words))
-                out["kept_text"].append(kept.decode("utf-8", "replace"))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(v, t) for v, t in zip(
-                out.values(), (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["key", *out])
-
-    rows = spans.selectExpr(f"`{key}` as key", f"`{text}` as text", "spans")
-    return rows.mapInArrow(run, "key long, n_words long, n_removed long, kept_text string, kept_sha256 string")\
-        .withColumnRenamed("key", key)
+                for name, got in zip(out, (n, n - len(words), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest())):
+                    out[name].append(got)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.string())))],
+                names=[*batch.schema.names[:-1], *out])
+
+    return rows.mapInArrow(run, schema_with(rows, added))

@@ -84,18 +84,14 @@ def tilts(counts: DataFrame, targets: DataFrame, most: float = MOST, steps: int
     return now.select("source", "tilt")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
-        share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with ``size`` (words of the text, null: 0), ``source_size``, ``target``, ``rate``, ``copies`` (whole, at
-    most ``most`` rounded up) and ``taken`` (copies * size); a column of ``docs`` with one of these names is replaced.
-    Rows without words have rate one and one copy. Repeated rows count as documents of their own. A rerun over the same
-    rows takes the same copies."""
-    new = ("size", "source_size", "target", "rate", "copies", "taken")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
-    pick, kin = fresh(docs, "pick_", "kin_")
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
-                              pick: F.xxhash64(F.col(key), F.col(text)), kin: F.col(source)})
-    slim = materialise(sized.select(F.col(kin).alias("source"), "size", F.col(pick).alias("pick"), F.col(key).alias("id")), "sizes")
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+           weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per document: ``id, source, size`` (words of the text, null: 0), ``source_size, target, rate, copies``
+    (whole, at most ``most`` rounded up), ``taken`` (copies * size) and ``pick`` (a hash of id and text). Rows without
+    words have one copy. Repeated rows count as documents of their own. A rerun over the same rows takes the same copies."""
+    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("kin"), F.xxhash64(F.col(key), F.col(text)).alias("pick"),
+                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    slim = materialise(sized.select(F.col("kin").alias("source"), "size", "pick", "id"), "sizes")
     counts = materialise(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     targets = materialise(source_targets(counts, weights, share, most), "targets")
     tilt = tilts(counts, targets, most)
@@ -119,7 +115,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.join(held, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("piece") == F.col("p")))
     place = F.col("ahead") + F.row_number().over(W.partitionBy("source", "size", "piece").orderBy("pick", "id")) - 1
     done = F.col("before") + F.col("rate") * place
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(
+    whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(
         F.least(F.floor(done + F.col("rate") + 0.5) - F.floor(done + 0.5), F.lit(math.ceil(most)))).cast("long")
-    return rows.select("source", "size", "id", "source_size", "target", "rate", copies.alias("copies"), "pick",
-                       (copies * F.col("size")).alias("taken"))
+    return rows.select("id", "source", "size", "source_size", "target", "rate", whole.alias("copies"),
+                       (whole * F.col("size")).alias("taken"), "pick")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` with ``size, source_size, target, rate, copies`` and ``taken`` of each row (columns of these names are
+    replaced); see ``copies``."""
+    new = ["size", "source_size", "target", "rate", "copies", "taken"]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
+    pick, same, nth = fresh(docs, "pick_", "same_", "nth_")
+    taken = copies(docs, key, text, source, **options).select(
+        F.col("pick").alias(pick), F.col("id").alias(same), *new,
+        F.row_number().over(W.partitionBy("pick", "id").orderBy("copies")).alias(nth))
+    other = fresh(taken, "pick__", "nth__")
+    named = docs.withColumn(other[0], F.xxhash64(F.col(key), F.col(text)))
+    named = named.withColumn(other[1], F.row_number().over(W.partitionBy(other[0], key).orderBy(other[0])))
+    return named.join(taken, (F.col(other[0]) == F.col(pick)) & (F.col(other[1]) == F.col(nth)) & F.col(key).eqNullSafe(F.col(same)))\
+        .select(*docs.columns, *new)

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column
 from attesta.llm.graph import connected_components
-from attesta.llm.scratch import identity, materialise
+from attesta.llm.scratch import fresh, identity, materialise
 
 COORDINATES = 64
 #: Signatures of a pair at the threshold agree in fewer places with a chance of about 3e-6.
@@ -167,7 +167,7 @@ def _confirm(size: int, threshold_pct: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold_pct: int = 80,
                     trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Per document: its id, ``n_shingles`` (its set's size), ``class`` (equal for equal sets, null for empty ones),
+    """Per document: its id, ``row_id`` and ``row_hash`` (see ``scratch.identity``), ``n_shingles`` (its set's size), ``class`` (equal for equal sets, null for empty ones),
     ``component_id`` (the least id in reach over links of Jaccard similarity ``threshold_pct`` percent or more, its own
     included) and ``kept`` (the id is the component's). Documents without words have no links; rows without an id are
     components by their text and are named by the least id there is. Repeated rows are equal documents."""
@@ -265,7 +265,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         .withColumn("root", F.coalesce("root", "class"))
     named_roots = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
     of_class = rooted.join(named_roots, "root").select("class", "component_id")
-    out = sketches.select("label", "n_shingles", "class").join(of_class, "class", "left")
+    out = sketches.select("row_id", "row_hash", "label", "n_shingles", "class").join(of_class, "class", "left")
     component = F.coalesce("component_id", "label")
-    return out.select(F.col("label").alias(key), "n_shingles", "class", component.alias("component_id"),
+    return out.select(F.col("label").alias(key), "row_id", "row_hash", "n_shingles", "class", component.alias("component_id"),
                       F.col("label").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, that with its least id; of repeated rows one stays."""
+    row_id, row_hash, nth = fresh(docs, "row_id", "row_hash", "nth")
+    kept = near_duplicates(docs, key, text, **options).filter("kept").select(F.col("row_id").alias(row_id), F.col("row_hash").alias(row_hash))
+    named = docs.withColumns(dict(zip((row_id, row_hash), identity(key, text)))).join(kept, [row_id, row_hash], "left_semi")
+    same = W.partitionBy(row_id, row_hash, F.xxhash64(text)).orderBy(row_hash)
+    return named.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(*docs.columns)

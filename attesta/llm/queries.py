@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, mixing, near_dedup, pseudo_likelihood, suffix_sort, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document that bring each source to its target."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select(
+    return mixing.copies(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
@@ -64,13 +65,15 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept of every document once repeated 35-word windows are removed."""
-    return fm_index.remove_repeated_words(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_index.remove_repeated_words(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query()
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes kept of every document once repeated 400-byte strings are removed."""
-    return suffix_sort.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=400).drop("kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_sort.remove_repeated_bytes(docs, window=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query(r"""
@@ -89,7 +92,8 @@ FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c
 """)
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 80 % alike."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80).drop("class")
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("""
@@ -127,3 +131,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four fifths of the labelled ones."""
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

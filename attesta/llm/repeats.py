@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from attesta.llm.columns import Words, gram_hashes, inverse_powers, mix64, powers, slices, sliding_argmin, text_column
-from attesta.llm.scratch import identity, materialise
+from attesta.llm.scratch import fresh, identity, materialise
 
 Resolver = Callable[[list[np.ndarray], np.ndarray, np.ndarray, int], list[np.ndarray]]
 SEGMENT = "row_id long, row_hash int, anchor long, body long, place long"
@@ -255,10 +255,20 @@ def repeated_spans(docs: DataFrame, key: str, text: str, unit: str, window: int,
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with the spans of each row (null: none) as ``spans``."""
-    by_row = spans.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
-    row_id, row_hash = identity(key, text)
-    return docs.withColumns({"row_id": row_id, "row_hash": row_hash}).join(by_row, ["row_id", "row_hash"], "left")
+    """``docs`` with the spans of each row (null: none) as its last column."""
+    row_id, row_hash, last = fresh(docs, "row_id", "row_hash", "spans")
+    by_row = spans.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("first", "past")).alias(last))\
+        .withColumnsRenamed({"row_id": row_id, "row_hash": row_hash})
+    named = docs.withColumns(dict(zip((row_id, row_hash), identity(key, text))))
+    return named.join(by_row, [row_id, row_hash], "left").select(*docs.columns, last)
+
+
+def schema_with(rows: DataFrame, added: dict[str, str]) -> T.StructType:
+    """The columns of ``rows`` but its last one, and those ``added``."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[:-1]])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return schema
 
 
 def covered(n: int, first: np.ndarray, past: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from attesta.llm.columns import BYTE_CODES, gram_hashes, inverse_powers, powers, sliding_argmin, text_column
-from attesta.llm.repeats import covered, repeated_spans, with_spans
+from attesta.llm.repeats import covered, repeated_spans, schema_with, with_spans
 
 GRAM = 64
 SHARD_BYTES = 1 << 21
@@ -133,28 +133,27 @@ def repeated_byte_spans(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400) -> DataFrame:
-    """Per document: its id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (the remaining
-    bytes) and ``kept_sha256``. A null text is empty; a repeated row is one more document."""
-    spans = with_spans(docs.select(key, text), repeated_byte_spans(docs, key, text, window), key, text)
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (the remaining bytes) and
+    ``kept_sha256``; columns of these names are replaced. A null text is empty; a repeated row is one more document."""
+    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "kept_sha256": "string"}
+    spans = repeated_byte_spans(docs, key, text, window)
+    rows = with_spans(docs.drop(*(c for c in docs.columns if c.lower() in added)), spans, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), text_column(batch, "text")
-            removals = batch.column(2).to_pylist()
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
-            for row, value in enumerate(column.to_pylist()):
+            out: dict[str, list] = {name: [] for name in added}
+            removals = batch.column(batch.num_columns - 1).to_pylist()
+            for value, gone_spans in zip(text_column(batch, text).to_pylist(), removals):
                 value = value or b""
                 kept, runs = value, 0
-                if removals[row]:
-                    gone = covered(len(value), np.array([s["first"] for s in removals[row]]),
-                                   np.array([s["past"] for s in removals[row]]))
+                if gone_spans:
+                    gone = covered(len(value), np.array([s["first"] for s in gone_spans]), np.array([s["past"] for s in gone_spans]))
                     kept = np.frombuffer(value, dtype=np.uint8)[~gone].tobytes()
                     runs = int((np.diff(np.append([False], gone).astype(np.int8)) == 1).sum())
                 for name, got in zip(out, (len(value), len(value) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest())):
                     out[name].append(got)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(v, t) for v, t in zip(
-                out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())))], names=["key", *out])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())))],
+                names=[*batch.schema.names[:-1], *out])
 
-    rows = spans.selectExpr(f"`{key}` as key", f"`{text}` as text", "spans")
-    return rows.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")\
-        .withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema_with(rows, added))

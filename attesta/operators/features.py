@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta import rules
 from attesta.functions.numbers import round_scaled
 from attesta.operators.scans import exact_median, ranked
-from attesta.session import broadcast_if_small, materialise
+from attesta.session import materialise
 
 
 def flag(condition: Column) -> Column:
@@ -142,7 +142,7 @@ def label_table(df: DataFrame, column: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, labels: DataFrame, out: str | None = None) -> DataFrame:
     """Replace a category by its index; a value the labels do not know is an error."""
-    keyed = broadcast_if_small(labels.select(F.col("value").alias("_value"), F.col("index").alias("_index")))
+    keyed = labels.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
     unseen = F.raise_error(F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(column, F.lit("null"))))
     joined = df.join(keyed, F.col(column) == F.col("_value"), "left")
     return joined.withColumn(out or column, F.when(F.col("_index").isNull(), unseen.cast("bigint"))
@@ -186,18 +186,20 @@ def split_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def hash_range(hashed: Column) -> Column:
-    """One of 4096 equal ranges, in the order of the hash text."""
-    return F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
+def hash_range(hashed: Column, spark: SparkSession) -> Column:
+    """One of 4096 equal ranges or more, in the order of the hash text; their number keeps pace with the session's
+    shuffle partitions."""
+    digits = max(3, len(f"{int(spark.conf.get('spark.sql.shuffle.partitions')) - 1:x}"))
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
 
 
 def split_stratified(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly round(share x count) rows of every label, chosen by a seeded hash of a unique key."""
     hashed = df.withColumn("_hash", split_hash(F.col(key), seed))
-    bucket = hash_range(F.col("_hash"))
+    bucket = hash_range(F.col("_hash"), df.sparkSession)
     numbered = ranked(hashed, [label], ["_hash", key], "_rank", bucket=bucket)
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.round(F.count(F.lit(1)) * share).alias("_size"))
-    return (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    return (numbered.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
             .withColumn("is_test", F.col("_rank") <= F.col("_size")).drop("_hash", "_rank", "_label", "_size"))
 
 
@@ -215,7 +217,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = n / (k x rows of the label)."""
     counts = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg((F.sum("_n") / F.count(F.lit(1))).alias("t")).scalar()
-    weights = broadcast_if_small(counts.select("_label", (totals / F.col("_n")).alias("weight")))
+    weights = counts.select("_label", (totals / F.col("_n")).alias("weight"))
     return df.join(weights, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
@@ -266,7 +268,7 @@ def smote_oversample(df: DataFrame, key: str, label: str, features: Sequence[str
     base, extra = divmod(wanted, m)
     hashed = nearest.withColumn("_hash", split_hash(F.col("_key"), seed))
     numbered = ranked(hashed, [], ["_hash", "_key"], "_rank",
-                      bucket=hash_range(F.col("_hash")))
+                      bucket=hash_range(F.col("_hash"), df.sparkSession))
     copies = numbered.withColumn("_copies", F.lit(base) + (F.col("_rank") <= extra).cast("int")).filter("_copies > 0")
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     dice = F.xxhash64(F.lit(seed), F.col("_key"), F.col("_copy"))

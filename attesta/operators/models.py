@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.operators import features as X, metrics as M
 from attesta.operators.scans import exact_median, exact_quantiles
-
-MAX_LABELS = 10_000
+from attesta.session import scratch_path
 
 
 class _FeatureParams(Params):
@@ -28,7 +27,8 @@ class _FeatureParams(Params):
 
 
 class FeatureEngineer(Estimator, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Fit sorted labels on the raw frame and a population scaler on the engineered frame."""
+    """Fit sorted labels on the raw frame (a table per column below the shared folder, named in the state) and a population
+    scaler on the engineered frame."""
 
     @keyword_only
     def __init__(self, *, family=None, version="v1", categorical=()):
@@ -38,11 +38,9 @@ class FeatureEngineer(Estimator, _FeatureParams, DefaultParamsReadable, DefaultP
     def _fit(self, dataset: DataFrame) -> FeatureEngineerModel:
         categorical = self.getOrDefault(self.categorical)
         labels = {}
-        for column in categorical:
-            values = dataset.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-            if len(values) > MAX_LABELS:
-                raise ValueError(f"{column} has more than {MAX_LABELS} categories; join features.label_table instead")
-            labels[column] = sorted(r[0] for r in values)
+        for column in categorical:  # a table each, below the shared folder: there may be any number of categories
+            labels[column] = scratch_path(dataset.sparkSession, "labels")
+            X.label_table(dataset, column).write.parquet(labels[column])
         made = X.add_features(dataset, self.getOrDefault(self.family), self.getOrDefault(self.version))
         numeric = [c for c, t in made.dtypes if c not in categorical and t != "string"]
         stats = X.scaler_stats(made, numeric).first()["stats"]
@@ -61,11 +59,9 @@ class FeatureEngineerModel(Model, _FeatureParams, DefaultParamsReadable, Default
             raise ValueError("fit before transform")
         state = json.loads(self.getOrDefault(self.state))
         made = X.add_features(dataset, self.getOrDefault(self.family), self.getOrDefault(self.version))
+        for column, path in state["labels"].items():
+            made = X.label_encode(made, column, dataset.sparkSession.read.parquet(path))
         done = {}
-        for column, values in state["labels"].items():
-            place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
-            unseen = F.raise_error(F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(column, F.lit("null"))))
-            done[column] = F.when(F.coalesce(place, F.lit(0)) == 0, unseen.cast("bigint")).otherwise(place - 1)
         for column, (mean, std) in state["scaler"].items():
             if column in made.columns:
                 done[column] = (F.col(column) - F.lit(mean)) / F.lit(std)

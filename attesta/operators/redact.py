@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta import rules
 from attesta.functions.text import contains_any, unicode_regex
-from attesta.session import spread
 
 # Words of which a text must hold at least one (case folded) before the rule at the same position can match.
 # Replacements only insert bracketed marks, so a word missing from the original stays missing at every stage.
@@ -27,7 +26,7 @@ class RedactionRules:
     extra_patterns: tuple[str, ...] = ()
     extra_files: tuple[str, ...] = ()
     keywords: tuple[str, ...] = rules.SENSITIVE_KEYWORDS
-    max_length: int | None = rules.MAX_TEXT
+    max_length: int | None = None
     strict_private_ip: bool = False
 
     @property
@@ -111,7 +110,6 @@ def _fold(df: DataFrame, text: str, steps: Sequence[tuple[str, str, str]], count
     One nested projection per step: each stage's text is computed once and read twice (count, replace), and a regex
     runs only where its condition holds. Written as one SQL text because it is analysed once, not once per step.
     """
-    df = spread(df)
     sql, args = f"SELECT *, `{text}` AS _t, {_folded_sql(f'`{text}`')} AS _folded FROM {{df}}", {}
     for i, (regex, mark, when) in enumerate(steps):
         args |= {f"p{i}": regex, f"m{i}": mark}
@@ -140,7 +138,7 @@ def is_sensitive_file(path: Column, extra: Sequence[str] = ()) -> Column:
 
 def redact(df: DataFrame, text: str = "text", path: str | None = None,
            ruleset: RedactionRules = RedactionRules(), out: str = "sanitized") -> DataFrame:
-    """Redact, then truncate; with ``path``, whole files with sensitive names are replaced."""
+    """Redact, then truncate where the rules say so; with ``path``, whole files with sensitive names are replaced."""
     clean = truncate_text(F.col("_t"), ruleset.max_length)
     if path is not None:
         marker = F.concat(F.lit("[FILE CONTENTS REDACTED: "), F.col(path), F.lit("]"))
@@ -161,7 +159,7 @@ def redact_by_language(df: DataFrame, text: str, language: str, path: str) -> Da
     steps, n = _sql_steps(RedactionRules()), len(rules.SECRET_PATTERNS)
     out = _fold(df, text, steps[:n] + extras + steps[n:], count=False)
     marker = F.concat(F.lit("[FILE CONTENTS REDACTED: "), F.col(path), F.lit("]"))
-    clean = F.when(sensitive, marker).otherwise(truncate_text(F.col("_t")))
+    clean = F.when(sensitive, marker).otherwise(F.col("_t"))
     return out.withColumn("sanitized", clean).drop("_t")
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from attesta import rules
 from attesta.functions.numbers import fixed
 from attesta.functions.text import basename, contains_any, matches_patterns
-from attesta.session import spread
 
 LOG_MODEL_TAG = "mlflow.log-model"
 PROJECT_TAG = "project_id"
@@ -131,19 +130,12 @@ def test_metrics(metrics: Column) -> Column:
     return F.transform_values(chosen, lambda _, v: fixed(v, 4))
 
 
-def metric_names(models: DataFrame) -> list[str]:
-    """Distinct non-training metric names; the column list of a side-by-side table, so it must fit one row."""
-    limit = int(models.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    names = (models.select(F.explode(F.map_keys("metrics")).alias("k")).distinct()
-             .filter(~F.startswith("k", F.lit("train_"))).limit(limit + 1).collect())
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} metric names; pass the names to compare")
-    return sorted(r["k"] for r in names)
-
-
 def compare_models(models: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per model run with one column per metric: a projection, no shuffle."""
-    names = list(names) if names is not None else metric_names(models)
+    """Test metrics side by side, without a shuffle: one row per model run and metric (name, run_id, metric, value), or,
+    for the ``names`` asked for, one row per model run with a column each."""
+    if names is None:
+        long = models.select("name", "run_id", F.explode("metrics").alias("metric", "value"))
+        return long.filter(~F.startswith("metric", F.lit("train_")))
     return models.select("name", "run_id", *[F.try_element_at("metrics", F.lit(n)).alias(n) for n in names])
 
 
@@ -188,7 +180,7 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
     the requested lengths by equality.
     """
     patterns = _purpose_patterns()
-    images = spread(images.select("scope", "seq", "path")).withColumn("_low", F.lower("path"))
+    images = images.select("scope", "seq", "path").withColumn("_low", F.lower("path"))
     entry = F.struct("seq", "path")
     # Pattern 0 fits every image. First the lowest seq per scope and pattern (hash aggregation over numbers), then the
     # paths at those few places.

@@ -21,7 +21,7 @@ SPECS = """SELECT p_partkey AS spec_id, p_partkey % 40 AS project, CASE p_partke
     CASE WHEN p_partkey % 2 = 0 THEN ', "authors": "Team B"' ELSE '' END, c) END AS body
   FROM (SELECT *, chr(123) AS o, chr(125) AS c FROM {part}) p"""
 MODELS = """SELECT s_suppkey % 45 AS project, s_suppkey AS ord, s_name AS name, concat('run', cast(s_suppkey AS string)) AS run_id
-  FROM {supplier} WHERE s_acctbal > 0"""
+  FROM {supplier}"""
 # The same without defects, for every part.
 GOOD = "SELECT p_partkey AS spec_id, p_partkey % 40 AS project, " + SPECS.split("  ELSE ", 1)[1].split(" END AS body")[0] + \
     " AS body" + SPECS.split(" END AS body")[1]
@@ -231,7 +231,7 @@ def f15(spark, sf_dir):
     return df.select("doc_id", D.planning_preview(F.col("features")).alias("preview"))
 
 
-ASKED = "SELECT o_orderkey AS request_id, concat('run', cast(o_orderkey AS string)) AS run_id FROM {orders} WHERE o_orderstatus = 'F'"
+ASKED = "SELECT o_orderkey AS request_id, concat('run', cast(o_orderkey AS string)) AS run_id FROM {orders}"
 RUN_FILES = """SELECT concat('run', cast(l_orderkey AS string)) AS run_id, concat('out/', cast(l_partkey AS string)) AS path,
   CASE l_returnflag WHEN 'A' THEN 'image' ELSE 'data' END AS kind, l_linestatus AS content FROM {lineitem}"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import safe_float, safe_int
 from attesta.operators import jobs as J
-from attesta.plans.catalog import bind, plain, query, table
+from attesta.plans.catalog import ORACLES, bind, plain, query, table
 
 JOBS = """SELECT cast(event_id AS string) AS id, concat('user_', cast(user_id AS string)) AS username,
   CASE WHEN value >= 10 THEN concat('run-', cast(event_id AS string)) END AS run_ref,
@@ -194,7 +194,7 @@ def h14(spark, sf_dir):
         "event_id", safe_int(F.col("raw")).alias("as_int"), safe_float(F.col("raw")).alias("as_float"))
 
 
-@query("h11_status_stream", None)
+@query("h11_status_stream", ORACLES["h11_apply_status"])
 def h11_stream(spark, sf_dir):
     from attesta.session import scratch_path
     from attesta.streaming import job_stream
@@ -207,11 +207,43 @@ def h11_stream(spark, sf_dir):
     return out.select("id", "status", "remote_status", F.col("completed_at").isNotNull().alias("completed"))
 
 
-@query("h12_admission_stream", None)
+# Jobs arrive in three batches, every fifth a second time in the same batch: a later row without a status.
+ARRIVALS = f"""SELECT *, cast(id AS bigint) % 3 AS wave FROM ({JOBS}) j UNION ALL
+  SELECT id, username, run_ref, CASE WHEN cast(id AS bigint) % 10 = 0 THEN NULL ELSE 'succeeded' END AS status, remote_status, branch,
+    tier, submitted_at, seq + 1000000000 AS seq, cast(id AS bigint) % 3 AS wave FROM ({JOBS}) j WHERE cast(id AS bigint) % 5 = 0"""
+
+
+def _replay_sql(waves: int, limit: int) -> str:
+    sql = f"WITH arrivals AS ({plain(ARRIVALS)}), latest AS (SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
+    for w in range(waves):
+        before = f"SELECT o.* FROM open{w - 1} o ANTI JOIN (SELECT id FROM latest WHERE wave = {w}) USING (id) UNION ALL " if w else ""
+        sql += f""", jobs{w} AS ({before}SELECT * FROM latest WHERE wave = {w}),
+  c{w} AS (SELECT username, count(*) FILTER (status IN {ACTIVE3}) AS active FROM jobs{w} GROUP BY username),
+  a{w} AS (SELECT username, id, active FROM (SELECT * FROM jobs{w} WHERE status = 'queued' QUALIFY row_number() OVER
+    (PARTITION BY username ORDER BY submitted_at, seq) = 1) JOIN c{w} USING (username) WHERE active < {limit} AND coalesce(run_ref, '') = ''),
+  open{w} AS (SELECT j.* REPLACE (CASE WHEN a.id IS NULL THEN j.status ELSE 'submitted' END AS status,
+    CASE WHEN a.id IS NULL THEN j.run_ref ELSE concat('run-', j.id) END AS run_ref) FROM jobs{w} j LEFT JOIN a{w} a USING (id)
+    WHERE a.id IS NOT NULL OR j.status IS NULL OR j.status NOT IN ('succeeded', 'failed', 'cancelled'))"""
+    return sql + " " + " UNION ALL ".join(f"SELECT username, id, active, {w}::INT AS batch FROM a{w}" for w in range(waves))
+
+
+@query("h12_admission_stream", _replay_sql(3, 30))
 def h12_stream(spark, sf_dir):
     from attesta.session import scratch_path
     from attesta.streaming import job_stream
 
     feed = scratch_path(spark, "job-feed")
-    jobs(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(feed)
-    return job_stream.run_admission(spark, feed, scratch_path(spark, "admissions"), max_jobs=30)
+    rows = bind(spark, sf_dir, ARRIVALS)
+    for wave in range(3):  # a file each, in order
+        rows.filter(F.col("wave") == wave).drop("wave").coalesce(1).write.mode("append").parquet(feed)
+    return job_stream.run_admission(spark, feed, scratch_path(spark, "admissions"), max_jobs=30, files_per_batch=1)
+
+
+@query("h02_active_counts_stream", WITH_JOBS + f"""SELECT username, count(*) FILTER (status IN {ACTIVE4}) AS active FROM jobs GROUP BY username""")
+def h02_stream(spark, sf_dir):
+    from attesta.session import scratch_path
+    from attesta.streaming import job_stream
+
+    feed, out = scratch_path(spark, "job-feed"), scratch_path(spark, "active-counts")
+    jobs(spark, sf_dir).write.parquet(feed)
+    return job_stream.run_active_counts(spark, feed, out)

@@ -96,7 +96,7 @@ def b03(spark, sf_dir):
   SELECT doc_id, path, CASE WHEN contains(lower(path), '.env') OR contains(lower(path), '.pem')
     OR contains(lower(path), '.key') OR contains(lower(path), 'credentials') OR contains(lower(path), 'secrets')
     OR contains(lower(path), '.renviron') THEN concat('[FILE CONTENTS REDACTED: ', path, ']')
-    ELSE {truncate_sql('clean', rules.MAX_TEXT)} END AS sanitized FROM c""")
+    ELSE clean END AS sanitized FROM c""")
 def b04(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{PATHS} AS path", "text")
     out = R.redact(docs, path="path", ruleset=R.RedactionRules(extra_files=(".Renviron",)))
@@ -129,7 +129,7 @@ _SAS = [(_re2(p), "[REDACTED]") for p in rules.LANGUAGES["sas"]["secrets"]]
   e AS (SELECT *, CASE WHEN language = 'sas' THEN {fold_sql('t0', _SAS)} ELSE t0 END AS t1 FROM p),
   k AS (SELECT *, {fold_sql('t1', KEYWORD_STEPS)} AS t2 FROM e)
   SELECT doc_id, language, CASE WHEN language = 'r' AND contains(lower(path), '.rprofile')
-    THEN concat('[FILE CONTENTS REDACTED: ', path, ']') ELSE {truncate_sql('t2', rules.MAX_TEXT)} END AS sanitized FROM k""")
+    THEN concat('[FILE CONTENTS REDACTED: ', path, ']') ELSE t2 END AS sanitized FROM k""")
 def b06(spark, sf_dir):
     out = R.redact_by_language(bind(spark, sf_dir, LANGUAGE_TEXT), "text", "language", "path")
     return out.select("doc_id", "language", "sanitized")

@@ -178,6 +178,13 @@ def d11(spark, sf_dir):
 
 @query("d12_compare_models", CTES + "SELECT v.name, run_id, accuracy, max_price FROM versions v JOIN runs USING (run_id)")
 def d12(spark, sf_dir):
+    return G.compare_models(versions(spark, sf_dir).join(runs(spark, sf_dir), "run_id"), ["accuracy", "max_price"])
+
+
+@query("d12_compare_models_long", CTES + """SELECT v.name, run_id, metric, value FROM versions v JOIN (
+  SELECT run_id, 'accuracy' AS metric, accuracy::DOUBLE AS value FROM runs WHERE accuracy IS NOT NULL
+  UNION ALL SELECT run_id, 'max_price', max_price::DOUBLE FROM runs WHERE max_price IS NOT NULL) USING (run_id)""")
+def d12_long(spark, sf_dir):
     return G.compare_models(versions(spark, sf_dir).join(runs(spark, sf_dir), "run_id"))
 
 

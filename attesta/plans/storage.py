@@ -52,21 +52,29 @@ def a06(spark, sf_dir):
 
 ARTIFACT_FILES = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('f', cast(l_partkey AS string), CASE l_linenumber
   WHEN 1 THEN '.csv' WHEN 2 THEN '.txt' WHEN 3 THEN '.png' WHEN 4 THEN '.JPG' WHEN 5 THEN '.jpeg' ELSE '.bin' END) AS path,
-  concat('feature,importance', chr(10), '"a,', l_returnflag, '",', cast(l_suppkey AS string), chr(10), 'b,2', chr(10)) AS body FROM {lineitem}"""
+  CASE WHEN l_linenumber > 1 OR l_orderkey % 8 > 4 THEN concat('feature,importance', chr(10), '"a,', l_returnflag, '",',
+    cast(l_suppkey AS string), chr(10), 'b,2', chr(10)) WHEN l_orderkey % 8 = 0 THEN concat('feature,importance', chr(10), 'x,1,', cast(l_suppkey AS string), chr(10))
+    WHEN l_orderkey % 8 = 1 THEN concat('feature,feature', chr(10), 'a,', cast(l_suppkey AS string), chr(10))
+    WHEN l_orderkey % 8 = 2 THEN concat('feature,importance', chr(13), chr(10), '"p', chr(10), 'q",', chr(10), chr(10), 'r')
+    WHEN l_orderkey % 8 = 3 THEN '' ELSE concat('feature,importance', chr(10), '"open,', l_returnflag) END AS body FROM {lineitem}"""
 
 
 @query("a07_read_artifacts", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber WHEN 1 THEN 'csv' WHEN 2 THEN 'text'
     ELSE 'image' END AS kind, CASE WHEN l_linenumber = 2 THEN body END AS text,
-  CASE WHEN l_linenumber = 1 THEN concat(substr(body, 21, 3), '=', l_suppkey, ';b=2') END AS records,
+  CASE WHEN l_linenumber = 1 THEN CASE l_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('feature=a,feature.1=', l_suppkey)
+    WHEN 2 THEN concat('feature=p', chr(10), 'q,importance=?;feature=r,importance=?') WHEN 3 THEN NULL WHEN 4 THEN NULL
+    ELSE concat('feature=', substr(body, 21, 3), ',importance=', l_suppkey, ';feature=b,importance=2') END END AS records,
+  l_linenumber = 1 AND l_orderkey % 8 IN (0, 3, 4) AS parse_failed,
   CASE l_linenumber WHEN 3 THEN 'png' WHEN 5 THEN 'jpeg' END AS image_format,
   CASE WHEN l_linenumber IN (3, 5) THEN to_base64(encode(body)) END AS image_base64
   FROM ({plain(ARTIFACT_FILES)}) WHERE l_linenumber IN (1, 2, 3, 5)""")
 def a07(spark, sf_dir):
     df = bind(spark, sf_dir, ARTIFACT_FILES).withColumn("content", F.encode("body", "UTF-8"))
     out = FS.parse_artifacts(df)
-    pairs = F.transform("records", lambda r: F.concat(r["feature"], F.lit("="), r["importance"]))
+    pairs = F.transform("records", lambda r: F.array_join(F.transform(F.map_entries(r), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?")))), ","))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", "text",
-                      F.array_join(pairs, ";").alias("records"), "image_format", "image_base64")
+                      F.array_join(pairs, ";").alias("records"), "parse_failed", "image_format", "image_base64")
 
 
 @query("a08_list_artifacts", P.CTES + "SELECT run_id, path FROM artifacts WHERE NOT is_dir")

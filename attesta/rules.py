@@ -65,7 +65,6 @@ LANGUAGES = {
         "exclude": ["test_", "_test.py", "conftest.py", "__pycache__", ".git", "venv", ".venv",
                     "node_modules", ".pytest_cache", "__init__.py"],
         "libraries": ["sklearn", "xgboost", "tensorflow", "pytorch", "lightgbm", "keras"],
-        "transformations": ["scaling", "encoding", "feature engineering", "imputation"],
         "secrets": [],
     },
     "r": {
@@ -74,8 +73,6 @@ LANGUAGES = {
         "exclude": ["test-", "tests/", "man/", "vignettes/", ".Rproj.user", ".git", "renv/", "packrat/"],
         "libraries": ["tidymodels", "caret", "mlr3", "xgboost", "ranger", "glmnet", "randomForest",
                       "e1071", "recipes", "parsnip"],
-        "transformations": ["recipe steps", "formula transformations", "feature engineering",
-                            "data preprocessing", "imputation"],
         "secrets": [".Renviron", ".Rprofile"],
     },
     "sas": {
@@ -83,8 +80,6 @@ LANGUAGES = {
         "priority": ["PROC", "MODEL", "LOGISTIC", "FOREST", "GRADBOOST", "DATA"],
         "exclude": ["autoexec.sas", ".git"],
         "libraries": ["PROC LOGISTIC", "PROC FOREST", "PROC GRADBOOST", "PROC HPFOREST", "PROC REG", "PROC GLM"],
-        "transformations": ["DATA step transformations", "PROC STDIZE", "PROC MI", "variable encoding",
-                            "feature selection"],
         "secrets": [r"(?i)%let\s+(password|pwd)\s*=", r"(?i)libname\s+\w+.*\b(user|password)\s*="],
     },
     "matlab": {
@@ -92,8 +87,6 @@ LANGUAGES = {
         "priority": ["fit", "train", "predict", "model", "classify", "regression"],
         "exclude": ["test_", "+", ".git"],
         "libraries": ["fitcecoc", "fitctree", "fitcensemble", "fitcsvm", "fitrgp", "trainNetwork", "dlnetwork"],
-        "transformations": ["feature normalization", "PCA", "feature selection", "data preprocessing",
-                            "table operations"],
         "secrets": [],
     },
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "attesta", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,22 +50,8 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_ROWS = 10_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """The frame as a broadcast table if it has at most ``max_rows`` rows, checked by fetching one row more than that;
-    otherwise the frame itself, to be joined by shuffle."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: spread an input with fewer splits than cores. Large inputs have more splits and
-    pass unchanged, without a shuffle."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote below the shared folder and needs no more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta import rules
@@ -36,30 +39,55 @@ def scan_source_files(spark: SparkSession, root: str, language: str) -> DataFram
     return scan_files(spark, root, rules.LANGUAGES[language.lower()]["extensions"])
 
 
-def _cells(line: Column) -> Column:
-    """Cells of one CSV line; quotes around a cell are dropped and doubled quotes halved."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda c: F.when(c.rlike('^".*"$'), F.replace(
-        F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+# --- fixed values: cell texts that mean "no value" in a CSV table
+NO_VALUE = frozenset(["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                      "NULL", "NaN", "None", "n/a", "nan", "null"])
+
+
+def _table_rows(text: str | None) -> dict | None:
+    """Records of one CSV text. Blank lines are skipped, short rows padded, repeated names numbered; a text without a
+    header, with a row longer than it or with an open quote is no table."""
+    if text is None:
+        return None
+    failed = {"records": None, "failed": True}
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
+    except csv.Error:
+        return failed
+    if not rows or any(len(r) > len(rows[0]) for r in rows):
+        return failed
+    header: list[str] = []
+    for i, name in enumerate(rows[0]):
+        name, n = name or f"Unnamed: {i}", 0
+        while (full := f"{name}.{n}" if n else name) in header:
+            n += 1
+        header.append(full)
+    return {"records": [{h: None if i >= len(r) or r[i] in NO_VALUE else r[i] for i, h in enumerate(header)} for r in rows[1:]],
+            "failed": False}
+
+
+def table_rows(text: Column) -> Column:
+    """A struct of the records of a CSV text and whether it failed to parse."""
+    @F.pandas_udf("struct<records:array<map<string,string>>,failed:boolean>")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_table_rows(t) or {"records": None, "failed": None} for t in texts], columns=["records", "failed"])
+
+    return parse(text)
 
 
 def parse_artifacts(artifacts: DataFrame) -> DataFrame:
-    """(path, content bytes) + kind, text, records, image_format, image_base64; other kinds of files are skipped and
-    unreadable ones (null content) too."""
+    """(path, content bytes) + kind, text, records, parse_failed, image_format, image_base64; other kinds of files are
+    skipped and unreadable ones (null content) too. A CSV file that is no table has no records and is flagged."""
     path, text = F.col("path"), utf8_text(F.col("content"))
     image = has_extension(path, [".png", ".jpg", ".jpeg"])
     kind = (F.when(F.endswith(path, F.lit(".csv")), "csv").when(F.endswith(path, F.lit(".txt")), "text")
             .when(image, "image"))
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: x != "")
-    header = _cells(F.try_element_at(lines, F.lit(1)))
-    records = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
-                          lambda x: F.map_from_entries(F.arrays_zip(header.alias("key"), _cells(x).alias("value"))))
-    return (artifacts.withColumn("kind", kind).filter(F.col("kind").isNotNull() & F.col("content").isNotNull())
-            .withColumns({
+    kept = artifacts.withColumn("kind", kind).filter(F.col("kind").isNotNull() & F.col("content").isNotNull())
+    return (kept.withColumn("_table", table_rows(F.when(F.col("kind") == "csv", text))).withColumns({
                 "text": F.when(F.col("kind") == "text", text),
-                "records": F.when((F.col("kind") == "csv") & (F.size(lines) > 0), records),
+                "records": F.col("_table.records"), "parse_failed": F.coalesce("_table.failed", F.lit(False)),
                 "image_format": F.when(F.col("kind") == "image", F.lower(F.substring_index(path, ".", -1))),
-                "image_base64": F.when(F.col("kind") == "image", base64_text(F.col("content")))}))
+                "image_base64": F.when(F.col("kind") == "image", base64_text(F.col("content")))}).drop("_table"))
 
 
 def list_artifacts(tree: DataFrame) -> DataFrame:

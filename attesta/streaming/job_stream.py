@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta import rules
 from attesta.operators import jobs as J
+from attesta.session import remove_path
 
 
 def _drain(stream: DataFrame, sink, checkpoint: str) -> None:
@@ -44,9 +45,21 @@ def active_counts_stream(stream: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin(*rules.ACTIVE_STATUSES)).alias("active"))
 
 
+def run_active_counts(spark: SparkSession, feed: str, out: str, files_per_batch: int = 2) -> DataFrame:
+    """Drain a feed of job rows through :func:`active_counts_stream`; the totals after the last batch."""
+    schema = spark.read.parquet(feed).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
+    query = (active_counts_stream(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint")
+             .foreachBatch(lambda totals, _: totals.write.mode("overwrite").parquet(f"{out}/totals"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/totals")
+
+
 def run_admission(spark: SparkSession, feed: str, out: str, max_jobs: int, legacy: bool = False,
                   files_per_batch: int = 2) -> DataFrame:
-    """Per micro-batch: merge the batch's job rows into the open jobs, then admit at most one job per user.
+    """Per micro-batch: merge the batch's job rows (of each id the one with the largest ``seq``) into the open jobs, then
+    admit at most one job per user. A job without a status stays open and is not admitted.
 
     Only jobs that are not completed are carried from batch to batch, so the state grows with the open work and
     not with the history. An admitted job counts as submitted from the next batch on. Returns the admission log.
@@ -55,7 +68,8 @@ def run_admission(spark: SparkSession, feed: str, out: str, max_jobs: int, legac
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         arrived = f"{out}/arrived/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(arrived)
+        latest = batch.groupBy("id").agg(F.max_by(F.struct(*schema.names), "seq").alias("job")).select("job.*")
+        latest.write.mode("overwrite").parquet(arrived)
         jobs = spark.read.schema(schema).parquet(arrived)
         if batch_id > 0:
             open_jobs = spark.read.schema(schema).parquet(f"{out}/open/batch={batch_id - 1}")
@@ -67,8 +81,11 @@ def run_admission(spark: SparkSession, feed: str, out: str, max_jobs: int, legac
             "id", F.lit("submitted").alias("status"), F.concat(F.lit("run-"), "id").alias("run_ref"),
             F.lit(batch_id).alias("seq"))
         merged = J.upsert_jobs(jobs, changes, ["status", "run_ref"])
-        (merged.filter(~F.col("status").isin(*rules.COMPLETED_STATUSES))
-         .write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}"))
+        completed = F.coalesce(F.col("status").isin(*rules.COMPLETED_STATUSES), F.lit(False))
+        merged.filter(~completed).write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
+        for old in (f"{out}/arrived/batch={batch_id - 1}", f"{out}/open/batch={batch_id - 2}"):
+            if batch_id > 1:  # a replay reads the batch before, nothing older
+                remove_path(spark, old)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
     _drain(stream, advance, f"{out}/checkpoint")

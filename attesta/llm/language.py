@@ -80,7 +80,7 @@ class Model:
             matrix = np.zeros((len(self.tokens[size]) + 1, len(self.languages)))  # the last row scores nothing
             for at, lang, n in counts[size]:
                 matrix[at, lang] = n
-            mass = matrix.sum(axis=0) + 0.5 * max(1, len(matrix) - 1)
+            mass = matrix.sum(axis=0) + 0.5 * (len(matrix) + 1)
             matrix = np.log((matrix + 0.5) / mass)
             matrix[-1] = 0
             self.score.append(matrix)

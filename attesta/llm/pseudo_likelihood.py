@@ -24,7 +24,8 @@ BASE = 32
 CODES = BASE * BASE
 OWN_CODES = CODES // 2
 REACH, WIDTH = 2, 16
-BATCH, RATE, ROUNDS, SEED = 4096, 0.2, 1, 20
+BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 1, 20
+SCORED = 4096
 OUTSIDE = CODES  # the code beyond a text's ends
 _OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
@@ -171,8 +172,8 @@ def _score(shared):
         for batch in batches:
             for row, rows, code, first in coded(text_column(batch, "text"), own):
                 score = np.zeros(len(code) + 1)
-                for i in range(0, len(code), BATCH):
-                    score[i + 1:i + 1 + BATCH] = net.log_probabilities(rows[i:i + BATCH], code[i:i + BATCH])
+                for i in range(0, len(code), SCORED):
+                    score[i + 1:i + 1 + SCORED] = net.log_probabilities(rows[i:i + SCORED], code[i:i + SCORED])
                 total = np.cumsum(score)
                 n = np.diff(first)
                 each = total[first[1:]] - total[first[:-1]]

@@ -101,7 +101,7 @@ def _write(folder: str, chunk_bytes: int, roll_bytes: int):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 data = row["data"] or b""
                 place = (row["id"], row["copy"], row["sha1"], row["record_type"], row["chunk_no"])
-                if row["record_type"] == "response" and last is not None and place <= last[1] and place[:4] == last[0]:
+                if row["record_type"] == "response" and last is not None and place[:4] == last[0] and place[4] <= last[1]:
                     continue  # a repeated row of a response brings its chunks again
                 chunks = max(1, -(-row["bytes"] // chunk_bytes)) if row["record_type"] == "response" else 1
                 if row["chunk_no"] == 0 and out is not None and out.tell() >= roll_bytes:
@@ -118,7 +118,7 @@ def _write(folder: str, chunk_bytes: int, roll_bytes: int):
                         raise ValueError(f"record {row['id']}: chunks do not make up its payload")
                 out.write(gzip.compress(_header(kind, row, row["chunk_no"], chunks, len(data)) + data + b"\r\n\r\n", 1, mtime=0))
                 count += row["chunk_no"] == 0
-                last = (place[:4], place)
+                last = (place[:4], place[4])
         if out is not None:
             yield manifest()
     return run
@@ -198,7 +198,8 @@ def _read(with_data: bool, chunk_bytes: int):
 def read_archives(manifest: DataFrame, with_data: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives: (id, copy, chunk_no, data, bytes_so_far, digest_so_far, last, record_type,
     refers_to, payload_bytes, payload_digest). A payload that does not have its declared digest is an error."""
-    return manifest.select("path").repartition("path").mapInArrow(_read(with_data, chunk_bytes), CHUNKS)
+    archives = manifest.count()  # a task each: as one row each, they would be merged into few
+    return manifest.select("path").repartition(max(1, archives)).mapInArrow(_read(with_data, chunk_bytes), CHUNKS)
 
 
 def archive_round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0,

@@ -69,10 +69,10 @@ def normalise_section(ids: DataFrame, details: DataFrame) -> DataFrame:
 def number_citations(found: DataFrame, details: DataFrame) -> DataFrame:
     """(doc_id, citation_id, canonical_id, number): numbers follow first appearance; ids that stand for the same run
     (metric, param, tag, summary) share the run's first id. Only distinct ids are ordered, in ranges of blocks."""
-    typed = found.join(details.select("doc_id", "citation_id", "type", "run_id"), ["doc_id", "citation_id"], "left")
     shares = F.col("type").isin(*C.CONSOLIDATED_TYPES) & C.text_or_null(F.col("run_id")).isNotNull()
-    ids = (typed.groupBy("doc_id", "citation_id").agg(F.min(F.struct("seq", "pos")).alias("first"),
-                                                      F.first(F.when(shares, F.col("run_id"))).alias("run")))
+    runs = details.filter(shares).groupBy("doc_id", "citation_id").agg(F.min("run_id").alias("run"))
+    ids = (found.groupBy("doc_id", "citation_id").agg(F.min(F.struct("seq", "pos")).alias("first"))
+           .join(runs, ["doc_id", "citation_id"], "left"))
     ids = materialise(ids, "citation-ids")  # read four times below; without it each read would parse the texts again
     run_first = (ids.filter(F.col("run").isNotNull()).groupBy("doc_id", "run")
                  .agg(F.min(F.struct("first", "citation_id")).alias("f"))

@@ -140,13 +140,15 @@ def pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     return df.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
-    """Every (true, predicted) label pair with its count, zero cells included."""
+def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, labels: Sequence | None = None) -> DataFrame:
+    """(true, predicted) label pairs with their counts: those that occur, or, for the ``labels`` asked for, every pair of
+    them with zero cells."""
     counts = pair_counts(df, y_true, y_pred)
-    labels = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).agg(
-        F.array_sort(F.collect_set("label")).alias("labels"))
-    grid = (labels.select(F.explode("labels").alias("y_true"), "labels")
-            .select("y_true", F.explode("labels").alias("y_pred")))
+    if labels is None:
+        return counts
+    kind = df.schema[y_true].dataType
+    every = F.array(*[F.lit(v).cast(kind) for v in labels])
+    grid = df.sparkSession.range(1).select(F.explode(every).alias("y_true")).select("y_true", F.explode(every).alias("y_pred"))
     return grid.join(counts, ["y_true", "y_pred"], "left").select(
         "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -172,12 +172,21 @@ def _purpose_patterns() -> list[str]:
     return sorted({p for patterns in rules.IMAGE_PURPOSES.values() for p in patterns})
 
 
+PIECE = 3
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """The distinct substrings of ``size`` letters."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
 def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """blocks(scope, purpose, image_name) + ``path`` of the scope's first image that fits, else its first image.
 
     images(scope, seq, path); a scope is one model, or a project for blocks without a model. Blocks never meet single
-    images: every scope is folded to its first image per path word, and requested names meet the paths' substrings of
-    the requested lengths by equality.
+    images: every scope is folded to its first image per path word, and requested names meet the paths that share a
+    piece of three letters with them.
     """
     patterns = _purpose_patterns()
     images = images.select("scope", "seq", "path").withColumn("_low", F.lower("path"))
@@ -193,12 +202,13 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
     names = (blocks.filter(F.coalesce("image_name", F.lit("")) != "")
              .select("scope", F.lower("image_name").alias("_name")).distinct())
-    lengths = names.select("scope", F.length("_name").alias("_len")).distinct()
-    starts = F.sequence(F.lit(1), F.length("_low") - F.col("_len") + 1)
-    pieces = (images.join(lengths, "scope").filter(F.length("_low") >= F.col("_len"))
-              .select("scope", entry.alias("_e"), "_low", "_len", F.explode(starts).alias("_at"))
-              .select("scope", "_e", F.substring("_low", F.col("_at"), F.col("_len")).alias("_name")))
-    named = pieces.join(names, ["scope", "_name"], "left_semi").groupBy("scope", "_name").agg(F.min("_e").alias("_named"))
+    # A name is looked up by one of its pieces of three letters (shorter names by all of themselves), then compared.
+    names = names.withColumn("_piece", F.array_min(F.transform(
+        _pieces(F.col("_name"), F.least(F.length("_name"), F.lit(PIECE))), lambda x: F.struct(F.xxhash64(x), x.alias("x"))))["x"])
+    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.col("_low"), F.lit(n)) for n in range(1, PIECE + 1)])))
+    found = (images.select("scope", entry.alias("_e"), "_low", F.explode(pieces).alias("_piece"))
+             .join(names, ["scope", "_piece"]).filter(F.contains("_low", F.col("_name"))))
+    named = found.groupBy("scope", "_name").agg(F.min("_e").alias("_named"))
 
     purpose = F.lower("purpose")
     hits = [F.col("_named")]

@@ -73,6 +73,31 @@ def a04_by_project(spark, sf_dir):
     return S.priority_topk(files(spark, sf_dir).select("project", "path"), rules.LANGUAGES["python"]["priority"], 50, ["project"])
 
 
+# Discovery in each project's own language, with one rule set per language.
+_BEST = """c AS (SELECT project, count(*) FILTER (path LIKE '%.py') AS python,
+    count(*) FILTER (path LIKE '%.R' OR path LIKE '%.r' OR path LIKE '%.Rmd' OR path LIKE '%.rmd') AS r,
+    count(*) FILTER (path LIKE '%.sas' OR path LIKE '%.SAS') AS sas, count(*) FILTER (path LIKE '%.m') AS matlab FROM files GROUP BY project),
+  best AS (SELECT project, CASE greatest(python, r, sas, matlab) WHEN python THEN 'python' WHEN r THEN 'r' WHEN sas THEN 'sas' ELSE 'matlab' END
+    AS own FROM c)"""
+
+
+def _by_language(expression) -> str:
+    return "CASE own " + " ".join(f"WHEN '{n}' THEN ({expression(p)})" for n, p in rules.LANGUAGES.items()) + " END"
+
+
+_KEPT = _by_language(lambda p: "(" + " OR ".join(f"ends_with(path, '{e}')" for e in p["extensions"]) + ") AND NOT (" + " OR ".join(
+    f"contains(path, '{x}')" for x in [*p["exclude"], *rules.CONFIG_EXCLUDES]) + ")")
+_OWN_SCORE = _by_language(lambda p: " + ".join(f"contains(lower(string_split(path, '/')[-1]), '{k}')::INT" for k in p["priority"]))
+
+
+@query("a18_discover_files", WITH + f""", {_BEST} SELECT project, own AS language, path, {_OWN_SCORE} AS score,
+  row_number() OVER (PARTITION BY project ORDER BY {_OWN_SCORE} DESC, string_split(path, '/')[-1], path)::INT AS rank
+  FROM files JOIN best USING (project) WHERE doc_id % 11 > 0 AND {_KEPT} QUALIFY rank <= 20""")
+def a18(spark, sf_dir):
+    found = files(spark, sf_dir).withColumn("head", F.encode(F.when(F.col("doc_id") % 11 == 0, F.lit("a\x00b")).otherwise(F.col("content")), "UTF-8"))
+    return S.discover_files(found.select("project", "path", "head"), max_files=20).select("project", "language", "path", "score", "rank")
+
+
 @query("c01_detect_language", WITH + """, c AS (SELECT project, count(*) FILTER (path LIKE '%.py') AS python,
     count(*) FILTER (path LIKE '%.R' OR path LIKE '%.r' OR path LIKE '%.Rmd' OR path LIKE '%.rmd') AS r,
     count(*) FILTER (path LIKE '%.sas' OR path LIKE '%.SAS') AS sas, count(*) FILTER (path LIKE '%.m') AS matlab
@@ -104,12 +129,31 @@ def c02(spark, sf_dir):
                                         F.array_join("symbols", "|").alias("symbols"), "docstring")
 
 
+@query("c02_import_table", PY_SQL + """SELECT path, unnest(['numpy', 'os', project || '.core', 'json']) AS module, unnest([0, 1, 2, 3]) AS position
+  FROM py WHERE parse_ok""")
+def c02_imports(spark, sf_dir):
+    return S.import_table(_index(spark, sf_dir), ["path"])
+
+
+@query("c02_symbol_table", PY_SQL + """SELECT path, unnest(['def', 'class', 'def']) AS kind, unnest(['top_' || doc_id, 'K' || doc_id % 7, 'tail']) AS name,
+  unnest([0, 1, 2]) AS position FROM py WHERE parse_ok""")
+def c02_symbols(spark, sf_dir):
+    return S.symbol_table(_index(spark, sf_dir), ["path"])
+
+
+@query("c02_module_counts", PY_SQL + """SELECT module, count(*) AS n_files FROM (SELECT DISTINCT path, unnest(['numpy', 'os', project || '.core', 'json'])
+  AS module FROM py WHERE parse_ok) GROUP BY module""")
+def c02_modules(spark, sf_dir):
+    return S.module_counts(_index(spark, sf_dir), ["path"])
+
+
 @query("c03_sample_snippets", PY_SQL + f""", b AS (SELECT path, unnest([{_BODY}, {_CLASS}, {_TAIL}]) AS body,
     unnest([1, 2, 3]) AS place FROM py WHERE parse_ok),
   r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY length(body) DESC, place) - 1 AS nth FROM b)
-  SELECT path, nth, {_CUT.format('body')} AS snippet FROM r""")
+  SELECT path, nth, {_CUT.format('body')} AS snippet FROM r
+  UNION ALL SELECT path, 0, regexp_replace(substr(content, 1, 500), '\\s+$', '') FROM py WHERE NOT parse_ok""")
 def c03(spark, sf_dir):
-    return _index(spark, sf_dir).filter("parse_ok").select("path", F.posexplode("snippets").alias("nth", "snippet"))
+    return _index(spark, sf_dir).select("path", F.posexplode("snippets").alias("nth", "snippet"))
 
 
 _COMMENT = r"""substr(array_to_string(list_transform(list_filter(string_split({text}, chr(10)), lambda x: true),
@@ -256,35 +300,42 @@ FILE_RANKS = """SELECT DISTINCT conv_id AS project, concat('f', cast(conv_id % 3
 
 @query("c14_merge_batches", f"""WITH r AS (SELECT q.project, q.batch_id, min(coalesce(f.rank, 999)) AS rk FROM ({plain(RANKS)}) q
     LEFT JOIN ({plain(FILE_RANKS)}) f USING (project, path) GROUP BY ALL),
-  b AS (SELECT conv_id AS project, turn, role, text, rk, row_number() OVER (PARTITION BY conv_id ORDER BY rk, turn) AS o,
-    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations JOIN r ON r.project = conv_id AND r.batch_id = turn),
-  w AS (SELECT project, o, n, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS p FROM b),
-  fw AS (SELECT project, string_agg(word, '~' ORDER BY f) AS features FROM (SELECT project, word, min(o * 1000000 + p) AS f FROM w WHERE n > 1
-      GROUP BY ALL) GROUP BY project UNION ALL SELECT project, string_agg(word, '~' ORDER BY p) FROM w WHERE n = 1 GROUP BY project),
-  m AS (SELECT project, o, role AS v, 0 AS p FROM b UNION ALL SELECT project, o, 'm' || turn % 2, 1 FROM b),
-  mw AS (SELECT project, string_agg(v, '~' ORDER BY f) AS model_classes FROM (SELECT project, v, min(o * 100 + p) AS f FROM m GROUP BY ALL)
-    GROUP BY project),
-  z AS (SELECT project, string_agg('t' || turn, '~' ORDER BY o) AS transformations, min_by('s' || turn, o) AS seed,
-    min_by(role, o) FILTER (turn % 2 = 1) AS target, min_by('task' || turn, o) FILTER (turn > 0) AS task,
-    coalesce(string_agg('note ' || turn, ' | ' ORDER BY o) FILTER (turn <> 1), '') AS insights FROM b GROUP BY project)
-  SELECT project, features, model_classes, transformations, seed, target, task, insights FROM z JOIN fw USING (project)
-  JOIN mw USING (project)""")
+  b AS (SELECT conv_id AS project, turn, role, text, rk, count(*) OVER (PARTITION BY conv_id) AS n
+    FROM conversations JOIN r ON r.project = conv_id AND r.batch_id = turn),
+  l AS (SELECT project, 'features' AS field, unnest(string_split(text, ' ')) AS value, rk, turn, unnest(range(len(string_split(text, ' ')))) AS p, n FROM b
+    UNION ALL SELECT project, 'model_classes', role, rk, turn, 0, n FROM b
+    UNION ALL SELECT project, 'model_classes', 'm' || turn % 2, rk, turn, 1, n FROM b),
+  first AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY project, field, value, CASE WHEN n = 1 THEN p END ORDER BY rk, turn, p) = 1),
+  one AS (SELECT project, 'target' AS field, role AS value, rk, turn, 0 AS p FROM b WHERE turn % 2 = 1 AND role <> ''
+    QUALIFY row_number() OVER (PARTITION BY project ORDER BY rk, turn) = 1),
+  two AS (SELECT project, 'task', 'task' || turn, rk, turn, 0 FROM b WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY project ORDER BY rk, turn) = 1)
+  SELECT project, field, NULL::VARCHAR AS key, value, rk::INT AS batch_rank, turn AS batch_id, p::INT AS position FROM (
+    SELECT project, field, value, rk, turn, p FROM first UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two
+    UNION ALL SELECT project, 'transformations', 't' || turn, rk, turn, 0 FROM b
+    UNION ALL SELECT project, 'insight', 'note ' || turn, rk, turn, 0 FROM b WHERE turn <> 1)
+  UNION ALL SELECT project, 'hyperparameters', 'seed', 's' || turn, rk::INT, turn, 0 FROM b
+    QUALIFY row_number() OVER (PARTITION BY project ORDER BY rk, turn) = 1""")
 def c14(spark, sf_dir):
     ranks = S.batch_ranks(bind(spark, sf_dir, RANKS), bind(spark, sf_dir, FILE_RANKS))
     out = S.merge_batches(bind(spark, sf_dir, BATCHES_SPARK), ranks)
-    return out.select("project", *[F.array_join(c, "~").alias(c) for c in ("features", "model_classes", "transformations")],
-                      F.col("hyperparameters")["seed"].alias("seed"), "target", "task", "insights")
+    wanted = ("features", "model_classes", "target", "task", "transformations", "insight", "hyperparameters")
+    return out.filter(F.col("field").isin(*wanted) & ((F.col("field") != "hyperparameters") | (F.col("key") == "seed")))
 
 
 SCANNED = """SELECT conv_id AS project, turn AS batch_id, concat('a', cast(turn AS string)) AS p1, concat('b', cast(turn AS string)) AS p2,
   role = 'user' AS failed FROM {conversations}"""
 
 
-@query("c15_scan_completeness", f"""SELECT project, coalesce(string_agg(p1 || '|' || p2, '|' ORDER BY batch_id) FILTER (failed), '')
-    AS skipped_files, bool_or(failed) AS scan_incomplete, bool_and(failed) AS all_failed FROM ({plain(SCANNED)}) GROUP BY project""")
+@query("c15_scan_completeness", f"""SELECT project, 2 * count(*) FILTER (failed) AS n_skipped, bool_or(failed) AS scan_incomplete,
+  bool_and(failed) AS all_failed FROM ({plain(SCANNED)}) GROUP BY project""")
 def c15(spark, sf_dir):
-    df = bind(spark, sf_dir, SCANNED).withColumn("paths", F.array("p1", "p2"))
-    return S.scan_completeness(df).withColumn("skipped_files", F.array_join("skipped_files", "|"))
+    return S.scan_completeness(bind(spark, sf_dir, SCANNED).withColumn("paths", F.array("p1", "p2")))
+
+
+@query("c15_skipped_files", f"""SELECT project, batch_id, unnest([0, 1]) AS position, unnest([p1, p2]) AS path
+  FROM ({plain(SCANNED)}) WHERE failed""")
+def c15_files(spark, sf_dir):
+    return S.skipped_files(bind(spark, sf_dir, SCANNED).withColumn("paths", F.array("p1", "p2")))
 
 
 @query("c16_clip_file_content", """SELECT doc_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || chr(10) || '... (truncated)'

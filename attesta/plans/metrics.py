@@ -108,6 +108,11 @@ def g45(spark, sf_dir):
   SELECT a.v AS y_true, b.v AS y_pred, count(s.class_true) AS n FROM k a JOIN k b ON true
   LEFT JOIN s ON s.class_true = a.v AND s.class_pred = b.v GROUP BY a.v, b.v""")
 def g46(spark, sf_dir):
+    return M.confusion_matrix(scored(spark, sf_dir), "class_true", "class_pred", ["A", "N", "R"])
+
+
+@query("g46_confusion_pairs", WITH + "SELECT class_true AS y_true, class_pred AS y_pred, count(*) AS n FROM s GROUP BY ALL")
+def g46_pairs(spark, sf_dir):
     return M.confusion_matrix(scored(spark, sf_dir), "class_true", "class_pred")
 
 

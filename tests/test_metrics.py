@@ -76,7 +76,7 @@ def test_regression_edges(spark):
 
 def test_matrix_and_report(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "t string, p string")
-    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df, "t", "p").collect()}
+    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df, "t", "p", ["a", "b", "c"]).collect()}
     assert len(cells) == 9 and cells["a", "b"] == 1 and cells["c", "c"] == 0
     report = {r["label"]: r for r in M.classification_report(df, "t", "p").collect()}
     assert report["a"]["precision"] == 0.5 and report["c"]["recall"] == 0.0 and report["accuracy"]["f1_score"] == 0.5

@@ -28,6 +28,8 @@ COORDINATES = 64
 #: Signatures of a pair at the threshold agree in fewer places with a chance of about 3e-6.
 DEVIATIONS = 4.5
 TREES, LEAF, DEPTH = 12, 256, 6
+#: A node of this many leaves' classes is still compared in one task if few of its pairs are of different components.
+CROWD = 16
 
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 _FACTORS = mix64(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
@@ -70,23 +72,36 @@ def _sketch(size: int):
     return run
 
 
-def _branch(path: Column, tree: Column, threshold: float) -> Column:
+def _roots(threshold: float, trees: int) -> Column:
+    """The children of the roots: the coordinates that a tree's root chooses are the same for every class."""
+    dice = mix64(np.arange(trees * COORDINATES, dtype=np.uint64) + np.uint64(7_001)).reshape(trees, COORDINATES) >> np.uint64(33)
+    chosen = np.argwhere(dice < (1 << 31) / (threshold * COORDINATES)).tolist()
+    return F.array(*[F.xxhash64(F.lit(tree), F.lit(i), F.element_at("tokens", i + 1)) for tree, i in chosen])
+
+
+def _branch(path: Column, level: Column, threshold: float) -> Column:
     """The children that a class goes to: tokens whose coordinate the node chooses."""
     chance = round((1 << 31) / (threshold * COORDINATES))
     every = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.struct(
         i.alias("i"), F.element_at("tokens", i + 1).alias("value")))
-    chosen = F.filter(every, lambda t: F.pmod(F.xxhash64(path, tree, t["i"]), F.lit(1 << 31)) < chance)
-    return F.transform(chosen, lambda t: F.xxhash64(path, tree, t["i"], t["value"]))
+    chosen = F.filter(every, lambda t: F.pmod(F.xxhash64(path, level, t["i"]), F.lit(1 << 31)) < chance)
+    return F.transform(chosen, lambda t: F.xxhash64(path, level, t["i"], t["value"]))
 
 
 def _compare(threshold: float, within: bool):
-    """Likely pairs of each node. Rows: node, class, n_shingles, bytes (low byte of each token), component; sorted by node.
+    """Likely pairs of each node. Rows: node, id, n_shingles, bytes (low byte of each token), component; sorted by node.
     ``within``: a spanning forest over all classes; else all pairs of different components."""
     least = int(np.floor(COORDINATES * (threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / COORDINATES))))
 
     def pairs(names: list, sizes: np.ndarray, tokens: np.ndarray, component: np.ndarray):
         out = []
-        for i in range(len(names) - 1):
+        kinds, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
+        largest = inverse == np.argmax(counts)
+        # every pair of different components has a class outside the largest one
+        order = np.argsort(largest, kind="stable")
+        outside = len(names) - int(largest.sum())
+        sizes, tokens, component = sizes[order], tokens[order], component[order]
+        for i in range(outside):
             rest = slice(i + 1, None)
             small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
             may = (small >= threshold * large - 1e-9) & (component[rest] != component[i])
@@ -98,6 +113,7 @@ def _compare(threshold: float, within: bool):
         if not out:
             return np.zeros((3, 0), dtype=np.int64)
         found = np.concatenate(out, axis=1)
+        found[1:] = order[found[1:]]
         if not within:
             return found
         found = found[:, np.argsort(-found[0], kind="stable")]
@@ -113,7 +129,7 @@ def _compare(threshold: float, within: bool):
         return found[:, keep]
 
     def done(parts: list[dict]):
-        names = [x for p in parts for x in p["class"]]
+        names = [x for p in parts for x in p["id"]]
         sizes, tokens, component = (np.concatenate([p[k] for p in parts]) for k in ("sizes", "tokens", "component"))
         found = pairs(names, sizes, tokens, component)
         first = [min(names[a], names[b]) for _, a, b in found.T.tolist()]
@@ -127,7 +143,7 @@ def _compare(threshold: float, within: bool):
             if batch.num_rows == 0:
                 continue
             node = np.asarray(batch.column(0))
-            block = {"class": batch.column(1).to_pylist(), "sizes": np.asarray(batch.column(2)),
+            block = {"id": batch.column(1).to_pylist(), "sizes": np.asarray(batch.column(2)),
                      "tokens": np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES),
                      "component": np.asarray(batch.column(4))}
             cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
@@ -140,10 +156,10 @@ def _compare(threshold: float, within: bool):
                     held = []
                 held.append({k: v[lo:hi] for k, v in block.items()})
                 last = node[lo]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         if held:
             a, b = done(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
@@ -178,91 +194,99 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = materialise(
         sketches.filter("class is not null").groupBy("class").agg(
             F.min("label").alias("label"), F.min(F.struct("row_id", "row_hash")).alias("row"),
-            F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
+            F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")
     low_bytes = F.unhex(F.array_join(F.transform("tokens", lambda t: F.substring(F.hex(t.bitwiseAND(255) + 256), 2, 2)), ""))
-    brief = materialise(classes.select("class", "n_shingles", low_bytes.alias("bytes")), "brief")
+    brief = materialise(classes.select("id", "n_shingles", low_bytes.alias("bytes")), "brief")
 
     def nodes_of(rows: DataFrame) -> DataFrame:
         """(node, n) of nodes with partners; of nodes with the same classes, one."""
-        return (rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"),
-                                         F.sum(F.hash("class").cast("long")).alias("s")).filter("n > 1")
+        return (rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                         F.sum(F.hash("id").cast("long")).alias("s")).filter("n > 1")
                 .groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node", "n"))
 
-    rows = classes.select("class", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    rows = rows.select("class", F.explode(_branch(F.lit(0), F.col("tree"), threshold)).alias("node"))
-    small, large, level = [], None, 1
-    rows = materialise(rows.join(nodes_of(rows), "node"), "nodes")
-    small.append(rows.filter(F.col("n") <= leaf))
-    large = rows.filter(F.col("n") > leaf)
-
     def likely(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-        """Likely pairs of the nodes in ``rows`` (node, class)."""
-        full = rows.select("node", "class").join(brief, "class")
+        """Likely pairs of the nodes in ``rows`` (node, id)."""
+        full = rows.select("node", "id").join(brief, "id")
         if components is None:
-            full = full.withColumn("component", F.xxhash64("class"))
+            full = full.withColumn("component", F.col("id"))
         else:
-            full = full.join(components.selectExpr("node as class", "root"), "class", "left")\
-                .withColumn("component", F.xxhash64(F.coalesce("root", "class")))
-        return (full.select("node", "class", "n_shingles", "bytes", "component").repartition("node")
-                .sortWithinPartitions("node").mapInArrow(_compare(threshold, components is None), "a binary, b binary"))
+            full = full.join(components, F.col("id") == F.col("of"), "left").withColumn("component", F.coalesce("root", "id"))
+        return (full.select("node", "id", "n_shingles", "bytes", "component").repartition("node")
+                .sortWithinPartitions("node").mapInArrow(_compare(threshold, components is None), "a long, b long"))
 
     def stars(rows: DataFrame) -> DataFrame:
         """Every class of a large node with the node's least one."""
-        centre = rows.groupBy("node").agg(F.min("class").alias("a"))
-        return rows.join(centre, "node").filter("class != a").select("a", F.col("class").alias("b"))
+        centre = rows.groupBy("node").agg(F.min("id").alias("a"))
+        return rows.join(centre, "node").filter("id != a").select("a", F.col("id").alias("b"))
 
-    pairs = materialise(likely(small[0], None).unionByName(stars(large)).distinct(), "pairs")
-    wanted = (pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-              .distinct().join(classes.select("class", "row.*"), "class"))
-    texts = materialise(wanted.join(named, ["row_id", "row_hash"])
-                        .select("class", "text"), "texts")
+    rows = materialise(classes.select("id", F.explode(_roots(threshold, trees)).alias("node")), "rows")
+    rows = materialise(rows.join(nodes_of(rows), "node"), "nodes")
+    small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
+    pairs = materialise(likely(small, None).unionByName(stars(large)).distinct(), "pairs")
+    wanted = (pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+              .distinct().join(classes.select("id", "row.*"), "id"))
+    texts = materialise(wanted.join(named, ["row_id", "row_hash"]).select("id", "text"), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.selectExpr("class as a", "text as text_a"), "a")\
-            .join(texts.selectExpr("class as b", "text as text_b"), "b")
+        pairs = pairs.join(texts.selectExpr("id as a", "text as text_a"), "a").join(texts.selectExpr("id as b", "text as text_b"), "b")
         return materialise(pairs.select("a", "b", "text_a", "text_b").mapInArrow(
-            _confirm(shingle, threshold_pct), "a binary, b binary"), "links")
-
-    links = confirm(pairs)
-    components = materialise(connected_components(links), "components")
+            _confirm(shingle, threshold_pct), "a long, b long"), "links")
+
+    components = materialise(connected_components(confirm(pairs)).withColumnRenamed("node", "of"), "components")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components with some links more: only roots that these tie are worked on."""
+        a, b = (components.selectExpr(f"of as {x}", f"root as root_{x}") for x in ("a", "b"))
+        ties = links.join(a, "a", "left").join(b, "b", "left").select(
+            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b")
+        ties = materialise(ties, "ties")
+        if ties.isEmpty():
+            return components
+        tied = materialise(connected_components(ties).selectExpr("node as tied", "root as new"), "tied")
+        known = components.join(tied, F.col("root") == F.col("tied"), "left").select("of", F.coalesce("new", "root").alias("root"))
+        single = tied.join(components, F.col("tied") == F.col("of"), "left_anti").selectExpr("tied as of", "new as root")
+        return materialise(known.unionByName(single), "components")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the nodes that hold several components."""
-        rooted = rows.join(components.selectExpr("node as class", "root"), "class", "left")\
-            .withColumn("root", F.coalesce("root", "class"))
-        several = rooted.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-        return rows.join(several.select("node"), "node", "left_semi")
-
-    todo = [mixed(small[0])]
-    large = materialise(mixed(large), "nodes")
+        """Rows of the nodes that hold several components, with n (classes) and ``apart`` (pairs of different components)."""
+        rooted = rows.select("node", "id").join(components, F.col("id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "id"))
+        held = rooted.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node").agg(
+            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        several = held.select("node", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("apart")).filter("apart > 0")
+        return rows.select("node", "id").join(several, "node")
+
+    easy = (F.col("n") <= leaf) | ((F.col("n") <= CROWD * leaf) & (F.col("apart") <= leaf * leaf))
+    todo = [mixed(small).select("node", "id")]
+    level, large = 1, materialise(mixed(large), "nodes")
     while not large.isEmpty():
+        todo.append(large.filter(easy).select("node", "id"))
+        hard = large.filter(~easy)
         if level == depth:  # exhaustive, by pairs of blocks
             blocks = F.ceil(2 * F.col("n") / leaf).cast("int")
-            mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-            other = F.explode(F.sequence(F.lit(0), blocks - 1))
-            dealt = large.select("node", "class", mine.alias("i"), other.alias("j"))
-            todo.append(dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "class"))
+            dealt = hard.select("node", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("i"),
+                                F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+            todo.append(dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id"))
             break
         level += 1
-        children = large.select("class", "node").join(classes.select("class", "tokens"), "class")
-        children = children.select("class", F.explode(_branch(F.col("node"), F.lit(level), threshold)).alias("node")).distinct()
-        children = materialise(mixed(children.join(nodes_of(children), "node")), "nodes")
-        todo.append(children.filter(F.col("n") <= leaf))
+        children = hard.select("id", "node").join(classes.select("id", "tokens"), "id")
+        children = children.select("id", F.explode(_branch(F.col("node"), F.lit(level), threshold)).alias("node")).distinct()
+        children = materialise(children, "rows")
+        children = materialise(mixed(children.join(nodes_of(children).select("node"), "node", "left_semi")), "nodes")
+        todo.append(children.filter(F.col("n") <= leaf).select("node", "id"))
         large = children.filter(F.col("n") > leaf)
-        extra = stars(large).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(confirm(extra))
-        components = materialise(connected_components(links), "components")
-        large = materialise(mixed(large), "nodes")
+        if not large.isEmpty():
+            components = joined(confirm(stars(large).distinct().join(pairs, ["a", "b"], "left_anti")))
+            large = materialise(mixed(large), "nodes")
 
-    remaining = todo[0].select("node", "class")
+    remaining = todo[0]
     for part in todo[1:]:
-        remaining = remaining.unionByName(part.select("node", "class"))
-    rest = likely(remaining, components).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(rest))
-    components = materialise(connected_components(links), "components")
+        remaining = remaining.unionByName(part)
+    rest = materialise(likely(remaining, components).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    components = joined(confirm(rest))
 
-    rooted = classes.select("class", "label").join(components.selectExpr("node as class", "root"), "class", "left")\
-        .withColumn("root", F.coalesce("root", "class"))
+    rooted = classes.select("class", "label", "id").join(components, F.col("id") == F.col("of"), "left")\
+        .withColumn("root", F.coalesce("root", "id"))
     named_roots = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
     of_class = rooted.join(named_roots, "root").select("class", "component_id")
     out = sketches.select("row_id", "row_hash", "label", "n_shingles", "class").join(of_class, "class", "left")

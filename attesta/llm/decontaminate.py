@@ -6,7 +6,8 @@ as a shared random bit of (step, word) says, so that few edits become few differ
 a window that agrees with an item in one table is a candidate, and candidates are verified by exact edit distance.
 
 Windows are taken where they can match at all: an item within d edits keeps an unedited run of ceil((n - d) / (d + 1))
-words, so only windows around a run shared with some item of their size are embedded. Items are taken in blocks of bounded
+words (and n - q + 1 - q d of its runs of q words), so only windows around runs shared with items of their size are
+embedded. Items are taken in blocks of bounded
 bytes, each broadcast against one pass over the documents; the documents are never shuffled.
 """
 
@@ -18,17 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column
+from attesta.llm.columns import SLICE_BYTES, Words, gram_hashes, mix64, slices, text_column
 from attesta.llm.scratch import fresh, materialise
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 1 << 22
 WALKS, TABLES, SAMPLED = 4, 16, 3
 RUN_WORDS = 4
+KNOWN_BITS = 20
 #: Embedded coordinates and cells of edit distances held at a time.
 CELLS = 1 << 22
 MATCH = "id long, item_id long, edit_distance int, first_word long, item_words int"
 
+_FAR = 1 << 36
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -46,11 +49,11 @@ def embed(rows: np.ndarray, seed: int) -> np.ndarray:
     count, n = rows.shape
     padded = np.concatenate([rows, np.full((count, 1), _PAD)], axis=1)
     at, out = np.zeros(count, dtype=np.int64), np.empty((count, 3 * n), dtype=np.uint64)
-    every = np.arange(count)
+    every, salts = np.arange(count), mix64(np.arange(1, 3 * n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003))
     for j in range(3 * n):
         word = padded[every, at]
         out[:, j] = word
-        bit = mix64(word ^ mix64(np.array([seed * 1_000_003 + j + 1], dtype=np.uint64))) >> np.uint64(63)
+        bit = mix64(word ^ salts[j]) >> np.uint64(63)
         at = np.minimum(at + bit.astype(np.int64), n)
     return out
 
@@ -108,28 +111,38 @@ class Items:
                 tables.append((key[by_key], by_key))
             self.groups.append({"n": n, "edits": edits, "run": run, "rows": rows, "ids": np.array([ids[i] for i in members]),
                                 "seed": pairs[order, 0], "place": pairs[order, 1].astype(np.int64), "tables": tables})
+        # most words of a corpus are in no item's run: a bit per upper hash bits passes over them
+        self.known = {g["run"]: np.zeros(1 << KNOWN_BITS, dtype=bool) for g in self.groups}
+        for g in self.groups:
+            self.known[g["run"]][g["seed"] >> np.uint64(64 - KNOWN_BITS)] = True
 
     def matches(self, key: np.ndarray, first: np.ndarray):
         """(document, item id, edits, first word, item's words) over the words of some documents."""
-        hashed = {run: gram_hashes(key, run) for run in {g["run"] for g in self.groups}}
+        seen = {}
+        for run, known in self.known.items():
+            grams = gram_hashes(key, run)
+            may = np.flatnonzero(known[grams >> np.uint64(64 - KNOWN_BITS)])
+            seen[run] = may, grams[may]
         found = []
         for g in self.groups:
             n, edits = g["n"], g["edits"]
-            grams = hashed[g["run"]]
-            if not len(grams):
-                continue
-            low = np.searchsorted(g["seed"], grams)
-            at = np.flatnonzero(g["seed"][np.minimum(low, len(g["seed"]) - 1)] == grams)
-            if not len(at):
+            at, grams = seen[g["run"]]
+            low, high = np.searchsorted(g["seed"], grams), np.searchsorted(g["seed"], grams, side="right")
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
                 continue
-            high = np.searchsorted(g["seed"], grams[at], side="right")
-            times = high - low[at]
-            place = g["place"][np.repeat(low[at], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+            at, low, times = at[hit], low[hit], (high - low)[hit]
+            place = g["place"][np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
             doc = np.repeat(np.searchsorted(first, at, side="right") - 1, times)
             begin, end = first[doc], first[doc + 1]
             start = np.repeat(at, times) - place
-            window = np.unique(np.stack([doc, np.maximum(start, begin - edits), np.minimum(end - begin, 1 << 40)], axis=1)[
-                (np.repeat(at, times) + g["run"] <= end) & (end - begin >= n - edits)], axis=0)
+            inside = (np.repeat(at, times) + g["run"] <= end) & (end - begin >= n - edits)
+            doc, start = doc[inside], np.maximum(start, begin - edits)[inside]
+            # d edits leave n - q + 1 - q d of an item's q-word runs, all starting within d places of its start
+            along = np.sort(doc * _FAR + start)
+            beside = np.searchsorted(along, along + 2 * edits, side="right") - np.searchsorted(along, along - 2 * edits)
+            along = np.unique(along[beside >= n - g["run"] + 1 - g["run"] * edits])
+            window = np.stack([(along + _FAR // 2) // _FAR, (along + _FAR // 2) % _FAR - _FAR // 2], axis=1)
             step = max(1, CELLS // (3 * n * (2 * edits + 1)))
             for i in range(0, len(window), step):
                 found += self._verified(g, key, first, window[i:i + step])
@@ -175,7 +188,7 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for row, _, data, offsets in slices(text_column(batch, "text")):
+            for row, _, data, offsets in slices(text_column(batch, "text"), 2 * SLICE_BYTES):
                 words = Words(data, offsets, fold_case=True, alnum=True)
                 found = shared.value.matches(words.key, words.first)
                 if found:

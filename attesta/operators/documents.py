@@ -1,12 +1,14 @@
 """Document-plan tables: spec parsing and validation, section expansion, content checks, notebook cells.
 
-specs(spec_id, project, body) hold JSON text; notebook cells are (notebook, cell_no, cell_type, source).
+specs(spec_id, project, body) hold YAML or JSON text; notebook cells are (notebook, cell_no, cell_type, source).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attesta import rules
@@ -14,10 +16,16 @@ from attesta.functions import citations as C
 from attesta.functions.text import contains_any, is_blank, safe_float, strip, WORD
 from attesta.operators.scans import ranked, running_totals
 
+try:
+    import yaml
+except ImportError:  # specs are then read as JSON only
+    yaml = None
+
 # --- fixed values: defaults and limits of a spec ---
 AUTHORS, CITATION_STYLE, PER_MODEL = "Data Science Team", "numeric", ": per_model"
 MAX_TITLE, MAX_SECTIONS, MAX_NAME, MAX_HINT = 500, 50, 200, 1000
 SECTION_KEYS = ("name", "per_model", "hint")
+SYNTAX = "Invalid YAML syntax"
 
 _VARIANTS = "array<variant>"
 
@@ -43,9 +51,29 @@ def _plain_name(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit(PER_MODEL)), F.replace(text, F.lit(PER_MODEL), F.lit(""))).otherwise(text)
 
 
+def _as_json(body: str | None) -> tuple[str | None, str | None]:
+    """A YAML text as JSON, or what is wrong with it."""
+    if body is None or yaml is None:
+        return None, SYNTAX
+    try:
+        return json.dumps(yaml.safe_load(body), default=str, ensure_ascii=False), None
+    except yaml.MarkedYAMLError as e:
+        at = f" at line {e.problem_mark.line + 1}, column {e.problem_mark.column + 1}" if e.problem_mark else ""
+        return None, f"{SYNTAX}{at}: {e.problem}"
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return None, SYNTAX
+
+
 def with_body(specs: DataFrame) -> DataFrame:
-    """Add ``v``, the parsed body, null where it is no JSON."""
-    return specs.withColumn("v", F.try_parse_json("body"))
+    """Add ``v``, the parsed body (null where it is neither JSON nor YAML), and ``syntax``, what is wrong with it then.
+    Only bodies that are no JSON leave the JVM."""
+    @F.pandas_udf("struct<json:string,error:string>")
+    def as_json(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_as_json(b) for b in bodies], columns=["json", "error"])
+
+    direct = F.try_parse_json("body")
+    read = specs.withColumn("_yaml", as_json(F.when(direct.isNull(), F.col("body"))))
+    return read.withColumns({"v": F.coalesce(direct, F.try_parse_json("_yaml.json")), "syntax": F.col("_yaml.error")}).drop("_yaml")
 
 
 def parse_specs(specs: DataFrame) -> DataFrame:
@@ -67,7 +95,7 @@ def parse_specs(specs: DataFrame) -> DataFrame:
         "authors": F.coalesce(_get(F.col("v"), "$.authors", "string"), F.lit(AUTHORS)),
         "citation_style": F.coalesce(_get(F.col("v"), "$.citation_style", "string"), F.lit(CITATION_STYLE)),
         "hints": _get(F.col("v"), "$.hints", "map<string,string>"),
-        "sections": F.transform(usable, section)}).drop("v", "body")
+        "sections": F.transform(usable, section)}).drop("v", "syntax", "body")
 
 
 def parse_sections(specs: DataFrame) -> DataFrame:
@@ -130,8 +158,8 @@ def validate_specs(specs: DataFrame) -> DataFrame:
     rest = F.concat(F.array(title_error, listing), F.coalesce(per_section, F.array().cast("array<string>")),
                     F.array(must_map("hints", "'hints' must be a mapping of section name to hint text"),
                             must_map("formatting", "'formatting' must be a mapping")))
-    errors = (F.when(v.isNull(), F.array(F.lit("Invalid YAML syntax"))).when(kind != "dict", F.array(no_map)).otherwise(rest))
-    return s.withColumn("errors", F.array_compact(errors)).drop("v")
+    errors = (F.when(v.isNull(), F.array(F.col("syntax"))).when(kind != "dict", F.array(no_map)).otherwise(rest))
+    return s.withColumn("errors", F.array_compact(errors)).drop("v", "syntax")
 
 
 # --- sections ------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from attesta.plans.metrics import nice
 
 # JSON bodies with a defect per key: the texts hold braces, so they are written with chr(123) and chr(125).
 SPECS = """SELECT p_partkey AS spec_id, p_partkey % 40 AS project, CASE p_partkey % 16
-  WHEN 0 THEN concat('[1, "', p_name, '"]') WHEN 1 THEN concat('"', p_name, '"') WHEN 2 THEN concat('no json ', p_name)
+  WHEN 0 THEN concat('[1, "', p_name, '"]') WHEN 1 THEN concat('"', p_name, '"') WHEN 2 THEN concat('title: [', p_name)
   WHEN 3 THEN concat(o, '"sections": ["A"], "title": " "', c) WHEN 4 THEN concat(o, '"title": "', repeat('t', 480 + p_size), '", "sections": "x"', c)
   WHEN 5 THEN concat(o, '"sections": []', c) WHEN 6 THEN concat(o, '"title": 5, "sections": [', repeat('"s", ', 40 + p_size), '"z"], "hints": [1]', c)
   WHEN 7 THEN concat(o, '"title": "', p_name, '", "sections": ["', repeat('n', 180 + p_size), '", " ", 7, ["x"], null, ', o, '"hint": "h"', c, ', ',
@@ -46,6 +46,24 @@ def f01(spark, sf_dir):
     return D.parse_sections(good(spark, sf_dir))
 
 
+# The same specs in block style.
+YAML_SPECS = """SELECT p_partkey AS spec_id, p_partkey % 40 AS project, concat('# spec', chr(10), 'title: "', p_name, '"', chr(10), 'sections:', chr(10),
+  '  - Intro ', p_brand, chr(10), '  - "Models: per_model"', chr(10), '  - name: Deep', chr(10), '    per_model: yes', chr(10), '    hint: "',
+  CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END, '"', chr(10), '  - name: End  # last', chr(10), 'hints:', chr(10), '  Deep: dig', chr(10),
+  '  End: stop', chr(10), CASE WHEN p_partkey % 2 = 0 THEN concat('authors: >', chr(10), '  Team', chr(10), '  B') ELSE '' END) AS body FROM {part}"""
+
+
+@query("f01_parse_yaml_sections", WITH + f", {_SECTIONS} SELECT spec_id, pos, name, per_model, hint FROM sections")
+def f01_yaml(spark, sf_dir):
+    return D.parse_sections(bind(spark, sf_dir, YAML_SPECS))
+
+
+@query("f01_yaml_defaults", WITH + """SELECT spec_id, json_extract_string(body, '$.title') AS title,
+  coalesce(json_extract_string(body, '$.authors'), 'Data Science Team') AS authors, 'numeric' AS citation_style FROM good""")
+def f01_yaml_defaults(spark, sf_dir):
+    return D.parse_specs(bind(spark, sf_dir, YAML_SPECS)).select("spec_id", "title", "authors", "citation_style")
+
+
 @query("f01_spec_defaults", WITH + """SELECT spec_id, json_extract_string(body, '$.title') AS title,
   coalesce(json_extract_string(body, '$.authors'), 'Data Science Team') AS authors, 'numeric' AS citation_style FROM good""")
 def f01_defaults(spark, sf_dir):
@@ -54,7 +72,7 @@ def f01_defaults(spark, sf_dir):
 
 @query("f02_validate_specs", WITH + f"""SELECT spec_id, concat_ws('; ', CASE spec_id % 16
     WHEN 0 THEN 'Spec file must be a YAML mapping (key: value pairs), not a list'
-    WHEN 1 THEN 'Spec file must be a YAML mapping (key: value pairs), not a str' WHEN 2 THEN 'Invalid YAML syntax'
+    WHEN 1 THEN 'Spec file must be a YAML mapping (key: value pairs), not a str' WHEN 2 THEN concat('Invalid YAML syntax at line 1, column ', 9 + length(p_name), ': expected '','' or '']'', but got ''<stream end>''')
     WHEN 3 THEN '''title'' must be a non-empty string'
     WHEN 4 THEN concat_ws('; ', CASE WHEN p_size > 20 THEN concat('''title'' is too long (', 480 + p_size, ' characters, max 500)') END,
       '''sections'' must be a list')

@@ -10,7 +10,7 @@ def test_spec_errors(spark):
         "[1]": ["Spec file must be a YAML mapping (key: value pairs), not a list"],
         "null": ["Spec file must be a YAML mapping (key: value pairs), not a NoneType"],
         "1.5": ["Spec file must be a YAML mapping (key: value pairs), not a float"],
-        "{": ["Invalid YAML syntax"],
+        "{": ["Invalid YAML syntax at line 1, column 2: expected the node content, but found '<stream end>'"],
         "{}": ["Missing required field: 'title'", "Missing required field: 'sections'"],
         json.dumps({"title": "t" * 501, "sections": ["a"] * 51}):
             ["'title' is too long (501 characters, max 500)", "Too many sections (51). Maximum is 50."],

@@ -6,8 +6,9 @@ class, so a similar pair keeps meeting while others part; nodes of at most ``lea
 signatures, and pairs that may reach the threshold are confirmed on their full sets. Independent trees bring up recall.
 
 A dense group never parts, and listing all its pairs is no use. So leaves first give a spanning forest of their likely
-pairs, and large nodes a star; confirmed links merge classes into components, and after that only pairs of different
-components are taken up. A large node goes on branching only while it holds more than one component; what is still large
+pairs, and large nodes a star; confirmed links merge classes into components. After that the classes of a node that have
+a likely partner in another component meet there with their texts, every such pair still apart is compared on its full
+sets, and only links that tie components leave the task. A large node goes on branching only while it holds more than one component; what is still large
 at ``depth`` is compared exhaustively, block by block.
 """
 
@@ -25,14 +26,15 @@ from attesta.llm.graph import connected_components
 from attesta.llm.scratch import fresh, identity, materialise
 
 COORDINATES = 64
-#: Signatures of a pair at the threshold agree in fewer places with a chance of about 3e-6.
-DEVIATIONS = 4.5
+#: Minwise bytes that estimate a similarity; those of a pair at the threshold agree in fewer places than asked for with a
+#: chance of about 3e-6.
+ESTIMATED, DEVIATIONS = 256, 4.5
 TREES, LEAF, DEPTH = 12, 256, 6
 #: A node of this many leaves' classes is still compared in one task if few of its pairs are of different components.
 CROWD = 16
 
-_SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-_FACTORS = mix64(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = mix64(np.arange(1, ESTIMATED + 1, dtype=np.uint64))
+_FACTORS = mix64(np.arange(1001, ESTIMATED + 1001, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -57,18 +59,23 @@ def _sketch(size: int):
                 counts = np.array([len(s) for s in sets])
                 full = np.flatnonzero(counts)
                 tokens = np.zeros((len(sets), COORDINATES), dtype=np.uint32)
+                brief = np.zeros((len(sets), ESTIMATED), dtype=np.uint8)
                 if len(full):
                     values = np.concatenate(sets)
                     starts = (np.cumsum(counts) - counts)[full]
-                    for i in range(COORDINATES):
-                        hashed = ((values ^ _SEEDS[i]) * _FACTORS[i]) >> np.uint64(32)
-                        tokens[full, i] = np.minimum.reduceat(hashed, starts)
+                    for i in range(ESTIMATED):
+                        hashed = (((values ^ _SEEDS[i]) * _FACTORS[i]) >> np.uint64(32)).astype(np.uint32)
+                        least = np.minimum.reduceat(hashed, starts)
+                        brief[full, i] = least & np.uint32(255)
+                        if i < COORDINATES:
+                            tokens[full, i] = least
                 part = batch.slice(row, len(sets))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(tokens.view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32()))],
-                    names=["row_id", "row_hash", "label", "n_shingles", "class", "tokens"])
+                    pa.FixedSizeListArray.from_arrays(pa.array(tokens.view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
+                    pa.array([b.tobytes() for b in brief], pa.binary())],
+                    names=["row_id", "row_hash", "label", "n_shingles", "class", "tokens", "bytes"])
     return run
 
 
@@ -88,81 +95,118 @@ def _branch(path: Column, level: Column, threshold: float) -> Column:
     return F.transform(chosen, lambda t: F.xxhash64(path, level, t["i"], t["value"]))
 
 
-def _compare(threshold: float, within: bool):
-    """Likely pairs of each node. Rows: node, id, n_shingles, bytes (low byte of each token), component; sorted by node.
-    ``within``: a spanning forest over all classes; else all pairs of different components."""
-    least = int(np.floor(COORDINATES * (threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / COORDINATES))))
+def _likely_pairs(threshold: float):
+    """A function of a node's (sizes, bytes, components): (agreement, i, j) of pairs of different components that may reach
+    the threshold, the most alike first."""
+    least = int(np.floor(ESTIMATED * (threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / ESTIMATED))))
 
-    def pairs(names: list, sizes: np.ndarray, tokens: np.ndarray, component: np.ndarray):
-        out = []
-        kinds, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
-        largest = inverse == np.argmax(counts)
+    def pairs(sizes: np.ndarray, tokens: np.ndarray, component: np.ndarray) -> np.ndarray:
+        _, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
         # every pair of different components has a class outside the largest one
+        largest = inverse == np.argmax(counts)
         order = np.argsort(largest, kind="stable")
-        outside = len(names) - int(largest.sum())
         sizes, tokens, component = sizes[order], tokens[order], component[order]
-        for i in range(outside):
+        out = [np.zeros((3, 0), dtype=np.int64)]
+        for i in range(len(order) - int(largest.sum())):
             rest = slice(i + 1, None)
             small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            may = (small >= threshold * large - 1e-9) & (component[rest] != component[i])
-            at = np.flatnonzero(may) + i + 1
+            at = np.flatnonzero((small >= threshold * large - 1e-9) & (component[rest] != component[i])) + i + 1
             if len(at):
                 same = (tokens[at] == tokens[i]).sum(axis=1)
                 at, same = at[same >= least], same[same >= least]
-                out.append(np.stack([same, np.full(len(at), i), at]))
-        if not out:
-            return np.zeros((3, 0), dtype=np.int64)
+                out.append(np.stack([same, np.full(len(at), order[i]), order[at]]))
         found = np.concatenate(out, axis=1)
-        found[1:] = order[found[1:]]
-        if not within:
-            return found
-        found = found[:, np.argsort(-found[0], kind="stable")]
-        root, keep = list(range(len(names))), []
-        for k, (_, a, b) in enumerate(found.T.tolist()):
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            if a != b:
-                root[b] = a
-                keep.append(k)
-        return found[:, keep]
-
-    def done(parts: list[dict]):
-        names = [x for p in parts for x in p["id"]]
-        sizes, tokens, component = (np.concatenate([p[k] for p in parts]) for k in ("sizes", "tokens", "component"))
-        found = pairs(names, sizes, tokens, component)
-        first = [min(names[a], names[b]) for _, a, b in found.T.tolist()]
-        second = [max(names[a], names[b]) for _, a, b in found.T.tolist()]
-        return first, second
+        return found[:, np.argsort(-found[0], kind="stable")]
+
+    return pairs
+
+
+def _joined(n: int, component: np.ndarray, found: np.ndarray, same) -> list[tuple[int, int]]:
+    """The pairs that tie components which those before did not, of the pairs for which ``same`` holds."""
+    _, place = np.unique(component, return_inverse=True)
+    root, place, out = list(range(n)), place.tolist(), []
 
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+    for _, i, j in found.T.tolist():
+        a, b = top(place[i]), top(place[j])
+        if a != b and same(i, j):
+            root[b] = a
+            out.append((i, j))
+    return out
+
+
+def _by_node(work, names: list[str]):
+    """Rows sorted by node (the first column): ``work`` on the rows of one node at a time gives the columns ``names``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             node = np.asarray(batch.column(0))
-            block = {"id": batch.column(1).to_pylist(), "sizes": np.asarray(batch.column(2)),
-                     "tokens": np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES),
-                     "component": np.asarray(batch.column(4))}
+            out: list[tuple] = []
             cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            a, b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if held and node[lo] != last:
-                    x, y = done(held)
-                    a += x
-                    b += y
+                    out += work(held)
                     held = []
-                held.append({k: v[lo:hi] for k, v in block.items()})
+                held.append(batch.slice(lo, hi - lo))
                 last = node[lo]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], pa.int64()) for k, n in enumerate(names)})
         if held:
-            a, b = done(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            out = work(held)
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], pa.int64()) for k, n in enumerate(names)})
     return run
 
 
+def _columns(parts: list[pa.RecordBatch]):
+    """(ids, sizes, bytes, components) of a node's rows (node, id, n_shingles, bytes, component, ..)."""
+    def column(i: int) -> np.ndarray:
+        return np.concatenate([np.asarray(p.column(i)) for p in parts])
+    brief = b"".join(x for p in parts for x in p.column(3).to_pylist())
+    return column(1), column(2), np.frombuffer(brief, dtype=np.uint8).reshape(-1, ESTIMATED), column(4)
+
+
+def _forest(threshold: float):
+    """Of each node a spanning forest of its likely pairs."""
+    pairs = _likely_pairs(threshold)
+
+    def work(parts: list[pa.RecordBatch]) -> list[tuple]:
+        ids, sizes, brief, component = _columns(parts)
+        tied = _joined(len(ids), component, pairs(sizes, brief, component), lambda i, j: True)
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in tied]
+    return _by_node(work, ["a", "b"])
+
+
+def _border(threshold: float):
+    """(node, id) of classes with a likely partner in another component."""
+    pairs = _likely_pairs(threshold)
+
+    def work(parts: list[pa.RecordBatch]) -> list[tuple]:
+        ids, sizes, brief, component = _columns(parts)
+        node = parts[0].column(0)[0].as_py()
+        return [(node, ids[i]) for i in np.unique(pairs(sizes, brief, component)[1:])]
+    return _by_node(work, ["node", "id"])
+
+
+def _ties(size: int, threshold_pct: int):
+    """Links that tie the components of a node: every likely pair of classes still apart is compared on its full sets."""
+    pairs = _likely_pairs(threshold_pct / 100)
+
+    def work(parts: list[pa.RecordBatch]) -> list[tuple]:
+        ids, sizes, brief, component = _columns(parts)
+        sets = [s for p in parts for _, part in shingle_sets(text_column(p, "text"), size) for s in part]
+
+        def same(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return 100 * both >= threshold_pct * (len(sets[i]) + len(sets[j]) - both)
+        return [(ids[i], ids[j]) for i, j in _joined(len(ids), component, pairs(sizes, brief, component), same)]
+    return _by_node(work, ["a", "b"])
+
+
 def _confirm(size: int, threshold_pct: int):
     """Pairs of texts whose full shingle sets reach the threshold."""
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -190,14 +234,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     threshold = threshold_pct / 100
     named = docs.select(*identity(key, text), F.col(key).cast("long").alias("label"), F.col(text).alias("text"))
     sketches = materialise(named.mapInArrow(
-        _sketch(shingle), "row_id long, row_hash int, label long, n_shingles long, class binary, tokens array<int>"), "sketches")
+        _sketch(shingle), "row_id long, row_hash int, label long, n_shingles long, class binary, tokens array<int>, bytes binary"), "sketches")
     classes = materialise(
         sketches.filter("class is not null").groupBy("class").agg(
             F.min("label").alias("label"), F.min(F.struct("row_id", "row_hash")).alias("row"),
-            F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+            F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes"))
         .withColumn("id", F.monotonically_increasing_id()), "classes")
-    low_bytes = F.unhex(F.array_join(F.transform("tokens", lambda t: F.substring(F.hex(t.bitwiseAND(255) + 256), 2, 2)), ""))
-    brief = materialise(classes.select("id", "n_shingles", low_bytes.alias("bytes")), "brief")
+    brief = classes.select("id", "n_shingles", "bytes")
 
     def nodes_of(rows: DataFrame) -> DataFrame:
         """(node, n) of nodes with partners; of nodes with the same classes, one."""
@@ -205,15 +248,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                                          F.sum(F.hash("id").cast("long")).alias("s")).filter("n > 1")
                 .groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node", "n"))
 
-    def likely(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-        """Likely pairs of the nodes in ``rows`` (node, id)."""
+    def sketched(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+        """The rows of nodes (node, id) with what the comparisons of a node need, sorted by node."""
         full = rows.select("node", "id").join(brief, "id")
         if components is None:
             full = full.withColumn("component", F.col("id"))
         else:
             full = full.join(components, F.col("id") == F.col("of"), "left").withColumn("component", F.coalesce("root", "id"))
-        return (full.select("node", "id", "n_shingles", "bytes", "component").repartition("node")
-                .sortWithinPartitions("node").mapInArrow(_compare(threshold, components is None), "a long, b long"))
+        return full.select("node", "id", "n_shingles", "bytes", "component")
+
+    def in_nodes(rows: DataFrame, work, schema: str) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, schema)
 
     def stars(rows: DataFrame) -> DataFrame:
         """Every class of a large node with the node's least one."""
@@ -223,7 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = materialise(classes.select("id", F.explode(_roots(threshold, trees)).alias("node")), "rows")
     rows = materialise(rows.join(nodes_of(rows), "node"), "nodes")
     small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
-    pairs = materialise(likely(small, None).unionByName(stars(large)).distinct(), "pairs")
+    forest = in_nodes(sketched(small, None), _forest(threshold), "a long, b long")
+    pairs = materialise(forest.unionByName(stars(large)).distinct(), "pairs")
     wanted = (pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
               .distinct().join(classes.select("id", "row.*"), "id"))
     texts = materialise(wanted.join(named, ["row_id", "row_hash"]).select("id", "text"), "texts")
@@ -282,8 +328,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     remaining = todo[0]
     for part in todo[1:]:
         remaining = remaining.unionByName(part)
-    rest = materialise(likely(remaining, components).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    components = joined(confirm(rest))
+    border = materialise(in_nodes(sketched(remaining, components), _border(threshold), "node long, id long"), "border")
+    full = sketched(border, components).join(texts, "id").select("node", "id", "n_shingles", "bytes", "component", "text")
+    components = joined(in_nodes(full, _ties(shingle, threshold_pct), "a long, b long"))
 
     rooted = classes.select("class", "label", "id").join(components, F.col("id") == F.col("of"), "left")\
         .withColumn("root", F.coalesce("root", "id"))

@@ -46,20 +46,23 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, int, str], int] = Counter()
+        words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = Counter(w for piece in words_of(text) for w in piece)
-            for word, n in words.items():
+            for piece in words_of(text):
+                words.setdefault(lang, Counter()).update(piece)
+        for lang, seen in words.items():
+            counts: Counter = Counter()
+            for word, n in seen.items():
                 if len(word) <= LONGEST_WORD:
-                    counts[lang, 0, word] += n
+                    counts[0, word] += n
                     for size in range(1, LONGEST_GRAM + 1):
                         for gram in grams_of(word, size):
-                            counts[lang, size, gram] += n
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())],
-            names=["lang", "size", "token", "n"])
+                            counts[size, gram] += n
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()),
+                pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                names=["lang", "size", "token", "n"])
 
 
 class Model:

@@ -25,10 +25,10 @@ from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column
 from attesta.llm.graph import connected_components
 from attesta.llm.scratch import fresh, identity, materialise
 
-COORDINATES = 64
+COORDINATES = 32
 #: Minwise bytes that estimate a similarity; those of a pair at the threshold agree in fewer places than asked for with a
 #: chance of about 3e-6.
-ESTIMATED, DEVIATIONS = 256, 4.5
+ESTIMATED, DEVIATIONS = 192, 4.5
 TREES, LEAF, DEPTH = 12, 256, 6
 #: A node of this many leaves' classes is still compared in one task if few of its pairs are of different components.
 CROWD = 16

@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from attesta.llm.scratch import fresh
 
 ROWS_PER_LANGUAGE = 4_000
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 200_000
 LONGEST_WORD = 40
 LONGEST_GRAM = 5
 BACKOFF = 0.4
@@ -68,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies by token; ``size`` 0 holds words, 1 and up character n-grams."""
 
-    def __init__(self, rows: list, rows_of: dict[str, int]):
+    def __init__(self, rows: Iterable[tuple[str, int, str, int]], rows_of: dict[str, int]):
         self.languages = sorted(rows_of)
         place = {lang: i for i, lang in enumerate(self.languages)}
         total = sum(rows_of.values())
@@ -138,8 +138,9 @@ def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_langua
         .join(F.broadcast(cuts), "l").filter(F.col("pick") <= F.col("cut")).filter("text is not null")
     counts = (sample.select("l", "text").mapInArrow(_count, "lang string, size int, token string, n long")
               .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")))
-    rows = counts.orderBy(F.col("n").desc(), "size", "token", "lang").limit(max_entries).collect()
-    return Model([tuple(r) for r in rows], {r["lang"]: r["rows"] for r in limits})
+    top = counts.orderBy(F.col("n").desc(), "size", "token", "lang").limit(max_entries).toArrow()  # columns, not row objects
+    entries = zip(*(top.column(c).to_pylist() for c in ("lang", "size", "token", "n")))
+    return Model(entries, {r["lang"]: r["rows"] for r in limits})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -17,10 +17,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from attesta.llm.scratch import fresh
+from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
-MAX_ENTRIES = 200_000
+MAX_WORDS, MAX_GRAMS = 250_000, 100_000
+CACHED_WORDS = 300_000
 LONGEST_WORD = 40
 LONGEST_GRAM = 5
 BACKOFF = 0.4
@@ -117,29 +118,33 @@ class Model:
     def cached(self, word: str) -> np.ndarray:
         cache = self.__dict__.setdefault("_cache", {})
         if (got := cache.get(word)) is None:
-            if len(cache) >= PIECE_WORDS:
+            if len(cache) >= CACHED_WORDS:
                 cache.clear()
             got = cache[word] = self.unseen(word)
         return got
 
 
 def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_language: int = ROWS_PER_LANGUAGE,
-        max_entries: int = MAX_ENTRIES) -> Model:
-    """Fit on the ``rows_per_language`` rows of each language with the least ``pick``; of (token, language) counts the
-    ``max_entries`` largest stay. What reaches the driver is bounded by these two."""
+        max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    """Fit on the ``rows_per_language`` rows of each language with the least ``pick``; the largest ``max_words`` (word,
+    language) counts and ``max_grams`` of n-grams stay. What reaches the driver is bounded by these."""
     ranked = labelled.select(F.col(lang).alias("lang"), pick.alias("pick"))
     cut = (ranked.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("pick")))
            .filter(F.col("place") <= rows_per_language).groupBy("lang").agg(F.max("pick").alias("cut"), F.count("*").alias("rows")))
-    limits = cut.orderBy(F.col("rows").desc(), "lang").limit(max_entries).collect()
+    limits = cut.orderBy(F.col("rows").desc(), "lang").limit(max_words).collect()
     if not limits:
         return Model([], {})
     cuts = labelled.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in limits], "l string, cut long")
     sample = labelled.select(F.col(lang).alias("l"), F.col(text).alias("text"), pick.alias("pick"))\
         .join(F.broadcast(cuts), "l").filter(F.col("pick") <= F.col("cut")).filter("text is not null")
-    counts = (sample.select("l", "text").mapInArrow(_count, "lang string, size int, token string, n long")
-              .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "size", "token", "lang").limit(max_entries).toArrow()  # columns, not row objects
-    entries = zip(*(top.column(c).to_pylist() for c in ("lang", "size", "token", "n")))
+    counts = materialise(sample.select("l", "text").mapInArrow(_count, "lang string, size int, token string, n long")
+                         .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")), "counts")
+
+    def largest(some: DataFrame, limit: int) -> Iterator[tuple[str, int, str, int]]:
+        top = some.orderBy(F.col("n").desc(), "size", "token", "lang").limit(limit).toArrow()  # columns, not row objects
+        return zip(*(top.column(c).to_pylist() for c in ("lang", "size", "token", "n")))
+
+    entries = itertools.chain(largest(counts.filter("size = 0"), max_words), largest(counts.filter("size > 0"), max_grams))
     return Model(entries, {r["lang"]: r["rows"] for r in limits})
 
 

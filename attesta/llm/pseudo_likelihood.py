@@ -3,6 +3,8 @@
 A small bidirectional window network predicts every token from its neighbours on both sides; a document's score is the sum
 of the log-probabilities. Words become codes: the most frequent words of the corpus have codes of their own, all others
 share the rest by hash. A code is two digits, predicted one after the other, so probabilities are exact over all codes.
+A word that shares its code takes its share of the code's occurrences, so every word has a probability of its own: the
+counts of the most frequent such words are broadcast, those of all others are joined to the tokens.
 
 Training is data-parallel: each round, every task takes the shared parameters over its part of the corpus by mini-batch
 steps and the results are averaged by tokens, in a tree; only the averaged parameters reach the driver.
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm.columns import Words, slices, text_column
@@ -23,6 +26,9 @@ from attesta.llm.scratch import materialise
 BASE = 32
 CODES = BASE * BASE
 OWN_CODES = CODES // 2
+SHARED_CODES = CODES - OWN_CODES
+#: So many counts of words with shared codes are broadcast; the others are joined, with the same result.
+BROADCAST_COUNTS = 1 << 16
 REACH, WIDTH = 2, 16
 BATCH, RATE, ROUNDS, SEED = 1024, 1.0, 1, 20
 SCORED = 4096
@@ -97,20 +103,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def vocabulary(named: DataFrame) -> np.ndarray:
-    """The keys of the ``OWN_CODES`` most frequent words of all texts, sorted by key."""
-    counts = named.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(named: DataFrame) -> DataFrame:
+    """(word, n) of every word of all texts, as a table."""
+    return materialise(named.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """The keys of the ``OWN_CODES`` most frequent words, sorted by key."""
     top = counts.orderBy(F.col("n").desc(), "word").limit(OWN_CODES).select("word").collect()
     return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def coded(column: pa.Array, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, contexts, targets, number of the first token of each row) of slices of texts."""
+class Shares:
+    """Of the words with shared codes: ``total`` occurrences per code, and the counts of the most frequent words (``key``
+    sorted, ``log_n``)."""
+
+    def __init__(self, counts: DataFrame, own: np.ndarray):
+        others = counts.filter(~F.col("word").isin(own.view(np.int64).tolist()))
+        code = F.col("word").bitwiseAND(F.lit(SHARED_CODES - 1))
+        self.total = np.ones(SHARED_CODES)
+        for r in others.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).collect():
+            self.total[r["code"]] = r["n"]
+        top = others.orderBy(F.col("n").desc(), "word").limit(BROADCAST_COUNTS).toArrow()
+        key = top.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.key, self.log_n = key[order], np.log(top.column("n").to_numpy()[order].astype(np.float64))
+
+    def known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per key the logarithm of its share of its code, as far as its count is here, and whether the count is missing:
+        then the logarithm of the count is still to be added."""
+        out = -np.log(self.total[(key & np.uint64(SHARED_CODES - 1)).astype(np.int64)])
+        if not len(self.key):
+            return out, np.ones(len(key), dtype=bool)
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        here = self.key[place] == key
+        return out + np.where(here, self.log_n[place], 0.0), ~here
+
+
+def coded(column: pa.Array, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, Words]]:
+    """(first row, contexts, targets, words) of slices of texts."""
     for row, _, data, offsets in slices(column):
         words = Words(data, offsets, fold_case=True)
         place = np.minimum(np.searchsorted(own, words.key), max(len(own) - 1, 0))
         known = own[place] == words.key if len(own) else np.zeros(len(words.key), dtype=bool)
-        code = np.where(known, place, OWN_CODES + (words.key % np.uint64(CODES - OWN_CODES)).astype(np.int64))
+        code = np.where(known, place, OWN_CODES + (words.key & np.uint64(SHARED_CODES - 1)).astype(np.int64))
         padded = np.concatenate([np.full(REACH, OUTSIDE), code, np.full(REACH, OUTSIDE)])
         doc = np.concatenate([np.full(REACH, -1), words.doc, np.full(REACH, -1)])
         n = len(code)
@@ -118,7 +154,7 @@ def coded(column: pa.Array, own: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         for i, offset in enumerate(_OFFSETS):
             at = slice(REACH + offset, REACH + offset + n)
             rows[:, i] = np.where(doc[at] == words.doc, padded[at], OUTSIDE) + i * (CODES + 1)
-        yield row, rows, code, words.first
+        yield row, rows, code, words
 
 
 def _train(shared, rate: float):
@@ -147,10 +183,10 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["tokens", "parameters"])
 
 
-def fit(named: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(words with codes of their own, parameters) learned from every token of every text."""
+def fit(named: DataFrame, own: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+    """Parameters learned from every token of every text; ``own``: the words with codes of their own."""
     schema = "tokens long, parameters binary"
-    own, flat = vocabulary(named), Network().flat
+    flat = Network().flat
     spark: SparkSession = named.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((own, flat))
@@ -162,32 +198,57 @@ def fit(named: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.
         if one is None:
             break
         flat = np.frombuffer(one["parameters"], dtype=np.float32)
-    return own, flat
+    return flat
 
 
 def _score(shared):
+    """Per text a number, its id, its tokens, its score as far as the counts at hand say it, and the words (with how often
+    they occur) whose counts are missing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, flat = shared.value
-        net = Network(flat.copy())
+        own, flat, shares = shared.value
+        net, nr = Network(flat.copy()), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for row, rows, code, first in coded(text_column(batch, "text"), own):
+            for row, rows, code, words in coded(text_column(batch, "text"), own):
                 score = np.zeros(len(code) + 1)
                 for i in range(0, len(code), SCORED):
                     score[i + 1:i + 1 + SCORED] = net.log_probabilities(rows[i:i + SCORED], code[i:i + SCORED])
+                at = np.flatnonzero(code >= OWN_CODES)
+                share, missing = shares.known(words.key[at])
+                score[at + 1] += share
                 total = np.cumsum(score)
+                first = words.first
                 n = np.diff(first)
-                each = total[first[1:]] - total[first[:-1]]
                 part = batch.slice(row, len(n))
+                # of each text its words without a count, once
+                key, doc = words.key[at[missing]], words.doc[at[missing]]
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                start = np.flatnonzero(new)
+                ends = pa.array(np.searchsorted(doc[start], np.arange(len(n) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, each, 0.0)),
-                    pa.array(each / np.maximum(n, 1), mask=n == 0)], names=["id", "n_tokens", "pseudo_log_likelihood", "per_token"])
+                    pa.array(np.arange(nr, nr + len(n))), part.column(0), pa.array(n.astype(np.int64)),
+                    pa.array(np.where(n > 0, total[first[1:]] - total[first[:-1]], 0.0)),
+                    pa.ListArray.from_arrays(ends, pa.array(key[start].view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(start, len(key))).astype(np.int64)))],
+                    names=["nr", "id", "n_tokens", "part", "words", "times"])
+                nr += len(n)
     return run
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per document: its id, ``n_tokens``, ``pseudo_log_likelihood`` (natural logarithm, 0 without tokens) and
-    ``per_token`` (null without tokens), by a network fitted to all of ``docs``. A null text has no tokens."""
+    ``per_token`` (null without tokens), by a network and word counts fitted to all of ``docs``. A null text has no tokens."""
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(named, rounds))
-    return named.mapInArrow(_score(shared), "id long, n_tokens long, pseudo_log_likelihood double, per_token double")\
-        .withColumnRenamed("id", key)
+    counts = word_counts(named)
+    own = vocabulary(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((own, fit(named, own, rounds), Shares(counts, own)))
+    scored = materialise(named.mapInArrow(
+        _score(shared), "nr long, id long, n_tokens long, part double, words array<long>, times array<long>"), "scored")
+    missing = scored.select("nr", F.explode(F.arrays_zip("words", "times")).alias("w")).select("nr", "w.words", "w.times")
+    added = missing.join(counts, F.col("words") == F.col("word")).groupBy("nr").agg(F.sum(F.col("times") * F.log("n")).alias("rest"))
+    total = F.col("part") + F.coalesce("rest", F.lit(0.0))
+    return scored.select("nr", "id", "n_tokens", "part").join(added, "nr", "left").select(
+        F.col("id").alias(key), "n_tokens", total.alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))

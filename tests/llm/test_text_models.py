@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import decontaminate, language, pseudo_likelihood
+from attesta.llm.columns import Words
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, n int"
@@ -57,6 +58,28 @@ def test_likelihood_is_a_distribution_and_learns(spark):
     assert pseudo_likelihood.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 16, 3, 0])
+def test_words_of_one_code_have_probabilities_of_their_own(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pseudo_likelihood, "BROADCAST_COUNTS", broadcast)
+    words = [f"r{i}" for i in range(2000)]
+    key = Words(*(lambda d: (np.frombuffer(d, dtype=np.uint8), np.array([0, len(d)])))(" ".join(words).encode())).key
+    code = (key % np.uint64(512)).astype(int)
+    seven = next(c for c in code if (code == c).sum() >= 3)
+    often, some, once = (words[i] for i in np.flatnonzero(code == seven)[:3])
+    rows = [(i, " ".join(f"f{j}" for j in range(512)), "", "", 0) for i in range(60)]
+    rows += [(100 + i, often, "", "", 0) for i in range(40)] + [(200, f"{some} f1 {some}", "", "", 0), (201, some, "", "", 0), (201, some, "", "", 0)]
+    rows += [(300, once, "", "", 0), (None, once.upper(), "", "", 0)]
+    out = pseudo_likelihood.score(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r.pseudo_log_likelihood for r in out}
+    assert got[100] - got[300] == pytest.approx(np.log(40 / 2), abs=1e-6)
+    assert got[201] - got[300] == pytest.approx(np.log(4 / 2), abs=1e-6) and got[None] == pytest.approx(got[300])
+    assert len([r for r in out if r.doc_id == 201 and r.pseudo_log_likelihood == pytest.approx(got[201])]) == 2
+    # the three words' probabilities are the code's: its logarithm is the score less that of the share
+    code_alone = [got[i] - np.log(n / 46) for i, n in ((100, 40), (201, 4), (300, 2))]
+    assert max(code_alone) - min(code_alone) < 1e-6
+
+
 def test_gradient():
     net = pseudo_likelihood.Network(seed=3)
     rng = np.random.default_rng(0)

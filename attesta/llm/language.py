@@ -1,8 +1,8 @@
 """Language identification, word first: a word seen in training scores by its log frequency in each language; an unseen one
 backs off to its longest known character n-grams.
 
-The classifier is fitted on a bounded sample of labelled rows and kept to a bounded number of entries (both parameters), so
-it may be broadcast. Everything else covers all rows.
+The classifier is fitted on a bounded sample of labelled rows (a parameter) and keeps every count of it, so it may be
+broadcast: its size is that of the sample's (token, language) pairs. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
-MAX_WORDS, MAX_GRAMS = 250_000, 100_000
 CACHED_WORDS = 300_000
 LONGEST_WORD = 40
 LONGEST_GRAM = 5
@@ -66,6 +65,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "size", "token", "n"])
 
 
+class Counts:
+    """Log frequencies of the tokens of one size: ``base`` for a token that a language never had, and of each token the
+    languages that had it with what that adds."""
+
+    def __init__(self, tokens: list[str], langs: np.ndarray, n: np.ndarray, languages: int):
+        self.at: dict[str, int] = {}
+        rows = np.array([self.at.setdefault(t, len(self.at)) for t in tokens], dtype=np.int64)
+        order = np.argsort(rows, kind="stable")
+        self.lang, self.gain = langs[order], np.log((n[order] + 0.5) / 0.5)
+        self.start = np.searchsorted(rows[order], np.arange(len(self.at) + 1))
+        mass = np.bincount(langs, weights=n, minlength=languages) + 0.5 * (len(self.at) + 2)
+        self.base = np.log(0.5 / mass)
+
+    def total(self, at: np.ndarray) -> np.ndarray:
+        """The sum over some tokens, by language."""
+        begin = self.start[at]
+        length = self.start[at + 1] - begin
+        place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        return len(at) * self.base + np.bincount(self.lang[place], weights=self.gain[place], minlength=len(self.base))
+
+
 class Model:
     """Log frequencies by token; ``size`` 0 holds words, 1 and up character n-grams."""
 
@@ -74,38 +94,32 @@ class Model:
         place = {lang: i for i, lang in enumerate(self.languages)}
         total = sum(rows_of.values())
         self.prior = np.log(np.array([rows_of[x] / total for x in self.languages])) if rows_of else np.zeros(0)
-        self.tokens: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        counts: list[list] = [[] for _ in range(LONGEST_GRAM + 1)]
+        found: list[tuple[list, list, list]] = [([], [], []) for _ in range(LONGEST_GRAM + 1)]
         for lang, size, token, n in rows:
-            at = self.tokens[size].setdefault(token, len(self.tokens[size]))
-            counts[size].append((at, place[lang], n))
-        self.score = []
-        for size in range(LONGEST_GRAM + 1):
-            matrix = np.zeros((len(self.tokens[size]) + 1, len(self.languages)))  # the last row scores nothing
-            for at, lang, n in counts[size]:
-                matrix[at, lang] = n
-            mass = matrix.sum(axis=0) + 0.5 * (len(matrix) + 1)
-            matrix = np.log((matrix + 0.5) / mass)
-            matrix[-1] = 0
-            self.score.append(matrix)
+            for column, x in zip(found[size], (token, place[lang], n)):
+                column.append(x)
+        self.counts = [Counts(tokens, np.array(langs, dtype=np.int32), np.array(n, dtype=np.float64), len(self.languages))
+                       for tokens, langs, n in found]
 
     def unseen(self, word: str) -> np.ndarray:
         """An unseen word: the mean log frequency of its longest known n-grams, less for each step down."""
         for step, size in enumerate(range(LONGEST_GRAM, 0, -1)):
-            known = [i for g in grams_of(word, size) if (i := self.tokens[size].get(g)) is not None]
+            counts = self.counts[size]
+            known = [i for g in grams_of(word, size) if (i := counts.at.get(g)) is not None]
             if known:
-                return self.score[size][known].mean(axis=0) + (step + 1) * np.log(BACKOFF)
-        return self.score[0][-1]
+                return counts.total(np.array(known)) / len(known) + (step + 1) * np.log(BACKOFF)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, n = self.prior.copy(), 0
-        seen, get = self.score[0], self.tokens[0].get
+        seen = self.counts[0]
+        get = seen.at.get
         for words in words_of(text or ""):
             n += len(words)
             if not self.languages:
                 break
             at = np.array([get(w, -1) for w in words], dtype=np.int64)
-            total += np.bincount(at[at >= 0], minlength=len(seen))[:-1] @ seen[:-1] if len(at) > len(seen) // 8 else seen[at].sum(axis=0)
+            total += seen.total(at[at >= 0])
             for i, m in Counter(words[i] for i in np.flatnonzero(at < 0)).items():
                 total += m * self.cached(i)
         if not n or not self.languages:
@@ -124,14 +138,12 @@ class Model:
         return got
 
 
-def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_language: int = ROWS_PER_LANGUAGE,
-        max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Fit on the ``rows_per_language`` rows of each language with the least ``pick``; the largest ``max_words`` (word,
-    language) counts and ``max_grams`` of n-grams stay. What reaches the driver is bounded by these."""
+def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """Fit on the ``rows_per_language`` rows of each language with the least ``pick``. Every count of these rows stays."""
     ranked = labelled.select(F.col(lang).alias("lang"), pick.alias("pick"))
     cut = (ranked.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("pick")))
            .filter(F.col("place") <= rows_per_language).groupBy("lang").agg(F.max("pick").alias("cut"), F.count("*").alias("rows")))
-    limits = cut.orderBy(F.col("rows").desc(), "lang").limit(max_words).collect()
+    limits = cut.orderBy("lang").collect()
     if not limits:
         return Model([], {})
     cuts = labelled.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in limits], "l string, cut long")
@@ -140,12 +152,13 @@ def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_langua
     counts = materialise(sample.select("l", "text").mapInArrow(_count, "lang string, size int, token string, n long")
                          .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")), "counts")
 
-    def largest(some: DataFrame, limit: int) -> Iterator[tuple[str, int, str, int]]:
-        top = some.orderBy(F.col("n").desc(), "size", "token", "lang").limit(limit).toArrow()  # columns, not row objects
-        return zip(*(top.column(c).to_pylist() for c in ("lang", "size", "token", "n")))
+    def entries() -> Iterator[tuple[str, int, str, int]]:
+        for size in range(LONGEST_GRAM + 1):  # columns, not row objects, and one size at a time
+            found = counts.filter(F.col("size") == size).orderBy("token", "lang").toArrow()
+            for batch in found.to_batches():
+                yield from zip(*(batch.column(c).to_pylist() for c in ("lang", "size", "token", "n")))
 
-    entries = itertools.chain(largest(counts.filter("size = 0"), max_words), largest(counts.filter("size > 0"), max_grams))
-    return Model(entries, {r["lang"]: r["rows"] for r in limits})
+    return Model(entries(), {r["lang"]: r["rows"] for r in limits})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

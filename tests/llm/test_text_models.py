@@ -58,6 +58,24 @@ def test_likelihood_is_a_distribution_and_learns(spark):
     assert pseudo_likelihood.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_every_count_of_the_sample_stays(spark):
+    rng = random.Random(4)
+    large = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40_000)]
+    small = ["qzqzqyk", "zvzvqyk", "qvqvzyk"]
+    rows = [(i, " ".join(large[i::80]), "aa", "", 0) for i in range(80)] + [(100 + i, " ".join(small), "zz", "", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(docs, "text", "lang", F.col("doc_id"))
+    for size in range(1, language.LONGEST_GRAM + 1):
+        want = {(lang, g) for lang, words in (("aa", large), ("zz", small)) for w in words for g in language.grams_of(w, size)}
+        got = {(model.languages[model.counts[size].lang[j]], g) for g, i in model.counts[size].at.items()
+               for j in range(model.counts[size].start[i], model.counts[size].start[i + 1])}
+        assert got == want
+    assert set(model.counts[0].at) == set(large) | set(small)
+    # words that no row has, known by their n-grams alone
+    out = language.predict(spark.createDataFrame([("zvzvqykzvzvqyk qzqzqykk " * 4,)], "text string"), model).first()
+    assert out.lang_pred == "zz"
+
+
 @pytest.mark.parametrize("broadcast", [1 << 16, 3, 0])
 def test_words_of_one_code_have_probabilities_of_their_own(spark, monkeypatch, broadcast):
     monkeypatch.setattr(pseudo_likelihood, "BROADCAST_COUNTS", broadcast)

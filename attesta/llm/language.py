@@ -21,6 +21,7 @@ from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
 CACHED_WORDS = 300_000
+#: A longer run of letters (a clause, where words are not spaced) is no word of its own, but its n-grams count.
 LONGEST_WORD = 40
 LONGEST_GRAM = 5
 BACKOFF = 0.4
@@ -55,9 +56,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in seen.items():
                 if len(word) <= LONGEST_WORD:
                     counts[0, word] += n
-                    for size in range(1, LONGEST_GRAM + 1):
-                        for gram in grams_of(word, size):
-                            counts[size, gram] += n
+                for size in range(1, LONGEST_GRAM + 1):
+                    for gram in grams_of(word, size):
+                        counts[size, gram] += n
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()),

@@ -76,6 +76,13 @@ def test_every_count_of_the_sample_stays(spark):
     assert out.lang_pred == "zz"
 
 
+def test_long_runs_teach_their_grams(spark):
+    rows = [(i, "日本語文章" * 12, "ja", "", 0) for i in range(3)] + [(10 + i, "中国話句子" * 2, "zh", "", 0) for i in range(6)]
+    model = language.fit(spark.createDataFrame(rows, SCHEMA), "text", "lang", F.col("doc_id"))
+    assert "日本語文章" in model.counts[5].at and "日本語文章" * 12 not in model.counts[0].at
+    assert model.predict("本語文章日本")[0] == "ja" and model.predict("国話句子中")[0] == "zh"
+
+
 @pytest.mark.parametrize("broadcast", [1 << 16, 3, 0])
 def test_words_of_one_code_have_probabilities_of_their_own(spark, monkeypatch, broadcast):
     monkeypatch.setattr(pseudo_likelihood, "BROADCAST_COUNTS", broadcast)

@@ -1,8 +1,8 @@
 """MinHash near-dedup: a chosen-path set similarity join.
 
 Documents with equal shingle sets form one class. Each class carries a signature of minwise tokens (coordinate, value).
-In every tree a node passes on its classes to children named by chosen tokens, ``1 / threshold`` of them expected per
-class, so a similar pair keeps meeting while others part; nodes of at most ``leaf`` classes are compared exhaustively on
+In every tree a node passes on its classes to children named by chosen tokens (at the root ``1 / threshold`` of them
+expected per class and one at least, below it two), so a similar pair keeps meeting while others part; nodes of at most ``leaf`` classes are compared exhaustively on
 signatures, and pairs that may reach the threshold are confirmed on their full sets. Independent trees bring up recall.
 
 A dense group never parts, and listing all its pairs is no use. So leaves first give a spanning forest of their likely
@@ -30,6 +30,8 @@ COORDINATES = 32
 #: chance of about 3e-6.
 ESTIMATED, DEVIATIONS = 192, 4.5
 TREES, LEAF, DEPTH = 12, 256, 6
+#: Coordinates that a large node chooses: a pair at the threshold goes on in 1.6 children of each node that holds it.
+CHOICES = 2
 #: A node of this many leaves' classes is still compared in one task if few of its pairs are of different components.
 CROWD = 16
 
@@ -79,19 +81,29 @@ def _sketch(size: int):
     return run
 
 
+def _root_choices(threshold: float, trees: int) -> list[list[int]]:
+    """(tree, coordinate) of the children of the roots; a tree that chose none draws again."""
+    out = []
+    for tree in range(trees):
+        chosen, draw = np.zeros(0, dtype=np.int64), 0
+        while not len(chosen):
+            at = np.arange(tree * COORDINATES, (tree + 1) * COORDINATES, dtype=np.uint64) + np.uint64(7_001 + draw * trees * COORDINATES)
+            chosen, draw = np.flatnonzero((mix64(at) >> np.uint64(33)) < (1 << 31) / (threshold * COORDINATES)), draw + 1
+        out += [[tree, i] for i in chosen.tolist()]
+    return out
+
+
 def _roots(threshold: float, trees: int) -> Column:
     """The children of the roots: the coordinates that a tree's root chooses are the same for every class."""
-    dice = mix64(np.arange(trees * COORDINATES, dtype=np.uint64) + np.uint64(7_001)).reshape(trees, COORDINATES) >> np.uint64(33)
-    chosen = np.argwhere(dice < (1 << 31) / (threshold * COORDINATES)).tolist()
-    return F.array(*[F.xxhash64(F.lit(tree), F.lit(i), F.element_at("tokens", i + 1)) for tree, i in chosen])
+    return F.array(*[F.xxhash64(F.lit(tree), F.lit(i), F.element_at("tokens", i + 1)) for tree, i in _root_choices(threshold, trees)])
 
 
-def _branch(path: Column, level: Column, threshold: float) -> Column:
-    """The children that a class goes to: tokens whose coordinate the node chooses."""
-    chance = round((1 << 31) / (threshold * COORDINATES))
+def _branch(path: Column, level: Column, tries: Column) -> Column:
+    """The children that a class goes to: tokens of the coordinates that the node chooses, ``CHOICES`` for each of the
+    ``tries`` (nodes of equal members) that it stands for."""
     every = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.struct(
-        i.alias("i"), F.element_at("tokens", i + 1).alias("value")))
-    chosen = F.filter(every, lambda t: F.pmod(F.xxhash64(path, level, t["i"]), F.lit(1 << 31)) < chance)
+        F.xxhash64(path, level, i).alias("dice"), i.alias("i"), F.element_at("tokens", i + 1).alias("value")))
+    chosen = F.slice(F.array_sort(every), 1, F.least(CHOICES * tries, F.lit(COORDINATES)).cast("int"))
     return F.transform(chosen, lambda t: F.xxhash64(path, level, t["i"], t["value"]))
 
 
@@ -243,10 +255,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     brief = classes.select("id", "n_shingles", "bytes")
 
     def nodes_of(rows: DataFrame) -> DataFrame:
-        """(node, n) of nodes with partners; of nodes with the same classes, one."""
+        """(node, n, tries) of nodes with partners; of nodes with the same classes one, with their number."""
         return (rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                          F.sum(F.hash("id").cast("long")).alias("s")).filter("n > 1")
-                .groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node", "n"))
+                .groupBy("n", "x", "s").agg(F.min("node").alias("node"), F.count("*").alias("tries")).select("node", "n", "tries"))
 
     def sketched(rows: DataFrame, components: DataFrame | None) -> DataFrame:
         """The rows of nodes (node, id) with what the comparisons of a node need, sorted by node."""
@@ -295,12 +307,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return materialise(known.unionByName(single), "components")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the nodes that hold several components, with n (classes) and ``apart`` (pairs of different components)."""
+        """Rows (with ``tries``) of the nodes that hold several components, with n (classes) and ``apart`` (pairs of different
+        components)."""
         rooted = rows.select("node", "id").join(components, F.col("id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "id"))
         held = rooted.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
         several = held.select("node", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("apart")).filter("apart > 0")
-        return rows.select("node", "id").join(several, "node")
+        return rows.select("node", "id", "tries").join(several, "node")
 
     easy = (F.col("n") <= leaf) | ((F.col("n") <= CROWD * leaf) & (F.col("apart") <= leaf * leaf))
     todo = [mixed(small).select("node", "id")]
@@ -315,10 +328,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             todo.append(dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id"))
             break
         level += 1
-        children = hard.select("id", "node").join(classes.select("id", "tokens"), "id")
-        children = children.select("id", F.explode(_branch(F.col("node"), F.lit(level), threshold)).alias("node")).distinct()
+        children = hard.select("id", "node", "tries").join(classes.select("id", "tokens"), "id")
+        children = children.select("id", F.explode(_branch(F.col("node"), F.lit(level), F.col("tries"))).alias("node")).distinct()
         children = materialise(children, "rows")
-        children = materialise(mixed(children.join(nodes_of(children).select("node"), "node", "left_semi")), "nodes")
+        children = materialise(mixed(children.join(nodes_of(children).select("node", "tries"), "node")), "nodes")
         todo.append(children.filter(F.col("n") <= leaf).select("node", "id"))
         large = children.filter(F.col("n") > leaf)
         if not large.isEmpty():

@@ -69,6 +69,29 @@ def test_components(spark, leaf, depth):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_every_tree_has_a_root_choice():
+    for threshold, trees in ((0.8, near_dedup.TREES), (0.95, 40)):
+        assert {tree for tree, _ in near_dedup._root_choices(threshold, trees)} == set(range(trees))
+
+
+def test_pairs_stay_together_down_to_the_depth(spark):
+    """Signatures of pairs at 0.8 share a node of every level, though none is ever compared."""
+    rng = np.random.default_rng(5)
+    n = 2000
+    first = rng.integers(0, 1 << 30, (n, near_dedup.COORDINATES))
+    second = np.where(rng.random(first.shape) < 0.8, first, first + 1)
+    pairs = spark.createDataFrame([(i, [int(x) for x in a], [int(x) for x in b]) for i, (a, b) in enumerate(zip(first, second))], "id long, a array<int>, b array<int>")
+    roots = near_dedup._roots(0.8, near_dedup.TREES)
+    rows = pairs.select("id", F.col("a").alias("tokens"), F.lit("a").alias("side")).unionByName(pairs.select("id", F.col("b").alias("tokens"), F.lit("b").alias("side")))
+    rows = rows.select("id", "side", "tokens", F.explode(roots).alias("node")).localCheckpoint()
+    for level in range(2, near_dedup.DEPTH + 1):
+        met = rows.groupBy("id", "node").agg(F.countDistinct("side").alias("sides")).filter("sides = 2").select("id", "node")
+        rows = rows.join(met, ["id", "node"]).select(
+            "id", "side", "tokens", F.explode(near_dedup._branch(F.col("node"), F.lit(level), F.lit(1))).alias("node")).distinct().localCheckpoint()
+    met = rows.groupBy("id", "node").agg(F.countDistinct("side").alias("sides")).filter("sides = 2").select("id").distinct()
+    assert met.count() >= n * 0.999
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_corpus(5, n=60)
     kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4)

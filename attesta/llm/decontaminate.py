@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from attesta.llm.columns import SLICE_BYTES, Words, gram_hashes, mix64, slices, text_column
-from attesta.llm.scratch import fresh, materialise
+from attesta.llm.scratch import fresh, identity, materialise
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 1 << 22
@@ -235,7 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` less those that leak an item."""
-    found = leaks(docs, benchmark, key, text, **options).select(key).distinct()
-    mark, = fresh(docs, "leaked")
-    return docs.join(found.withColumnRenamed(key, mark), F.col(key) == F.col(mark), "left_anti")
+    """``docs`` less those that leak an item. Rows are told apart by ``scratch.identity``: one without an id goes by its text."""
+    row_id, row_hash, row = fresh(docs, "row_id", "row_hash", "row")
+    named = docs.withColumns(dict(zip((row_id, row_hash), identity(key, text))))
+    one = F.xxhash64(row_id, row_hash)
+    found = leaks(named.select(one.alias(row), F.col(text)), benchmark, row, text, **options).select(row).distinct()
+    return named.withColumn(row, one).join(found, row, "left_anti").select(*docs.columns)

@@ -170,6 +170,14 @@ def test_leaks_edges(spark):
     assert decontaminate.leaks(docs.limit(0), item).count() == 0
 
 
+def test_leaking_rows_without_an_id_go(spark):
+    rows = [(None, "a b c d e f", "", "", 0), (None, "x y z", "", "", 0), (None, None, "", "", 0), (1, "a b c d", "", "", 0), (1, "x y", "", "", 0)]
+    item = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    left = decontaminate.without_leaks(spark.createDataFrame(rows, SCHEMA), item)
+    assert left.columns == ["doc_id", "text", "lang", "lang_pred", "n"]
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, "x y z"), (None, None), (1, "x y")}
+
+
 def test_cgk_keeps_close_rows_close():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 62, (200, 40)).astype(np.uint64)

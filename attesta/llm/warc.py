@@ -47,19 +47,26 @@ def plan_records(pages: DataFrame, key: str, payload: str, least_bytes: int = 0)
 
 
 def chunk_rows(pages: DataFrame, records: DataFrame, key: str, payload: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table: a row per chunk of each response, in order within a partition; one row per revisit."""
+    """The chunked record table: a row per chunk of each response, in order within a partition; one row per revisit. Payloads
+    are cut before they travel, and of rows that occur twice one brings its chunks."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    bodies = pages.select(F.col(key).cast("long").alias("k"), F.sha1(body).alias("h"), body.alias("body"))
-    responses = records.filter("record_type = 'response'")
-    stored = (responses.join(bodies, F.col("id").eqNullSafe(F.col("k")) & (F.col("sha1") == F.col("h")))
-              .withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
-                  F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / chunk_bytes))))))
+
+    def places(size):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((size - 1) / chunk_bytes))))
+
+    named = [F.coalesce(F.col("id"), F.lit(0)).alias("k"), F.col("id").isNull().alias("unnamed"), F.col("sha1").alias("h")]
+    on = ["k", "unnamed", "h", "chunk_no"]
     chunk = F.substring("body", (F.col("chunk_no") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    pieces = (pages.select(F.col(key).cast("long").alias("id"), F.sha1(body).alias("sha1"), body.alias("body"))
+              .select(*named, "body", places(F.length("body").cast("long")).alias("chunk_no"))
+              .select(*on, chunk.alias("data")).groupBy(*on).agg(F.first("data").alias("data")))
     columns = ["id", "copy", "sha1", "bytes", "record_type", "refers_to"]
-    stored = stored.select(*columns, "chunk_no", chunk.alias("data"))
-    named = records.filter("record_type = 'revisit'").select(
+    responses = records.filter("record_type = 'response'").select(*columns, *named, places(F.col("bytes")).alias("chunk_no"))
+    stored = responses.join(pieces, on).select(*columns, "chunk_no", "data")
+    revisits = records.filter("record_type = 'revisit'").select(
         *columns, F.lit(0).cast("long").alias("chunk_no"), F.lit(None).cast("binary").alias("data"))
-    return stored.unionByName(named)
+    return (stored.unionByName(revisits).repartition("id", "copy", "sha1")
+            .sortWithinPartitions("id", "copy", "sha1", "chunk_no"))
 
 
 def _uri(number, copy) -> str:
@@ -89,7 +96,7 @@ def _header(kind: str, record: dict, chunk_no: int, chunks: int, length: int) ->
 def _write(folder: str, chunk_bytes: int, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
-        out, path, count, last, digest = None, "", 0, None, None
+        out, path, count, digest = None, "", 0, None
 
         def manifest():
             out.close()
@@ -100,9 +107,6 @@ def _write(folder: str, chunk_bytes: int, roll_bytes: int):
             for i in range(batch.num_rows):  # a row at a time: a chunk is all that is in Python's memory
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 data = row["data"] or b""
-                place = (row["id"], row["copy"], row["sha1"], row["record_type"], row["chunk_no"])
-                if row["record_type"] == "response" and last is not None and place[:4] == last[0] and place[4] <= last[1]:
-                    continue  # a repeated row of a response brings its chunks again
                 chunks = max(1, -(-row["bytes"] // chunk_bytes)) if row["record_type"] == "response" else 1
                 if row["chunk_no"] == 0 and out is not None and out.tell() >= roll_bytes:
                     yield manifest()
@@ -118,7 +122,6 @@ def _write(folder: str, chunk_bytes: int, roll_bytes: int):
                         raise ValueError(f"record {row['id']}: chunks do not make up its payload")
                 out.write(gzip.compress(_header(kind, row, row["chunk_no"], chunks, len(data)) + data + b"\r\n\r\n", 1, mtime=0))
                 count += row["chunk_no"] == 0
-                last = (place[:4], place[4])
         if out is not None:
             yield manifest()
     return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, mixing, near_dedup, pseudo_likelihood, suffix_sort, warc
+from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, mixing, near_dedup, periodic_runs, pseudo_likelihood, suffix_sort, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +133,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and the document without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.collapse_runs(docs, alter=True, with_text=False).drop("text")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""

@@ -2,10 +2,11 @@
 
 A run of period q is a stretch of words that equal the word q places on, four periods long at least. Periods from 2^o up to
 2^(o+1) form octave o. Every document is cut into overlapping tiles, whose length follows the octave (low octaves share
-one length), and tiles go to tasks by hash, so a long document is not one task's work. In a tile, boundaries stand 2 * 2^o
-words apart: each stretch long enough holds one that has 2^o further words of it behind it. There, for each period of the
-octave, the Z-function gives how far the words from the boundary on agree with those one period later, and the reversed one how
-far the words before it do. Fragments of the same document and period meet in a shuffle, where those that touch become one.
+one length). A document of one tile is solved where it is cut; the tiles of longer ones go to tasks by hash, so a long document
+is not one task's work. In a tile, boundaries stand 2 * 2^o words apart: each stretch long enough holds one that has 2^o further
+words of it behind it. There, for each period of the octave, the Z-function gives how far the words from the boundary on agree with
+those one period later, and the reversed one how far the words before it do. Fragments of the same document and period meet in a
+shuffle, where those that touch become one.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ PIECE_BYTES = 1 << 20
 #: Words of the tiles that a task solves at once.
 BATCH_WORDS = 1 << 19
 LEAST_LENGTH, LEAST_PERIODS = 6, 4
-TILE = "row_id long, row_hash int, base long, low int, high int, ids binary"
+TILE = "base long, low int, high int, ids binary"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 FRAGMENT = "row_id long, row_hash int, period long, first long, past long"
+FRAGMENT_NAMES = ["row_id", "row_hash", "period", "first", "past"]
 
 
 def altered(doc_id: int | None, n: int) -> np.ndarray | None:
@@ -83,34 +85,75 @@ def tiles_of(n: int, tile_words: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _cut(alter: bool, tile_words: int):
+    """Tiles of texts: documents of one tile are solved at once (rows with a period), tiles of longer ones go on as they are
+    (rows with numbers of words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, away, held = Held(), [], 0
         for batch in batches:
             texts, keys = batch.column(3), batch.column(2)
-            out, held = [], 0
             for i in range(batch.num_rows):
                 if not texts[i].is_valid:
                     continue
                 ids, _ = numbered(texts[i].as_py(), keys[i].as_py(), alter)
                 name = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                for low, high, first, past in tiles_of(len(ids), tile_words):
-                    out.append((*name, first, low, high, ids[first:past].tobytes()))
+                tiles = list(tiles_of(len(ids), tile_words))
+                if len(tiles) == 1:
+                    yield from here.add((*name, 0), *tiles[0][:2], ids)
+                    continue
+                for low, high, first, past in tiles:
+                    away.append((*name, None, None, None, first, low, high, ids[first:past].tobytes()))
                     held += past - first
                     if held >= BATCH_WORDS:
-                        yield _rows(out, _TILE_SCHEMA)
-                        out, held = [], 0
-            if out:
-                yield _rows(out, _TILE_SCHEMA)
+                        yield _rows(away)
+                        away, held = [], 0
+        if away:
+            yield _rows(away)
+        yield from here.rest()
     return run
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), _TILE_SCHEMA.types)], schema=_TILE_SCHEMA)
+
+
+_TILE_SCHEMA = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int32()), ("period", pa.int64()), ("first", pa.int64()),
+                          ("past", pa.int64()), ("base", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ids", pa.binary())])
+
+
+class Held:
+    """Tiles that wait to be solved together, by their octaves."""
+
+    def __init__(self):
+        self.tiles: dict[tuple[int, int], tuple[list, list]] = {}
+        self.words: dict[tuple[int, int], int] = {}
 
+    def add(self, name: tuple, low: int, high: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, parts = self.tiles.setdefault((low, high), ([], []))
+        names.append(name)
+        parts.append(ids)
+        self.words[(low, high)] = self.words.get((low, high), 0) + len(ids)
+        if sum(self.words.values()) >= BATCH_WORDS:
+            yield from self.rest()
 
-_TILE_SCHEMA = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int32()), ("base", pa.int64()), ("low", pa.int32()),
-                          ("high", pa.int32()), ("ids", pa.binary())])
-_FRAGMENT_SCHEMA = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int32()), ("period", pa.int64()), ("first", pa.int64()),
-                              ("past", pa.int64())])
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for octaves, (names, parts) in self.tiles.items():
+            length = np.array([len(p) for p in parts])
+            start = np.cumsum(length + 1) - length - 1
+            symbols = np.empty(int(length.sum()) + len(parts), dtype=np.int64)
+            for no, (at, part) in enumerate(zip(start, parts)):
+                symbols[at:at + len(part)] = part
+                symbols[at + len(part)] = -1 - no  # equals nothing else
+            period, first, past = solve(symbols, *octaves)
+            if not len(period):
+                continue
+            tile = np.searchsorted(start, first, side="right") - 1
+            row_id, row_hash, base = (np.array(x) for x in zip(*names))
+            shift = base[tile] - start[tile]
+            found = [row_id[tile], row_hash[tile], period, first + shift, past + shift]
+            columns = [pa.array(c, type=t) for c, t in zip(found, _TILE_SCHEMA.types)]
+            columns += [pa.nulls(len(tile), t) for t in _TILE_SCHEMA.types[5:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=_TILE_SCHEMA)
+        self.tiles, self.words = {}, {}
 
 
 class BoundaryZ:
@@ -232,50 +275,25 @@ def verified(symbols: np.ndarray, period: np.ndarray, first: np.ndarray, past: n
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[int, int], tuple[list, list]] = {}
-
-    def done(octaves: tuple[int, int]):
-        names, parts = held.pop(octaves)
-        length = np.array([len(p) for p in parts])
-        start = np.cumsum(length + 1) - length - 1
-        symbols = np.empty(int(length.sum()) + len(parts), dtype=np.int64)
-        for no, (at, part) in enumerate(zip(start, parts)):
-            symbols[at:at + len(part)] = part
-            symbols[at + len(part)] = -1 - no  # equals nothing else
-        period, first, past = solve(symbols, *octaves)
-        if not len(period):
-            return None
-        tile = np.searchsorted(start, first, side="right") - 1
-        row_id, row_hash, base = (np.array(x) for x in zip(*names))
-        shift = base[tile] - start[tile]
-        return pa.RecordBatch.from_arrays([
-            pa.array(row_id[tile], pa.int64()), pa.array(row_hash[tile], pa.int32()), pa.array(period),
-            pa.array(first + shift, pa.int64()), pa.array(past + shift, pa.int64())], schema=_FRAGMENT_SCHEMA)
-
-    size: dict[tuple[int, int], int] = {}
+    held = Held()
     for batch in batches:
         for i in range(batch.num_rows):
             row_id, row_hash, base, low, high = (batch.column(j)[i].as_py() for j in range(5))
-            ids = np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.int32)
-            names, parts = held.setdefault((low, high), ([], []))
-            names.append((row_id, row_hash, base))
-            parts.append(ids.copy())
-            size[(low, high)] = size.get((low, high), 0) + len(ids)
-            if size[(low, high)] >= BATCH_WORDS:
-                size[(low, high)] = 0
-                if (out := done((low, high))) is not None:
-                    yield out
-    for octaves in list(held):
-        if (out := done(octaves)) is not None:
-            yield out
+            ids = np.frombuffer(batch.column(5)[i].as_py(), dtype=np.int32)
+            for out in held.add((row_id, row_hash, base), low, high, ids):
+                yield out.select(FRAGMENT_NAMES)
+    for out in held.rest():
+        yield out.select(FRAGMENT_NAMES)
 
 
 def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", alter: bool = False,
               tile_words: int = TILE_WORDS) -> DataFrame:
     """(row_id, row_hash, start, length, period) of every run of every text."""
     named = docs.select(*identity(key, text), F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    tiles = named.mapInArrow(_cut(alter, tile_words), TILE)
-    fragments = materialise(tiles.repartition("row_id", "row_hash", "low", "base").mapInArrow(_solve, FRAGMENT), "fragments")
+    cut = materialise(named.mapInArrow(_cut(alter, tile_words), FRAGMENT + ", " + TILE), "tiles")
+    away = cut.filter("ids IS NOT NULL").select("row_id", "row_hash", "base", "low", "high", "ids")
+    spread = away.repartition("row_id", "row_hash", "low", "base").mapInArrow(_solve, FRAGMENT)
+    fragments = cut.filter("ids IS NULL").select(*FRAGMENT_NAMES).unionByName(spread)
     near = W.partitionBy("row_id", "row_hash", "period").orderBy("first", "past")
     before = near.rowsBetween(W.unboundedPreceding, -1)
     begins = F.coalesce(F.col("first") > F.max("past").over(before), F.lit(True))
@@ -341,7 +359,7 @@ def collapse_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", alte
             .agg(F.collect_list(F.struct("start", "length", "period")).alias(last))
             .withColumnsRenamed({"row_id": row_id, "row_hash": row_hash}))
     named = docs.withColumns(dict(zip((row_id, row_hash), identity(key, text))))
-    rows = named.join(runs, [row_id, row_hash], "left").select(*docs.columns, last)
+    rows = named.join(runs.hint("merge"), [row_id, row_hash], "left").select(*docs.columns, last)  # runs grow with the texts
     added = [c for c in RESULT if with_text or c != "collapsed_text"]
     names = fresh(docs, *added)
     schema = schema_with(rows, {n: RESULT[c] for n, c in zip(names, added)})

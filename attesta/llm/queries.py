@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, mixing, near_dedup, periodic_runs, pseudo_likelihood, suffix_sort, warc
+from attesta.llm import decontaminate, fm_index, html_text, kd_search, language, license_scan, mixing, multi_index, near_dedup, periodic_runs, pseudo_likelihood, suffix_sort, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +133,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def _license_labels() -> str:
+    """SQL: a list with the label of each template whose regular expression matches ``joined`` (null for the others)."""
+    return ", ".join(f"CASE WHEN regexp_matches(joined, '{license_scan.template_regex(wording)}') THEN '{label}' END"
+                     for label, wordings in license_scan.TEMPLATES.items() for wording in wordings)
+
+
+def _phrase_places(phrase: str) -> str:
+    """SQL: the list of the places in ``words`` where the phrase stands, from 0."""
+    here = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+    return f"CASE WHEN contains(joined, ' {phrase} ') THEN list_filter(range(0, len(words)), lambda i: {here}) ELSE [] END"
+
+
+_NAMED = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in license_scan.PHRASES)
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^ -/:-`{-]+'), []) AS words FROM documents),
+j AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM w),
+p AS (SELECT doc_id, words, {', '.join(f'{_phrase_places(phrase)} AS {label}' for label, phrase in license_scan.PHRASES.items())},
+             list_filter([{_license_labels()}], lambda x: x IS NOT NULL) AS found FROM j),
+a AS (SELECT doc_id, len(words)::BIGINT AS n_words, {' || '.join(license_scan.PHRASES)} AS places, found,
+             list_filter([{_NAMED}], lambda x: x IS NOT NULL) AS named FROM p)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       array_to_string(list_sort(named), ',') AS base_labels, array_to_string(list_sort(list_distinct(named || found)), ',') AS labels,
+       CASE WHEN len(found) > 0 THEN 1.0::DOUBLE WHEN len(named) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM a
+""")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).drop("text", "places")
+
+
 @query()
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, and the document without their repeats."""
@@ -140,6 +174,27 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapse_runs(docs, alter=True, with_text=False).drop("text")
 
 
+@query("""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score
+                   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor vector and each of its positives."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return multi_index.hard_negatives(vectors.withColumn("label", moved))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""

@@ -150,7 +150,7 @@ _NAMED = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in
 
 @query(rf"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                      '[^ -/:-`{-]+'), []) AS words FROM documents),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
 j AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM w),
 p AS (SELECT doc_id, words, {', '.join(f'{_phrase_places(phrase)} AS {label}' for label, phrase in license_scan.PHRASES.items())},
              list_filter([{_license_labels()}], lambda x: x IS NOT NULL) AS found FROM j),

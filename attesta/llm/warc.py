@@ -48,7 +48,8 @@ def plan_records(pages: DataFrame, key: str, payload: str, least_bytes: int = 0)
 
 def chunk_rows(pages: DataFrame, records: DataFrame, key: str, payload: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table: a row per chunk of each response, in order within a partition; one row per revisit. Payloads
-    are cut before they travel, and of rows that occur twice one brings its chunks."""
+    are cut before they travel, of rows that occur twice one brings its chunks, and only records of more than one chunk are
+    gathered once more."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
 
     def places(size):
@@ -65,8 +66,8 @@ def chunk_rows(pages: DataFrame, records: DataFrame, key: str, payload: str, chu
     stored = responses.join(pieces, on).select(*columns, "chunk_no", "data")
     revisits = records.filter("record_type = 'revisit'").select(
         *columns, F.lit(0).cast("long").alias("chunk_no"), F.lit(None).cast("binary").alias("data"))
-    return (stored.unionByName(revisits).repartition("id", "copy", "sha1")
-            .sortWithinPartitions("id", "copy", "sha1", "chunk_no"))
+    long = stored.filter(F.col("bytes") > chunk_bytes).repartition("id", "sha1").sortWithinPartitions("id", "sha1", "chunk_no")
+    return stored.filter(F.col("bytes") <= chunk_bytes).unionByName(revisits).unionByName(long)
 
 
 def _uri(number, copy) -> str:

@@ -7,10 +7,8 @@ code_symbol, artifact_path) has one row per id of a document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import citations as C
@@ -190,9 +188,10 @@ FORMS_PER_VALUE = 32  # more than the printed forms of one value
 
 
 def metric_forms(metrics: DataFrame) -> DataFrame:
-    """metrics(scope, ord, value) -> every printed form of every value: (scope, form, first, last).
+    """metrics(scope, ord, citation_id, value) -> every printed form of every value: (scope, form, first, citation_id).
 
-    ``ord`` numbers the metric rows of a scope; ``first`` and ``last`` are places, ord * FORMS_PER_VALUE + form number.
+    ``ord`` numbers the metric rows of a scope; ``first`` is a place, ord * FORMS_PER_VALUE + form number, and the citation is that
+    of the last row that prints the form.
     """
     v = F.col("value").cast("double")
 
@@ -209,57 +208,89 @@ def metric_forms(metrics: DataFrame) -> DataFrame:
         text = fixed(v * 100, digits)
         forms += [F.when(share, F.concat(text, F.lit(s))) for s in ("%", " %", "")]
     finite = metrics.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = finite.select("scope", "ord", F.posexplode(F.array(*forms)).alias("nth", "form")).filter(F.col("form").isNotNull())
+    rows = finite.select("scope", "ord", "citation_id", F.posexplode(F.array(*forms)).alias("nth", "form")).filter(F.col("form").isNotNull())
     place = F.col("ord").cast("bigint") * FORMS_PER_VALUE + F.col("nth")
-    return rows.groupBy("scope", "form").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-
-
-def _candidates(text: Column) -> Column:
-    """All texts ending at a decimal number's end that a form could equal. Forms look like 12.345, -1.20, 9.5% or 9.5 %."""
-    number = r"(-?[0-9]+)(?=(\.[0-9]{1,5})(?![0-9])( ?%)?)"
-    heads, tails, percents = (F.regexp_extract_all(text, F.lit(number), F.lit(i)) for i in (1, 2, 3))
-    longest = 310  # no double prints with more integer digits
-
-    def spell(m: Column) -> Column:
-        n = F.length(m["heads"])
-        starts = F.sequence(F.greatest(F.lit(1), n - longest), n)
-        plain = F.transform(starts, lambda s: F.concat(F.substring(m["heads"], s, n), m["tails"]))
-        return F.when(m["percents"] != "", F.concat(plain, F.transform(plain, lambda p: F.concat(p, m["percents"])))).otherwise(plain)
-
-    zipped = F.arrays_zip(heads.alias("heads"), tails.alias("tails"), percents.alias("percents"))
-    return F.array_distinct(F.flatten(F.transform(zipped, spell)))
-
-
-def _insert_markers(text: str, forms) -> str:
-    """Cite the forms in one text, longest first; positions are those of the text at insertion time."""
-    cited: list[int] = []
-    for form, marker in forms:
-        ends = [m.end() for m in re.finditer(re.escape(form) + r"(?!\d)", text)]
-        for end in reversed(ends):
-            near = any(abs(end - at) < 15 for at in cited)
-            if not near and not text.startswith(("[@", " [@"), end):
-                text = text[:end] + marker + text[end:]
-                cited.append(end)
-    return text
+    return rows.groupBy("scope", "form").agg(F.min(place).alias("first"), F.max_by("citation_id", place).alias("citation_id"))
+
+
+#: A decimal number up to its point; what follows can be the decimals of a printed form.
+NUMBER = r"-?[0-9]+(?=\.[0-9]{1,5}(?!\p{Nd}))"
+LONGEST_HEAD = 310  # no double prints with more integer digits
+CITED_APART = 15
+
+
+def _number_texts(docs: DataFrame, key: str, scope: str, text: str) -> DataFrame:
+    """Every text at the end of a decimal number that a form could equal, as in 12.345, -1.20, 9.5% or 9.5 %: (key, scope, form,
+    first, past, marked), places counted from 0 in letters; ``marked``: a marker stands behind it already."""
+    t = F.col(text)
+    heads = F.regexp_extract_all(t, F.lit(f"({NUMBER})"), F.lit(1))
+    after = F.regexp_extract_all(t, F.lit(NUMBER + r"(?=(\.[0-9]+(?s:.{0,6})))"), F.lit(1))  # decimals, per cent, three letters more
+    numbered = docs.select(key, scope, F.split(t, NUMBER, -1).alias("gaps"), heads.alias("heads"), after.alias("after"))
+    steps = F.zip_with("heads", F.slice("gaps", F.lit(1), F.size("heads")), lambda h, g: (F.length(h) + F.length(g)).cast("bigint"))
+    ends = F.aggregate(steps, F.array(F.lit(0).cast("bigint")), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+    tokens = numbered.select(key, scope, F.explode(F.arrays_zip(F.col("heads").alias("head"), F.col("after").alias("after"),
+                                                                F.slice(ends, F.lit(2), F.size("heads")).alias("at"))).alias("n"))
+    tokens = tokens.select(key, scope, "n.head", "n.at", "n.after", F.regexp_extract("n.after", r"^\.[0-9]+", 0).alias("tail"))
+    tokens = tokens.withColumn("rest", F.substring(F.col("after"), F.length("tail") + 1, F.lit(6)))
+    percent = F.regexp_extract("rest", r"^ ?%(?!\p{Nd})", 0)
+    tokens = tokens.withColumn("end", F.explode(F.array_distinct(F.array(F.lit(""), percent))))
+    behind = F.substring(F.col("rest"), F.length("end") + 1, F.lit(3))
+    size = F.length("head")
+    tokens = tokens.withColumn("marked", behind.startswith("[@") | behind.startswith(" [@")).withColumn(
+        "s", F.explode(F.sequence(F.greatest(F.lit(1), size - LONGEST_HEAD), size)))
+    form = F.concat(F.substring(F.col("head"), F.col("s"), size), F.col("tail"), F.col("end"))
+    return tokens.select(F.col(key).alias("key"), F.col(scope).alias("scope"), form.alias("form"), (F.col("at") - size + F.col("s") - 1).alias("first"),
+                         (F.col("at") + F.length("tail") + F.length("end")).alias("past"), "marked")
+
+
+def _chosen_places(forms: Column) -> Column:
+    """Where markers go into one text: array of (place, marker). Forms are taken in their order, the places of each from
+    the right. A place is passed over if a marker is behind it, or if it stands, in the text as it is by then, within CITED_APART
+    letters of where one was put. A marker inside a number parts it."""
+    place = "array<struct<place:bigint,marker:string>>"
+
+    def put(state: Column, hit: Column, marker: Column) -> Column:
+        shift = F.aggregate(state["put"], F.lit(0).cast("bigint"),
+                            lambda n, p: n + F.when(p["place"] < hit["past"], F.length(p["marker"])).otherwise(0))
+        now = hit["past"] + shift
+        refused = (hit["marked"] | F.exists(state["put"], lambda p: p["place"] == hit["past"])
+                   | F.exists(state["cited"], lambda at: F.abs(now - at) < CITED_APART))
+        more = F.struct(F.concat(state["cited"], F.array(now)).alias("cited"),
+                        F.concat(state["put"], F.array(F.struct(hit["past"].alias("place"), marker.alias("marker")))).alias("put"))
+        return F.when(refused, state).otherwise(more)
+
+    def whole(state: Column, form: Column) -> Column:
+        """The form's places in the text as it is: from the left, none inside another, none with a marker inside."""
+        left = F.filter(form["places"], lambda h: ~F.exists(state["put"], lambda p: (h["first"] < p["place"]) & (p["place"] < h["past"])))
+        apart = F.aggregate(left, F.slice(left, 1, 0), lambda kept, h: F.when(
+            (F.size(kept) == 0) | (h["first"] >= F.element_at(kept, -1)["past"]), F.concat(kept, F.array(h))).otherwise(kept))
+        return F.reverse(F.when(F.size(left) > 1, apart).otherwise(left))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("cited"), F.array().cast(place).alias("put"))
+    return F.aggregate(forms, start, lambda state, form: F.aggregate(
+        whole(state, form), state, lambda s, hit: put(s, hit, form["marker"])), lambda state: F.array_sort(state["put"]))
 
 
 def cite_metric_values(docs: DataFrame, key: str, scope: str, text: str, metrics: DataFrame) -> DataFrame:
-    """Add ``cited``: a marker after every number of the text that prints a metric of the text's scope.
+    """Add ``cited``: a marker after numbers of the text that print a metric of the text's scope.
 
-    metrics(scope, ord, citation_id, value), ``ord`` unique in its scope; a form's citation is the one of its last row.
-    Which forms occur in which text is an equality join; only the order-dependent insertion runs in Python, per text
-    and with just its own forms.
+    metrics(scope, ord, citation_id, value), ``ord`` unique in its scope; a form's citation is the one of its last row. Longer
+    forms are cited first, then those of earlier rows. Which forms occur in which text, and where, is an equality join;
+    the choice among them is a fold over each text's own places. Markers are never put inside markers. Texts of one
+    key must be one row; a null text stays null.
     """
-    hits = docs.select(F.col(key), F.col(scope).alias("scope"), F.explode(_candidates(F.col(text))).alias("form"))
-    found = hits.join(metric_forms(metrics), ["scope", "form"]).withColumn("ord", F.floor(F.col("last") / FORMS_PER_VALUE))
-    named = found.join(metrics.select("scope", F.col("ord").cast("bigint").alias("ord"), "citation_id"), ["scope", "ord"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("size"), "first", "form", "citation_id")))
-    per_doc = named.groupBy(key).agg(ordered.alias("_forms"))
-
-    @F.pandas_udf("string")
-    def insert(texts: pd.Series, form_lists: pd.Series) -> pd.Series:
-        return pd.Series([t if fs is None else _insert_markers(t, [(f["form"], f"[@{f['citation_id']}]") for f in fs])
-                          for t, fs in zip(texts, form_lists)])
-
-    joined = docs.join(per_doc, key, "left")
-    return joined.withColumn("cited", insert(F.col(text), F.col("_forms"))).drop("_forms")
+    hits = _number_texts(docs, key, scope, text).join(
+        metric_forms(metrics).withColumnRenamed("first", "row"), ["scope", "form"]).repartition("key")
+    per_form = hits.groupBy("key", "form", "row", "citation_id").agg(
+        F.array_sort(F.collect_list(F.struct("first", "past", "marked"))).alias("places"))
+    form = F.struct((-F.length("form")).alias("size"), "row", F.concat(F.lit("[@"), "citation_id", F.lit("]")).alias("marker"), "places")
+    per_doc = per_form.groupBy("key").agg(F.array_sort(F.collect_list(form)).alias("forms"))
+    put = per_doc.select(F.col("key").alias("_key"), _chosen_places(F.col("forms")).alias("_put"))
+    joined = docs.join(put, F.col(key) == F.col("_key"), "left")
+    n = F.size("_put")
+    begin = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.try_element_at("_put", i)["place"])
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(
+        F.when(i == 0, F.lit("")).otherwise(F.try_element_at("_put", i)["marker"]),
+        F.substring(F.col(text), (begin(i) + 1).cast("int"),
+                    F.coalesce(F.try_element_at("_put", i + 1)["place"] - begin(i), F.length(text)).cast("int"))))
+    return joined.withColumn("cited", F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop("_key", "_put")

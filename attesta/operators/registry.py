@@ -172,24 +172,58 @@ def _purpose_patterns() -> list[str]:
     return sorted({p for patterns in rules.IMAGE_PURPOSES.values() for p in patterns})
 
 
-PIECE = 3
+GRAM = 3
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """The distinct substrings of ``size`` letters."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+def _explode_grams(df: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """A row per size and place: ``gram``, the letters of ``text`` there. Texts shorter than a size have none of it."""
+    sized = df.withColumn("_size", F.explode(sizes)).filter(F.length(text) >= F.col("_size"))
+    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1)))
+    return placed.withColumn("gram", F.substring(F.col(text), F.col("_at"), F.col("_size"))).drop("_size", "_at")
 
 
-def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
+def _path_grams(names: DataFrame, images: DataFrame) -> DataFrame:
+    """The grams of every path, of the sizes that names are looked up by."""
+    in_use = names.agg(F.collect_set(F.least(F.length("_name"), F.lit(GRAM))).alias("sizes")).scalar()  # 1 to GRAM
+    return _explode_grams(images.select("scope", "seq", "path", F.lower("path").alias("_low"), in_use.alias("_sizes")), "_low", F.col("_sizes"))
+
+
+def rarest_grams(names: DataFrame, images: DataFrame) -> DataFrame:
+    """names(scope, _name) -> (scope, _name, gram, n): of the grams of each name that which fewest places of its scope's paths
+    hold; names with a gram that no path holds are left out. images(scope, seq, path).
+
+    Names of GRAM letters or more have grams of that size, shorter ones are their own gram; paths are cut into the sizes in use
+    only, and just the grams that some name of the scope has are counted.
+    """
+    size = F.least(F.length("_name"), F.lit(GRAM))
+    of_names = _explode_grams(names, "_name", F.array(size)).select("scope", "_name", "gram").distinct()
+    counts = _path_grams(names, images).join(of_names.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")\
+        .groupBy("scope", "gram").agg(F.count("seq").alias("n"))  # reads the same columns as the look-up: one exchange for both
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
+    return (of_names.join(counts, ["scope", "gram"], "left").groupBy("scope", "_name").agg(best)
+            .filter("best.n > 0").select("scope", "_name", "best.gram", "best.n"))
+
+
+def _first_named(names: DataFrame, images: DataFrame) -> DataFrame:
+    """(scope, _name, _named): the first image of the scope whose path holds the name. Each path is looked up by its grams
+    among the rarest grams of the names, and then compared."""
+    chosen = rarest_grams(names, images)
+    found = _path_grams(names, images).join(chosen.select("scope", "_name", "gram"), ["scope", "gram"]).filter(F.contains("_low", F.col("_name")))
+    return found.groupBy("scope", "_name").agg(F.min(F.struct("seq", "path")).alias("_named"))
+
+
+def match_image(blocks: DataFrame, images: DataFrame, partitions: int | None = None) -> DataFrame:
     """blocks(scope, purpose, image_name) + ``path`` of the scope's first image that fits, else its first image.
 
     images(scope, seq, path); a scope is one model, or a project for blocks without a model. Blocks never meet single
-    images: every scope is folded to its first image per path word, and requested names meet the paths that share a
-    piece of three letters with them.
+    images: every scope is folded to its first image per path word, and requested names meet the paths that hold the
+    rarest of their grams of three letters. An image has a ``seq``. ``partitions`` deals the paths over so many tasks before they are
+    cut into grams, for tables that come in fewer files than there are cores.
     """
     patterns = _purpose_patterns()
-    images = images.select("scope", "seq", "path").withColumn("_low", F.lower("path"))
+    images = images.select("scope", "seq", "path")
+    dealt = images.repartition(partitions) if partitions else images
+    images = images.withColumn("_low", F.lower("path"))
     entry = F.struct("seq", "path")
     # Pattern 0 fits every image. First the lowest seq per scope and pattern (hash aggregation over numbers), then the
     # paths at those few places.
@@ -202,13 +236,7 @@ def match_image(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
     names = (blocks.filter(F.coalesce("image_name", F.lit("")) != "")
              .select("scope", F.lower("image_name").alias("_name")).distinct())
-    # A name is looked up by one of its pieces of three letters (shorter names by all of themselves), then compared.
-    names = names.withColumn("_piece", F.array_min(F.transform(
-        _pieces(F.col("_name"), F.least(F.length("_name"), F.lit(PIECE))), lambda x: F.struct(F.xxhash64(x), x.alias("x"))))["x"])
-    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.col("_low"), F.lit(n)) for n in range(1, PIECE + 1)])))
-    found = (images.select("scope", entry.alias("_e"), "_low", F.explode(pieces).alias("_piece"))
-             .join(names, ["scope", "_piece"]).filter(F.contains("_low", F.col("_name"))))
-    named = found.groupBy("scope", "_name").agg(F.min("_e").alias("_named"))
+    named = _first_named(names, dealt)
 
     purpose = F.lower("purpose")
     hits = [F.col("_named")]

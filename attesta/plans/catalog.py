@@ -29,10 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a binding written with ``{table}`` names over the driver's parquet tables."""
+def partitions(spark: SparkSession) -> int | None:
+    """Over how many tasks work per row is dealt, by the setting ``spark.attesta.partitions``: for tables that come in fewer files
+    than there are cores. Not set, tasks follow the files."""
+    wanted = spark.conf.get("spark.attesta.partitions", None)
+    return int(wanted) if wanted else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over that many tasks, where the setting is there."""
+    wanted = partitions(df.sparkSession)
+    return df.repartition(wanted) if wanted else df
+
+
+def bind(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    """Run a binding written with ``{table}`` names over the driver's parquet tables; ``dealt``: over tables that are spread."""
     names = {name for _, name, _, _ in Formatter().parse(sql) if name}
-    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+    tables = {name: table(spark, sf_dir, name) for name in names}
+    return spark.sql(sql, **({name: spread(df) for name, df in tables.items()} if dealt else tables))
 
 
 def plain(sql: str) -> str:

@@ -33,7 +33,7 @@ WITH = f"WITH files AS ({plain(FILES)}) "
 
 
 def files(spark, sf_dir):
-    return bind(spark, sf_dir, FILES)
+    return bind(spark, sf_dir, FILES, dealt=True)
 
 
 # Page addresses serve as file paths for the path rules.

@@ -337,10 +337,40 @@ VALUES = """SELECT o_custkey AS scope, o_orderkey AS ord, concat('Exp-run_', cas
   CASE WHEN o_orderstatus = 'F' THEN o_totalprice % 1 ELSE o_totalprice END AS value FROM {orders}"""
 
 
-@query("e21_cite_metric_values", None)
+_FORMS = ", ".join([f"printf('%.{d}f', {step.format(d=d)})" for d in (2, 3, 4, 5) for step in (
+    "value", "ceil(value * 10 ** {d}) / 10 ** {d}", "floor(value * 10 ** {d}) / 10 ** {d}")]
+    + [f"CASE WHEN value BETWEEN 0 AND 1 THEN concat(printf('%.{d}f', value * 100), '{end}') END" for d in (1, 2) for end in ("%", " %", "")])
+# Places are taken one by one by a fold over each text's own list; no form of these texts overlaps itself.
+_CITED_SQL = f"""WITH t AS ({plain(VALUE_TEXT)}), v AS ({plain(VALUES)}),
+  f AS (SELECT scope, ord, citation_id, unnest([{_FORMS}]) AS form, unnest(range(18)) AS nth FROM v),
+  g AS (SELECT scope, form, min(ord * 32 + nth) AS row, concat('[@', max_by(citation_id, ord * 32 + nth), ']') AS marker
+        FROM f WHERE form IS NOT NULL GROUP BY ALL),
+  c AS (SELECT o_orderkey, text, form, row, marker, unnest(list_filter(range(1, len(text) + 1), lambda i:
+          text[i:i + len(form) - 1] = form AND NOT regexp_matches(text[i + len(form):i + len(form)], '[0-9]'))) - 1 AS first
+        FROM t JOIN g ON scope = o_custkey AND contains(text, form)),
+  h AS (SELECT o_orderkey, list({{'first': first, 'past': first + len(form), 'marker': marker, 'marked': text[first + len(form) + 1:first
+          + len(form) + 3] LIKE '[@%' OR text[first + len(form) + 1:first + len(form) + 3] = ' [@', 'cited': []::BIGINT[],
+          'places': []::BIGINT[], 'marks': []::VARCHAR[]}} ORDER BY len(form) DESC, row, first DESC) AS hits FROM c GROUP BY ALL),
+  d AS (SELECT o_orderkey, list_reduce(hits, lambda s, h: CASE WHEN h.marked OR list_contains(s.places, h.past)
+      OR len(list_filter(s.places, lambda p: h.first < p AND p < h.past)) > 0
+      OR len(list_filter(s.cited, lambda z: abs(h.past + coalesce(list_sum(list_transform(range(1, len(s.places) + 1), lambda i:
+           CASE WHEN s.places[i] < h.past THEN len(s.marks[i]) ELSE 0 END)), 0) - z) < 15)) > 0 THEN s
+      ELSE {{'first': s.first, 'past': s.past, 'marker': s.marker, 'marked': s.marked, 'cited': list_append(s.cited, (h.past + coalesce(
+           list_sum(list_transform(range(1, len(s.places) + 1), lambda i: CASE WHEN s.places[i] < h.past THEN len(s.marks[i]) ELSE 0
+           END)), 0))::BIGINT), 'places': list_append(s.places, h.past), 'marks': list_append(s.marks, h.marker)}} END,
+      {{'first': 0::BIGINT, 'past': 0::BIGINT, 'marker': '', 'marked': false, 'cited': []::BIGINT[], 'places': []::BIGINT[],
+        'marks': []::VARCHAR[]}}) AS s FROM h),
+  m AS (SELECT o_orderkey, unnest(s.places) AS place, unnest(s.marks) AS mark FROM d),
+  p AS (SELECT o_orderkey, place, mark, coalesce(lag(place) OVER (PARTITION BY o_orderkey ORDER BY place), 0) AS before FROM m),
+  q AS (SELECT o_orderkey, string_agg(concat(text[before + 1:place], mark), '' ORDER BY place) AS head, max(place) AS last
+        FROM p JOIN t USING (o_orderkey) GROUP BY ALL)
+  SELECT o_orderkey, concat(head, text[coalesce(last, 0) + 1:]) AS cited FROM t LEFT JOIN q USING (o_orderkey)"""
+
+
+@query("e21_cite_metric_values", _CITED_SQL)
 def e21(spark, sf_dir):
-    docs = bind(spark, sf_dir, VALUE_TEXT)
-    return L.cite_metric_values(docs, "o_orderkey", "o_custkey", "text", bind(spark, sf_dir, VALUES)).select(
+    docs, values = bind(spark, sf_dir, VALUE_TEXT, dealt=True), bind(spark, sf_dir, VALUES, dealt=True)
+    return L.cite_metric_values(docs, "o_orderkey", "o_custkey", "text", values).select(
         "o_orderkey", "cited")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta import rules
 from attesta.operators import redact as R
-from attesta.plans.catalog import bind, plain, query, table
+from attesta.plans.catalog import bind, plain, query, spread, table
 
 KEY = "md5(cast(doc_id AS string))"
 SEEDED = f"""SELECT doc_id, lang, concat(text, chr(10), CASE doc_id % 14
@@ -77,7 +77,7 @@ def b01(spark, sf_dir):
 @query("b02_redact_keywords", f"""SELECT doc_id, {fold_sql('text', PATTERN_STEPS + KEYWORD_STEPS)} AS sanitized
   FROM ({plain(SEEDED)})""")
 def b02(spark, sf_dir):
-    return R.redact(bind(spark, sf_dir, SEEDED), ruleset=WHOLE).select("doc_id", "sanitized")
+    return R.redact(bind(spark, sf_dir, SEEDED, dealt=True), ruleset=WHOLE).select("doc_id", "sanitized")
 
 
 @query("b02_redact_conversations", f"""SELECT conv_id, turn, {fold_sql('text', PATTERN_STEPS + KEYWORD_STEPS)} AS sanitized
@@ -146,12 +146,12 @@ def _report_sql(source: str, key: str) -> str:
 
 @query("b07_redaction_report", _report_sql("SELECT doc_id, text FROM documents", "doc_id"))
 def b07(spark, sf_dir):
-    return R.redaction_report(table(spark, sf_dir, "documents"))
+    return R.redaction_report(spread(table(spark, sf_dir, "documents")))
 
 
 @query("b07_redaction_report_seeded", _report_sql(plain(SEEDED), "doc_id"))
 def b07_seeded(spark, sf_dir):
-    return R.redaction_report(bind(spark, sf_dir, SEEDED))
+    return R.redaction_report(bind(spark, sf_dir, SEEDED, dealt=True))
 
 
 EMOJI_TEXT = """SELECT conv_id, turn, role, concat(CASE turn % 3 WHEN 0 THEN '😀🚀 ok ' WHEN 1 THEN '⚠ 中文 done☀ ' ELSE '' END,

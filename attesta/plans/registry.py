@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import registry as G
-from attesta.plans.catalog import bind, plain, query
+from attesta.plans.catalog import bind, partitions, plain, query
 
 EXPERIMENTS = """SELECT cast(n_nationkey AS string) AS experiment_id, n_name AS name,
   CASE WHEN n_nationkey % 7 = 3 THEN 'deleted' ELSE 'active' END AS lifecycle_stage,
@@ -239,7 +239,7 @@ def _purpose_sql():
   r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY hit DESC, seq, path) AS rn FROM c)
   SELECT block_id, path, coalesce(hit, false) AS matched FROM r WHERE rn = 1""")
 def d15(spark, sf_dir):
-    return G.match_image(bind(spark, sf_dir, IMAGE_BLOCKS), bind(spark, sf_dir, IMAGES)).select("block_id", "path", "matched")
+    return G.match_image(bind(spark, sf_dir, IMAGE_BLOCKS), bind(spark, sf_dir, IMAGES), partitions(spark)).select("block_id", "path", "matched")
 
 
 @query("d16_image_title", CTES + r"""SELECT run_id, path, CASE WHEN seq = 2 THEN 'Given title' ELSE array_to_string(

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -90,6 +91,27 @@ def test_metric_citations_match_the_naive_loop(spark):
         assert r["cited"] == naive_citations(texts[r["id"]], metrics)
 
 
+def test_metric_citations_in_dense_texts(spark):
+    rng, texts = random.Random(3), []
+    values = [0.5, 0.05, 11.11, 1.11, -1.11, 0.9999, 95.0, 0.95, 111.11, 5.0, 0.005, 1234567.125]
+    metrics = [(f"E-{i}", v) for i, v in enumerate(values)]
+    spelled = [f"{v:.{d}f}" for v in values for d in (2, 3, 4, 5)] + [f"{v * 100:.{d}f}" for v in values if 0 <= v <= 1 for d in (1, 2)]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 14)):
+            parts.append(rng.choice(spelled) + rng.choice(["", "", "%", " %", "%7", ".11", ".11.11"]))
+            parts.append(rng.choice(["", " ", " x ", "[@old]", " [@old]", " a much longer piece of text ", "7", "-", "\n", "é" * 9]))
+        texts.append("".join(parts))
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)] + [(900, "other", "0.95"), (901, "s", None)],
+                                 "id int, scope string, text string")
+    rows = spark.createDataFrame([("s", i, c, v) for i, (c, v) in enumerate(metrics)], "scope string, ord int, citation_id string, value double")
+    got = {r["id"]: r["cited"] for r in L.cite_metric_values(docs, "id", "scope", "text", rows).collect()}
+    assert got.pop(900) == "0.95" and got.pop(901) is None
+    assert sum(t.count("[@E-") for t in got.values()) > 200
+    for i, text in enumerate(texts):
+        assert got[i] == naive_citations(text, metrics)
+
+
 def test_render_and_restore_round_trip(spark):
     df = spark.createDataFrame([("see [@a-b] x", ["a-b", "k", "k"])], "t string, extra array<string>")
     row = df.select(C.render_markers(F.col("t"), F.col("extra"), True).alias("r")).first()["r"]

@@ -48,6 +48,25 @@ def test_match_image_prefers_the_purpose(spark):
     assert got == {1: ("a/ROC.png", True), 2: ("a/loss.png", True), 3: ("a/loss.png", False), 4: ("z.png", False), 5: (None, False)}
 
 
+def test_names_are_looked_up_by_their_rarest_gram(spark):
+    paths = [("s", i, f"the/other_{i}.png") for i in range(300)] + [("t", 0, "the/x.png"), (None, 0, "the/n.png"), ("t", 1, None)]
+    images = spark.createDataFrame(paths, "scope string, seq long, path string")
+    wanted = [("s", "other_123"), ("s", "the"), ("s", "x"), ("s", "99"), ("s", "other_7"), ("t", "other"), ("t", "x."), ("u", "the"),
+              ("s", "r_299.png"), ("s", "other_300")]
+    names = spark.createDataFrame(wanted, "scope string, _name string")
+    got = {(r["scope"], r["_name"]): (r["gram"], r["n"]) for r in G.rarest_grams(names, images).collect()}
+    assert got == {("s", "other_123"): ("123", 1), ("s", "the"): ("the", 600), ("s", "99"): ("99", 3), ("s", "other_7"): ("r_7", 11),
+                   ("t", "x."): ("x.", 1), ("s", "r_299.png"): ("299", 1)}
+    blocks = spark.createDataFrame([(i, s, "nothing", n.upper()) for i, (s, n) in enumerate(wanted)] + [(99, None, "x", "n")],
+                                   "id int, scope string, purpose string, image_name string")
+    for row in G.match_image(blocks, images.select("scope", "seq", "path")).collect():
+        fits = sorted((seq, path) for scope, seq, path in paths if scope is not None and scope == row["scope"] and path and row["image_name"].lower() in path)
+        if fits:
+            assert (row["path"], row["matched"]) == (fits[0][1], True)
+        else:
+            assert not row["matched"]
+
+
 def test_titles_and_aliases(spark):
     df = spark.createDataFrame([("p/roc_curve-2nd o'neil.v1.png", "")], "path string, title string")
     assert df.select(G.image_title(F.col("path"), F.col("title"))).first()[0] == "roc_curve-2nd o'neil.v1".replace("_", " ").replace("-", " ").title()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta import rules
 from attesta.functions.numbers import round_scaled
+from attesta.operators.neighbours import nearest_neighbours
 from attesta.operators.scans import exact_median, ranked
 from attesta.session import materialise
 
@@ -228,53 +229,28 @@ def scale_pos_weight(df: DataFrame, label: str, focal: bool = False) -> DataFram
 
 
 def smote_oversample(df: DataFrame, key: str, label: str, features: Sequence[str], ratio: float = 0.5,
-                     neighbours: int = 5, projections: int = 4, reach: int = 8, seed: int = 42,
-                     rows_per_range: int = 100_000) -> DataFrame:
+                     neighbours: int = 5, seed: int = 42) -> DataFrame:
     """Add synthetic minority rows (label 1) until minority / majority = ``ratio``; original rows all stay.
 
-    Near neighbours are approximate: rows close to each other on several seeded random lines are compared, so the
-    work is linear in the minority rows and no group of rows is ever paired with itself. Adds ``synthetic``.
+    A synthetic row lies between a minority row and one of its exact nearest neighbours (:func:`nearest_neighbours`); the
+    copies wanted are dealt evenly, by seeded hash of the key. Minority rows with a null or non-finite feature count, but no
+    row is made from them. Adds ``synthetic``. Nothing runs while the query is built.
     """
-    import numpy as np
-
-    sizes = df.agg(F.count_if(F.col(label) == 1).alias("m"), F.count_if(F.col(label) == 0).alias("n")).first()
-    m, wanted = sizes["m"], max(int(ratio * sizes["n"]) - sizes["m"], 0)
-    original = df.withColumn("synthetic", F.lit(False))
-    if m < 2 or wanted == 0:
-        return original
-    from pyspark.sql import Window
-
-    from attesta.operators.scans import cut_into_ranges
-
-    point = F.array(*[F.col(f).cast("double") for f in features])
-    minority = df.filter(F.col(label) == 1).select(F.col(key).alias("_key"), point.alias("_x"))
-    rng, ranges = np.random.default_rng(seed), 2
-    while ranges < min(m / rows_per_range, 8192):
-        ranges *= 2
-    pairs = None
-    for _ in range(projections):
-        line = [float(v) for v in rng.normal(size=len(features))]
-        shadow = sum((F.col("_x")[i] * v for i, v in enumerate(line[1:], 1)), F.col("_x")[0] * line[0])
-        cut = cut_into_ranges(minority.withColumn("_p", shadow), "_p", ranges)
-        window = Window.partitionBy("_range").orderBy("_p", "_key").rowsBetween(-reach, reach)
-        near = cut.select("_key", "_x", F.collect_list(F.struct(F.col("_key").alias("k"), F.col("_x").alias("x")))
-                          .over(window).alias("near"))
-        near = near.select("_key", "_x", F.explode("near").alias("o")).filter(F.col("o.k") != F.col("_key"))
-        pairs = near if pairs is None else pairs.unionByName(near)
-    distance = F.aggregate(F.zip_with("_x", F.col("o.x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = F.slice(F.array_sort(F.collect_set(F.struct(distance.alias("d"), F.col("o.k").alias("k"), F.col("o.x").alias("x")))),
-                   1, neighbours)
-    nearest = pairs.groupBy("_key").agg(F.first("_x").alias("_x"), best.alias("_near"))
-    base, extra = divmod(wanted, m)
-    hashed = nearest.withColumn("_hash", split_hash(F.col("_key"), seed))
-    numbered = ranked(hashed, [], ["_hash", "_key"], "_rank",
-                      bucket=hash_range(F.col("_hash"), df.sparkSession))
-    copies = numbered.withColumn("_copies", F.lit(base) + (F.col("_rank") <= extra).cast("int")).filter("_copies > 0")
+    sizes = df.agg(F.count_if(F.col(label) == 1).alias("m"), F.count_if(F.col(label) == 0).alias("n"))
+    wanted = F.greatest(F.floor(F.lit(ratio) * F.col("n")) - F.col("m"), F.lit(0))
+    near = nearest_neighbours(df.filter(F.col(label) == 1), key, features, neighbours).filter(F.size("_near") > 0)
+    bases = near.agg(F.count(F.lit(1)).alias("bases")).scalar()
+    hashed = near.withColumn("_hash", split_hash(F.col("_key"), seed))
+    numbered = ranked(hashed, [], ["_hash", "_key"], "_rank", bucket=hash_range(F.col("_hash"), df.sparkSession))
+    numbered = numbered.withColumns({"_wanted": sizes.select(wanted.alias("w")).scalar(), "_bases": bases})
+    each, extra = F.floor(F.col("_wanted") / F.col("_bases")).cast("int"), F.col("_wanted") % F.col("_bases")
+    copies = numbered.withColumn("_copies", each + (F.col("_rank") <= extra).cast("int")).filter("_copies > 0")
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    dice = F.xxhash64(F.lit(seed), F.col("_key"), F.col("_copy"))
-    chosen = F.col("_near")[F.pmod(dice, F.size("_near")).cast("int")]["x"]
-    factor = F.pmod(F.xxhash64(dice), F.lit(1_000_003)) / 1_000_003
-    made = copies.withColumns({"_o": chosen, "_f": factor}).select(*[
-        (F.col("_x")[i] + F.col("_f") * (F.col("_o")[i] - F.col("_x")[i])).alias(f) for i, f in enumerate(features)],
+    dice = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key").cast("string"), F.lit(":"), F.col("_copy").cast("string")))
+    pick, part = (F.conv(F.substring(dice, at, 12), 16, 10).cast("bigint") for at in (1, 13))
+    chosen = F.col("_near")[(pick % F.size("_near")).cast("int")]["key"]
+    points = df.filter(F.col(label) == 1).select(F.col(key).alias("_other"), F.array(*[F.col(f).cast("double") for f in features]).alias("_o"))
+    made = copies.withColumns({"_other": chosen, "_f": part % 1_000_003 / 1_000_003}).join(points, "_other").select(*[
+        (F.col(f"_x{i}") + F.col("_f") * (F.col("_o")[i] - F.col(f"_x{i}"))).alias(f) for i, f in enumerate(features)],
         F.lit(1).alias(label), F.lit(True).alias("synthetic"))
-    return original.unionByName(made, allowMissingColumns=True)
+    return df.withColumn("synthetic", F.lit(False)).unionByName(made, allowMissingColumns=True)

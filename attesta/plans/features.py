@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import features as X
+from attesta.operators.neighbours import nearest_neighbours
 from attesta.plans.catalog import bind, plain, query
 from attesta.plans.metrics import nice
 
@@ -250,9 +251,32 @@ def g19(spark, sf_dir):
     return nice(weights.withColumn("focal_weight", focal))
 
 
-@query("g20_smote_oversample", None)
+_SMOTE = ["amount", "hour_of_day", "distance_from_home", "transactions_last_week"]
+_NEAR_SQL = f"""f AS (SELECT transaction_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in _SMOTE)}, is_fraud FROM ({FRAUD_SQL})),
+  m AS (SELECT * FROM f WHERE is_fraud = 1),
+  near AS (SELECT a.transaction_id, row_number() OVER (PARTITION BY a.transaction_id ORDER BY {' + '.join(
+    f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in _SMOTE)}, b.transaction_id) AS nth, b.transaction_id AS neighbour
+    FROM m a JOIN m b ON a.transaction_id <> b.transaction_id QUALIFY nth <= 5)"""
+
+
+@query("g20_neighbours", f"WITH {_NEAR_SQL} SELECT transaction_id, nth, neighbour FROM near")
+def g20_neighbours(spark, sf_dir):
+    found = nearest_neighbours(fraud(spark, sf_dir).filter("is_fraud = 1"), "transaction_id", _SMOTE)
+    return (found.select(F.col("_key").alias("transaction_id"), F.posexplode("_near").alias("nth", "n"))
+            .select("transaction_id", (F.col("nth") + 1).alias("nth"), F.col("n.key").alias("neighbour")))
+
+
+@query("g20_smote_oversample", f"""WITH {_NEAR_SQL},
+  s AS (SELECT floor(0.5 * count(*) FILTER (is_fraud = 0))::BIGINT - count(*) FILTER (is_fraud = 1) AS wanted FROM f),
+  l AS (SELECT transaction_id, list(neighbour ORDER BY nth) AS others, row_number() OVER (
+    ORDER BY md5(concat('42:', transaction_id)), transaction_id) AS rank, count(*) OVER () AS bases FROM near GROUP BY transaction_id),
+  c AS (SELECT transaction_id, others, unnest(range(1, (wanted // bases + CASE WHEN rank <= wanted % bases THEN 1 ELSE 0 END)::BIGINT + 1)) AS copy
+    FROM l, s WHERE wanted > 0),
+  d AS (SELECT *, md5(concat('42:', transaction_id, ':', copy)) AS dice FROM c),
+  e AS (SELECT transaction_id, others[('0x' || substr(dice, 1, 12))::BIGINT % len(others) + 1] AS other,
+    ('0x' || substr(dice, 13, 12))::BIGINT % 1000003 / 1000003 AS part FROM d)
+  SELECT *, false AS synthetic FROM f UNION ALL BY NAME
+  SELECT NULL AS transaction_id, {', '.join(f'a.{c} + part * (b.{c} - a.{c}) AS {c}' for c in _SMOTE)}, 1 AS is_fraud, true AS synthetic
+  FROM e JOIN m a USING (transaction_id) JOIN m b ON b.transaction_id = e.other""")
 def g20(spark, sf_dir):
-    df = fraud(spark, sf_dir).select("transaction_id", "amount", "hour_of_day", "distance_from_home",
-                                     "transactions_last_week", "is_fraud")
-    return X.smote_oversample(df, "transaction_id", "is_fraud",
-                              ["amount", "hour_of_day", "distance_from_home", "transactions_last_week"])
+    return X.smote_oversample(fraud(spark, sf_dir).select("transaction_id", *_SMOTE, "is_fraud"), "transaction_id", "is_fraud", _SMOTE)

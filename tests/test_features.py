@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import features as X, models as L
+from attesta.operators.neighbours import nearest_neighbours
 
 
 def test_bins_are_right_closed(spark):
@@ -48,7 +51,7 @@ def test_weights(spark):
 def test_oversampling_reaches_the_ratio_inside_the_hull(spark):
     rows = [(i, float(i % 17), float(i % 5), int(i % 20 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
-    out = X.smote_oversample(df, "id", "y", ["a", "b"], rows_per_range=8)
+    out = X.smote_oversample(df, "id", "y", ["a", "b"])
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 380, 1: 190}
     made = out.filter("synthetic").agg(F.min("a"), F.max("a"), F.count("id")).first()
@@ -56,6 +59,39 @@ def test_oversampling_reaches_the_ratio_inside_the_hull(spark):
     assert out.filter("NOT synthetic").count() == 400
 
 
+@pytest.mark.parametrize("cell_points,most_cells", [(20, 4096), (7, 6), (5000, 1)])
+def test_neighbours_against_all_pairs(spark, cell_points, most_cells):
+    rng = random.Random(cell_points)
+    rows = [(i, float(rng.randrange(12)), rng.gauss(0, 1), float(rng.randrange(2))) for i in range(250)]
+    rows += [(1000 + i, 3.0, 0.25, 1.0) for i in range(150)]  # one point in a third of the rows
+    rows += [(2000, -0.0, 0.0, 0.0), (2001, 0.0, -0.0, 0.0), (2002, 1e6, 1e6, 1e6)]
+    odd = [(3000, None, 1.0, 1.0), (3001, float("nan"), 1.0, 1.0), (3002, float("inf"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows + odd, "id long, a double, b double, c double").repartition(3)
+    found = nearest_neighbours(df, "id", ["a", "b", "c"], 5, cell_points, most_cells)
+    got = {r["_key"]: [(n["distance2"], n["key"]) for n in r["_near"]] for r in found.collect()}
+    assert len(got) == len(rows)
+
+    def sq(p, q):
+        return (p - q) * (p - q)
+
+    for i, *x in rows:
+        assert got[i] == sorted((sq(x[0], y[0]) + sq(x[1], y[1]) + sq(x[2], y[2]), j) for j, *y in rows if j != i)[:5]
+
+
+def test_neighbours_of_few_rows(spark):
+    df = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 1.0)], "id string, a double")
+    got = {r["_key"]: [n["key"] for n in r["_near"]] for r in nearest_neighbours(df, "id", ["a"]).collect()}
+    assert got == {"x": ["z", "y"], "y": ["x", "z"], "z": ["x", "y"]}
+    assert nearest_neighbours(df.filter("id = 'x'"), "id", ["a"]).select("_near").collect()[0][0] == []
+    assert nearest_neighbours(df.limit(0), "id", ["a"]).count() == 0
+
+
+def test_oversampling_of_nothing(spark):
+    df = spark.createDataFrame([(1, 1.0, 1), (2, 1.0, 0), (3, 2.0, 0), (4, None, 1)], "id long, a double, y int")
+    for rows in (df, df.filter("y = 0"), df.filter("y = 1"), df.limit(0)):
+        assert X.smote_oversample(rows, "id", "y", ["a"], ratio=2.0).filter("NOT synthetic").count() == rows.count()
+
+
 def test_fit_transform_contract(spark, tmp_path):
     cols = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv", "streaming_movies", "partner", "dependents"]
     rows = [(i, 20.0 + i, 10.0 * i, ["a", "b"][i % 2], *[i % 2] * 8) for i in range(1, 30)]

@@ -63,7 +63,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int
     rows = df.select(F.col(key).alias("_key"), *[(F.col(f).cast("double") + F.lit(0.0)).alias(x) for f, x in zip(features, xs)]).filter(sound)
     among_equal = Window.partitionBy(*xs).orderBy("_key")
     points = (rows.withColumn("_nth", F.row_number().over(among_equal)).filter(F.col("_nth") <= k + 1)
-              .groupBy(*xs).agg(F.min("_key").alias("id"), F.sort_array(F.collect_list("_key")).alias("keys")))  # k + 1 at most
+              .groupBy(*xs).agg(F.min("_key").alias("id"), F.sort_array(F.collect_list("_key")).alias("keys"))  # k + 1 at most
+              .persist())  # on first use: many steps read the points
     hashed = F.xxhash64(*xs).alias("h")
     first = points.select(hashed, *xs).orderBy("h", *xs).limit(most_cells).agg(F.array_sort(F.collect_list(F.struct("h", *xs))).alias("p"))
     total = points.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -1,41 +1,97 @@
-"""Job status and admission as Structured Streaming: append-only logs written batch by batch.
+"""Job status and admission as Structured Streaming with keyed state.
 
-Each micro-batch writes its own ``batch=<id>`` folder in overwrite mode, so a replayed batch replaces its
-earlier attempt and every log is exactly-once. State is the log itself; the batch operators read it.
+State lives in Spark's state store (RocksDB, below the stream's checkpoint): the latest status per run, the open jobs per
+user. A batch touches the keys that it brings rows for and the users whose timer is due, nothing else. Output is
+written to a folder per batch, in overwrite mode, so a replayed batch replaces its earlier attempt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attesta import rules
-from attesta.operators import jobs as J
-from attesta.session import remove_path
-
 
-def _drain(stream: DataFrame, sink, checkpoint: str) -> None:
-    """Run everything that is available now and stop."""
-    query = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers are looked at with the next rows
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    """The settings a stream starts with; it keeps a copy, the session gets its own back."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def _drain(stream: DataFrame, log_path: str, checkpoint: str) -> None:
+    """Run everything that is available now, each batch into its own folder, and stop."""
+    with _settings(stream.sparkSession, _STATE):
+        query = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+                 .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}"))
+                 .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def status_sink(log_path: str):
-    """A foreachBatch sink that appends each batch's latest status per run."""
+def _read_feed(spark: SparkSession, feed: str, files_per_batch: int) -> DataFrame:
+    schema = spark.read.parquet(feed).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
+
+
+class LatestStatus(StatefulProcessor):
+    """Per run the latest status seen; a batch gives a row for each run whose latest status it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "place string, raw_status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.latest.get()
+        best = None if known is None else (int(known[0]), known[1])
+        first = best
+        for part in rows:
+            for place, raw in zip(part["place"].tolist(), part["raw_status"].tolist()):
+                if place is not None and raw is not None and (best is None or (int(place), raw) > best):
+                    best = (int(place), raw)
+        if best != first:
+            self.latest.update((str(best[0]), best[1]))
+            yield pd.DataFrame({"run_ref": [key[0]], "place": [str(best[0])], "raw_status": [best[1]]})
+
+    def close(self) -> None:
+        pass
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("run_ref").agg(F.max(F.struct("ts", "raw_status")).alias("s"))
-        (latest.select("run_ref", "s.ts", "s.raw_status", J.normalise_status(F.col("s.raw_status")).alias("status"))
-         .write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}"))
 
-    return write
+def _place(ts: str, df: DataFrame):
+    """A time or number as the text of a whole number: exact in every batch, null or not."""
+    kind = df.schema[ts].dataType.simpleString()
+    return (F.unix_micros(F.col(ts).cast("timestamp")) if kind.startswith("timestamp") else F.col(ts).cast("bigint")).cast("string")
 
 
 def run_status_log(spark: SparkSession, feed: str, out: str, files_per_batch: int = 2) -> DataFrame:
-    """Stream status events (run_ref, ts, raw_status) into a log that ``apply_status`` reads."""
-    schema = spark.read.parquet(feed).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
-    _drain(stream, status_sink(f"{out}/log"), f"{out}/checkpoint")
+    """Stream status events (run_ref, ts, raw_status; ``ts`` a timestamp or a whole number) into a log of status changes that
+    ``apply_status`` reads: state per run, a row only where a batch changes the run's latest status. Events without a
+    run, a time or a status say nothing."""
+    from attesta.operators import jobs as J
+
+    events = _read_feed(spark, feed, files_per_batch)
+    kind = events.schema["ts"].dataType.simpleString()
+    rows = events.filter(F.col("run_ref").isNotNull()).select("run_ref", _place("ts", events).alias("place"), "raw_status")
+    latest = rows.groupBy("run_ref").transformWithStateInPandas(
+        LatestStatus(), "run_ref string, place string, raw_status string", "Update", "None")
+    number = F.col("place").cast("bigint")
+    ts = F.timestamp_micros(number) if kind.startswith("timestamp") else number
+    _drain(latest.select("run_ref", ts.cast(kind).alias("ts"), "raw_status", J.normalise_status(F.col("raw_status")).alias("status")),
+           f"{out}/log", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/log")
 
 
@@ -47,8 +103,7 @@ def active_counts_stream(stream: DataFrame) -> DataFrame:
 
 def run_active_counts(spark: SparkSession, feed: str, out: str, files_per_batch: int = 2) -> DataFrame:
     """Drain a feed of job rows through :func:`active_counts_stream`; the totals after the last batch."""
-    schema = spark.read.parquet(feed).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
+    stream = _read_feed(spark, feed, files_per_batch)
     query = (active_counts_stream(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint")
              .foreachBatch(lambda totals, _: totals.write.mode("overwrite").parquet(f"{out}/totals"))
              .trigger(availableNow=True).start())
@@ -56,37 +111,75 @@ def run_active_counts(spark: SparkSession, feed: str, out: str, files_per_batch:
     return spark.read.parquet(f"{out}/totals")
 
 
+class Admission(StatefulProcessor):
+    """Per user the jobs that are not completed; with each batch at most one of the queued jobs is admitted.
+
+    A user with a queue sets a timer, so that the next batch looks at them even if it brings none of their rows.
+    """
+
+    def __init__(self, max_jobs: int, legacy: bool):
+        self.max_jobs, self.legacy = max_jobs, legacy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "id string", "status string, run_ref string, submitted string, seq string")
+        self.seen = handle.getValueState("seen", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest: dict = {}  # of the batch's rows of each id the one with the largest seq
+        for part in rows:
+            for row in part[["id", "status", "run_ref", "submitted", "seq"]].itertuples(index=False, name=None):
+                place = -1 if row[4] is None else int(row[4])
+                if row[0] not in latest or place >= latest[row[0]][0]:
+                    latest[row[0]] = (place, row)
+        for _, (job, *values) in latest.values():
+            if values[0] not in rules.COMPLETED_STATUSES:
+                self.open.updateValue((job,), tuple(values))
+            elif self.open.containsKey((job,)):
+                self.open.removeKey((job,))
+        yield from self._admit(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()
+        if seen is None or seen[0] != timerValues.getCurrentProcessingTimeInMs():  # else this batch's rows were looked at
+            yield from self._admit(key, timerValues)
+
+    def _admit(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.seen.update((now,))
+        active, queued, first = 0, 0, None
+        for (job,), (status, run_ref, submitted, seq) in self.open.iterator():
+            active += status in (rules.ACTIVE_STATUSES if self.legacy else rules.RUNNING_STATUSES)
+            if status == "queued":
+                queued += 1
+                place = tuple((x is not None, x if x is None else int(x)) for x in (submitted, seq)) + ((job is not None, job),)
+                if first is None or place < first[0]:
+                    first = (place, job, run_ref, submitted, seq)
+        free = active <= self.max_jobs if self.legacy else active < self.max_jobs
+        if first is not None and free and not first[2]:
+            _, job, _, submitted, seq = first
+            self.open.updateValue((job,), ("submitted", f"run-{job}", submitted, seq))
+            queued -= 1
+            yield pd.DataFrame({"username": [key[0]], "id": [job], "active": [active]})
+        if queued:
+            self.handle.registerTimer(now + 1)
+
+    def close(self) -> None:
+        pass
+
+
 def run_admission(spark: SparkSession, feed: str, out: str, max_jobs: int, legacy: bool = False,
                   files_per_batch: int = 2) -> DataFrame:
     """Per micro-batch: merge the batch's job rows (of each id the one with the largest ``seq``) into the open jobs, then
-    admit at most one job per user. A job without a status stays open and is not admitted.
+    admit at most one job per user. A job without a status stays open and is not admitted; a job stays with its user.
 
-    Only jobs that are not completed are carried from batch to batch, so the state grows with the open work and
-    not with the history. An admitted job counts as submitted from the next batch on. Returns the admission log.
+    Only jobs that are not completed are state, keyed by user: a batch reads and writes the users it brings rows for and
+    those with a queue. An admitted job counts as submitted from the next batch on. Returns the admission log.
     """
-    schema = spark.read.parquet(feed).schema
-
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        arrived = f"{out}/arrived/batch={batch_id}"
-        latest = batch.groupBy("id").agg(F.max_by(F.struct(*schema.names), "seq").alias("job")).select("job.*")
-        latest.write.mode("overwrite").parquet(arrived)
-        jobs = spark.read.schema(schema).parquet(arrived)
-        if batch_id > 0:
-            open_jobs = spark.read.schema(schema).parquet(f"{out}/open/batch={batch_id - 1}")
-            jobs = open_jobs.join(jobs.select("id"), "id", "left_anti").select(*schema.names).unionByName(jobs)
-        admitted = f"{out}/admitted/batch={batch_id}"
-        (J.admit_queued(jobs, max_jobs, legacy).select("username", "id", "active")
-         .write.mode("overwrite").parquet(admitted))
-        changes = spark.read.parquet(admitted).select(
-            "id", F.lit("submitted").alias("status"), F.concat(F.lit("run-"), "id").alias("run_ref"),
-            F.lit(batch_id).alias("seq"))
-        merged = J.upsert_jobs(jobs, changes, ["status", "run_ref"])
-        completed = F.coalesce(F.col("status").isin(*rules.COMPLETED_STATUSES), F.lit(False))
-        merged.filter(~completed).write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
-        for old in (f"{out}/arrived/batch={batch_id - 1}", f"{out}/open/batch={batch_id - 2}"):
-            if batch_id > 1:  # a replay reads the batch before, nothing older
-                remove_path(spark, old)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
-    _drain(stream, advance, f"{out}/checkpoint")
+    jobs = _read_feed(spark, feed, files_per_batch)
+    rows = jobs.select("username", "id", "status", "run_ref", _place("submitted_at", jobs).alias("submitted"),
+                       F.col("seq").cast("bigint").cast("string").alias("seq"))
+    admitted = rows.groupBy("username").transformWithStateInPandas(
+        Admission(max_jobs, legacy), "username string, id string, active long", "Update", "ProcessingTime")
+    _drain(admitted, f"{out}/admitted", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/admitted")

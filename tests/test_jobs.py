@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import jobs as J
@@ -82,6 +83,42 @@ def test_admission_stream_promotes_in_turn(spark, tmp_path):
     assert len(got) >= 2 and len({g[2] for g in got}) == len(got)
 
 
+def test_admission_waits_survive_a_batch_without_rows_of_the_user(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    waves = [[job(i, "u") for i in range(4)] + [job(8, None), job(9, "v", status=None)], [job(20, "w")],
+             [job(21, "w", status="failed"), job(22, "x", run="r")], [job(20, "w", status="succeeded", run="run-j20"), job(23, "w")]]
+    for rows in waves:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    log = job_stream.run_admission(spark, feed, str(tmp_path / "out"), max_jobs=3, files_per_batch=1)
+    got = sorted((r["batch"], str(r["username"]), r["id"], r["active"]) for r in log.collect())
+    assert got == [(0, "None", "j8", 0), (0, "u", "j0", 0), (1, "u", "j1", 1), (1, "w", "j20", 0), (2, "u", "j2", 2), (3, "w", "j23", 0)]
+
+
+def test_a_replayed_batch_gives_what_it_gave_before(spark, tmp_path, monkeypatch):
+    feed = str(tmp_path / "feed")
+    for wave in range(3):
+        rows = [job(100 * wave + i, f"u{i % 5}") for i in range(20)] + [job(100 * (wave - 1) + i, f"u{i % 5}", "succeeded", "r") for i in range(0, 20, 3) if wave]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    whole = job_stream.run_admission(spark, feed, str(tmp_path / "whole"), max_jobs=2, files_per_batch=1)
+    drain = job_stream._drain
+
+    def breaking(stream, log_path, checkpoint):
+        with job_stream._settings(spark, job_stream._STATE):
+            def sink(batch, batch_id):
+                batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+                if batch_id == 1:
+                    raise RuntimeError("lost")
+            query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="lost"):
+            query.awaitTermination()
+
+    monkeypatch.setattr(job_stream, "_drain", breaking)
+    job_stream.run_admission(spark, feed, str(tmp_path / "parts"), max_jobs=2, files_per_batch=1)
+    monkeypatch.setattr(job_stream, "_drain", drain)
+    parts = job_stream.run_admission(spark, feed, str(tmp_path / "parts"), max_jobs=2, files_per_batch=1)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 8
+
+
 def test_streaming_counts(spark, tmp_path):
     feed = str(tmp_path / "feed")
     df = spark.createDataFrame([job(i, f"u{i % 3}", ["queued", "failed"][i % 2]) for i in range(30)], SCHEMA)

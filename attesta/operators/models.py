@@ -15,7 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.operators import features as X, metrics as M
-from attesta.operators.scans import exact_median, exact_quantiles
+from attesta.operators.scans import exact_median, running_totals_by_key
 from attesta.session import scratch_path
 
 
@@ -52,7 +52,7 @@ class FeatureEngineer(Estimator, _FeatureParams, DefaultParamsReadable, DefaultP
 
 
 class FeatureEngineerModel(Model, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Engineered, encoded and scaled columns, in the frame's order."""
+    """Engineered, encoded and scaled columns, in the frame's order. A number that is missing counts as the fitted rows' mean."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if not self.isSet(self.state):
@@ -64,7 +64,7 @@ class FeatureEngineerModel(Model, _FeatureParams, DefaultParamsReadable, Default
         done = {}
         for column, (mean, std) in state["scaler"].items():
             if column in made.columns:
-                done[column] = (F.col(column) - F.lit(mean)) / F.lit(std)
+                done[column] = F.coalesce((F.col(column) - F.lit(mean)) / F.lit(std), F.lit(0.0))
         return made.withColumns(done)
 
     def feature_names(self) -> list[str]:
@@ -206,17 +206,32 @@ def price_summary(df: DataFrame) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of every column, one row per column, quartiles exact."""
-    out = None
-    for column in columns:
-        quartiles = exact_quantiles(df.select(column), column, [0.25, 0.5, 0.75]).scalar()
-        row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
-                     F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"))
-        row = row.withColumn("q", quartiles).select(
-            F.lit(column).alias("column"), "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-            F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """count, mean, std, min, quartiles and max of every column, one row per column, quartiles exact.
+
+    The table is read once, however many columns: every cell becomes a (column, value) row, equal ones are counted, and the
+    ranks of all quartiles of all columns are found together over these counts. Nulls are left out; a column of nothing else
+    has count 0.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("c"))
+    counts = cells.select("c.*").filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("count"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+                                          F.min("v").alias("min"), F.max("v").alias("max"))
+    ranks = running_totals_by_key(counts, ["column"], "v", {"upto": "n"}).join(F.broadcast(totals), "column")  # a row per column
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("v")))
+
+    quartiles = []
+    for share in (0.25, 0.5, 0.75):
+        place = (F.col("count") - 1) * F.lit(share)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        quartiles.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"p{int(share * 100)}"))
+    apart = F.col("v") - F.col("mean")
+    std = F.sqrt(F.try_divide(F.sum(apart * apart * F.col("n")), F.max(F.col("count")) - 1)).alias("std")
+    found = ranks.groupBy("column").agg(*quartiles, std, *[F.max(c).alias(c) for c in ("count", "mean", "min", "max")])
+    named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return named.join(found, "column", "left").select("column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25",
+                                                      "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

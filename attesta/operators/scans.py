@@ -65,6 +65,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return _totals_by_range(cut_into_ranges(df, order[0], ranges, source), keys, order, values).drop("_range")
 
 
+def running_totals_by_key(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str],
+                          ranges: int | None = None) -> DataFrame:
+    """As :func:`running_totals`, with ranges of each key's own values: for few keys, whose values differ in size."""
+    ranges = ranges or range_count(df)
+    steps = df.groupBy(*keys).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_steps"))
+    cut = df.join(steps, list(keys)).withColumn("_range", _steps_below_many(F.col("_steps"), F.col(order), ranges))
+    return _totals_by_range(cut.select(*df.columns, "_range"), keys, [order], values).drop("_range")
+
+
 def _totals_by_range(cut: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
     before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_range").rowsBetween(

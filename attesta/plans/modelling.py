@@ -27,14 +27,14 @@ def embedded(spark, sf_dir):
 
 
 @query("g12_fit_transform_contract", f"""WITH c AS ({CHURN_SQL}), s AS (SELECT *, substr(md5(concat('42:', customer_id)), 1, 8)
-    < '33333333' AS is_test FROM c WHERE tenure_months IS NOT NULL),
+    < '33333333' AS is_test FROM c),
   k AS (SELECT contract_type AS v, dense_rank() OVER (ORDER BY contract_type) - 1 AS i FROM (SELECT DISTINCT contract_type
     FROM s WHERE NOT is_test))
   SELECT customer_id, round((monthly_charges - (SELECT avg(monthly_charges) FROM s WHERE NOT is_test))
     / (SELECT stddev_pop(monthly_charges) FROM s WHERE NOT is_test), 6) AS monthly_charges, i AS contract_type
   FROM s JOIN k ON k.v = s.contract_type WHERE is_test""")
 def g12(spark, sf_dir):
-    split = X.split_random(churn(spark, sf_dir).filter("tenure_months IS NOT NULL"), "customer_id")
+    split = X.split_random(churn(spark, sf_dir), "customer_id")
     drop = ["customer_id", "churned", "is_test"]
     engineer = L.FeatureEngineer(family="churn", version="v3", categorical=CHURN_CATEGORIES)
     model = engineer.fit(split.filter(~F.col("is_test")).drop(*drop))
@@ -118,7 +118,7 @@ def g28(spark, sf_dir):
 
 @query("g29_experiment_grid", None)
 def g29(spark, sf_dir):
-    df = price(spark, sf_dir).filter("age > 0 AND age <= 200").select(
+    df = price(spark, sf_dir).select(
         "property_id", "price", "neighborhood", *PRICE_NUMERIC, "has_garage", "has_pool", "has_fireplace", "has_basement",
         "is_renovated", "years_since_renovation", "school_rating")
     grid = [

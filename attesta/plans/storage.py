@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from attesta import schemas
-from attesta.plans import registry as P
+from attesta.plans import corpus as C, registry as P
 from attesta.plans.catalog import bind, plain, query, table
 from attesta.session import scratch_path
 from attesta.sources import files as FS, tables as TB
 
 
-@query("a01_scan_source_files", """SELECT source AS project, sum(length(text) + 1)::BIGINT AS n_chars,
-  sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY source""")
+@query("a01_scan_source_files", C.WITH + """SELECT language, path, strlen(content)::BIGINT AS size,
+  len(content) - len(replace(content, chr(10), '')) + 1 AS n_lines FROM files""")
 def a01(spark, sf_dir):
     root = scratch_path(spark, "tree")
-    table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(root)
-    found = FS.scan_files(spark, root, [".txt"])
+    FS.write_files(C.files(spark, sf_dir), root).agg(F.sum("size")).collect()  # one number: the tree is written
+    found = None
+    for language in ("python", "r", "sas", "matlab"):
+        part = FS.scan_source_files(spark, root, language).withColumn("language", F.lit(language))
+        found = part if found is None else found.unionByName(part)
     text = FS.utf8_text(F.col("content"))
-    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("project")).agg(
-        F.sum(F.length(text)).alias("n_chars"), F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("n_lines"))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return found.select("language", "path", "size", lines.alias("n_lines"))
 
 
 TABLE = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -175,17 +178,23 @@ def a14(spark, sf_dir):
                          F.size("r.errors").cast("bigint").alias("n_errors"), value.alias("value"))
 
 
-@query("a15_read_notebooks", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type,
-  concat('#', conv_id, '#', turn, chr(10), text) AS source FROM conversations""")
+@query("a15_read_notebooks", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_no, turn,
+  CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type, concat('#', conv_id, '#', turn, chr(10), text) AS source FROM conversations""")
 def a15(spark, sf_dir):
     path = scratch_path(spark, "notebooks")
     lines = F.array(F.concat(F.lit("#"), F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string"), F.lit("\n")), F.col("text"))
-    source = F.when(F.col("turn") % 2 == 0, lines.cast("variant")).otherwise(F.array_join(lines, "").cast("variant"))
-    cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), source.alias("source"))
-    table(spark, sf_dir, "conversations").select(F.array(cell).alias("cells")).write.json(path)
-    out = TB.read_notebooks(spark, path, multiline=False)
+    # a notebook per conversation, as a JSON text: sources are lists of lines and plain texts in turn
+    source = F.when(F.col("turn") % 2 == 0, F.to_json(lines)).otherwise(F.to_json(F.array(F.array_join(lines, ""))))
+    kind = F.when(F.col("role") == "user", "markdown").otherwise("code")
+    cell = F.concat(F.lit('{"cell_type": "'), kind, F.lit('", "source": '), F.when(F.col("turn") % 2 == 0, source).otherwise(
+        F.substring(source, F.lit(2), F.length(source) - 2)), F.lit("}"))
+    cells = F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell"))))
+    books = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(cells, lambda c: c["cell"]), ", ").alias("cells"))
+    FS.write_files(books.select(F.concat(F.lit("book_"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"), F.concat(
+        F.lit('{"nbformat": 4, "cells": ['), "cells", F.lit("]}")).alias("content")), path).agg(F.sum("size")).collect()
+    out = TB.read_notebooks(spark, path)
     tag = "^#([0-9]+)#([0-9]+)"
-    return out.select(F.regexp_extract("source", tag, 1).cast("bigint").alias("conv_id"),
+    return out.select(F.regexp_extract("notebook", "book_([0-9]+)", 1).cast("bigint").alias("conv_id"), F.col("cell_no").cast("bigint").alias("cell_no"),
                       F.regexp_extract("source", tag, 2).cast("bigint").alias("turn"), "cell_type", "source")
 
 

@@ -7,6 +7,8 @@ import io
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta import rules
@@ -34,6 +36,23 @@ def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] | None
     return files if extensions is None else files.filter(has_extension(F.col("path"), extensions))
 
 
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write files(path, content) below ``root``, a file per row, and return (path, size) as written. A path written twice,
+    by a repeated task, say, is replaced; content is text (as UTF-8) or bytes, null is an empty file."""
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{top}/{path}".rsplit("/", 1)[0])
+                with store.open_output_stream(f"{top}/{path}", compression=None) as out:
+                    out.write(content or b"")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(write, "path string, size long")
+
+
 def scan_source_files(spark: SparkSession, root: str, language: str) -> DataFrame:
     """The language's files below ``root`` by their exact extensions."""
     return scan_files(spark, root, rules.LANGUAGES[language.lower()]["extensions"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,37 @@ def test_fit_transform_contract(spark, tmp_path):
         L.VotingRegressor().transform(df)
 
 
+def test_missing_numbers_count_as_the_mean(spark):
+    rows = [(float(i), float(2 * i), ["a", "b"][i % 2]) for i in range(1, 20)] + [(None, 3.0, "a")]
+    df = spark.createDataFrame(rows, "square_feet double, lot_size double, hood string")
+    model = L.FeatureEngineer(family="price", version="v1", categorical=["hood"]).fit(df)
+    out = model.transform(df).filter("square_feet = 0").collect()
+    assert len(out) == 2  # the row of the mean, 10, and the one without a number
+
+
+def test_summary_reads_the_table_once(spark, tmp_path):
+    rng = random.Random(4)
+    columns = [f"c{i}" for i in range(6)]
+    rows = [tuple(rng.choice([None, rng.gauss(0, 10 ** (i - 2)), float(rng.randrange(4))]) for i in range(5)) + (None,) for _ in range(400)]
+    spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def scans(n):
+        plan = L.dataset_summary(df, columns[:n])._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("parquet")
+
+    assert scans(2) == scans(6)
+    got = {r["column"]: r for r in L.dataset_summary(df, columns).collect()}
+    for i, c in enumerate(columns):
+        values = np.array([r[i] for r in rows if r[i] is not None])
+        assert got[c]["count"] == len(values)
+        if len(values):
+            want = [values.mean(), values.std(ddof=1), values.min(), *np.quantile(values, [0.25, 0.5, 0.75]), values.max()]
+            assert [got[c][x] for x in ("mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(want)
+        else:
+            assert got[c]["mean"] is None and got[c]["max"] is None
+
+
 def test_models_learn_a_clear_signal(spark):
     df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("z")).withColumn(
         "y", (F.col("x") > 9).cast("int"))

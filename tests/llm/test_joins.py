@@ -138,7 +138,8 @@ def test_exact_search(spark, k, every):
 
 
 def test_search_in_small_shards(spark, monkeypatch):
-    monkeypatch.setattr(kd_search, "BLOCK_ROWS", 4)
+    for name, value in (("BLOCK_ROWS", 4), ("SHARD_ROWS", 40), ("SAMPLE_ROWS", 100), ("BOXES_PER_PACK", 3), ("BLOCKS_PER_SALT", 2)):
+        monkeypatch.setattr(kd_search, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)], 0, "") for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string").repartition(5)

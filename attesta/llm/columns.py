@@ -6,7 +6,8 @@ single text, not its partition. Words are maximal runs of bytes other than space
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,23 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def release() -> None:
+    """Give back to the system what numpy and Arrow hold unused: a worker process outlives its stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work over batches, with unused memory given back before and after it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from work(batches)
+        release()
+    return run
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as binary with 64-bit offsets (nulls stay null)."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -121,7 +139,7 @@ _CACHE: dict[str, np.ndarray] = {"p": powers(1), "i": inverse_powers(1)}
 
 
 def _powers_cached(n: int) -> np.ndarray:
-    if n > 4 * SLICE_BYTES:
+    if n > 2 * SLICE_BYTES:
         return powers(n)
     if len(_CACHE["p"]) < n:
         _CACHE["p"] = powers(max(n, SLICE_BYTES + 1))
@@ -129,7 +147,7 @@ def _powers_cached(n: int) -> np.ndarray:
 
 
 def _inverse_cached(n: int) -> np.ndarray:
-    if n > 4 * SLICE_BYTES:
+    if n > 2 * SLICE_BYTES:
         return inverse_powers(n)
     if len(_CACHE["i"]) < n:
         _CACHE["i"] = inverse_powers(max(n, SLICE_BYTES + 1))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.columns import SLICE_BYTES, Words, gram_hashes, mix64, slices, text_column
+from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column, tidy
 from attesta.llm.scratch import fresh, identity, materialise
 
 SIMILARITY = 0.8
@@ -28,7 +28,7 @@ WALKS, TABLES, SAMPLED = 4, 16, 3
 RUN_WORDS = 4
 KNOWN_BITS = 20
 #: Embedded coordinates and cells of edit distances held at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 MATCH = "id long, item_id long, edit_distance int, first_word long, item_words int"
 
 _FAR = 1 << 36
@@ -188,7 +188,7 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for row, _, data, offsets in slices(text_column(batch, "text"), 2 * SLICE_BYTES):
+            for row, _, data, offsets in slices(text_column(batch, "text")):
                 words = Words(data, offsets, fold_case=True, alnum=True)
                 found = shared.value.matches(words.key, words.first)
                 if found:
@@ -226,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     parts = []
     for ids, texts in item_blocks(benchmark, item_key, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(Items(ids, texts, similarity))
-        parts.append(materialise(named.mapInArrow(_scan(shared), MATCH), "leaks"))
+        parts.append(materialise(named.mapInArrow(tidy(_scan(shared)), MATCH), "leaks"))
     found = spark.createDataFrame([], MATCH)
     for part in parts:
         found = found.unionByName(part)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attesta.llm.columns import text_column
+from attesta.llm.columns import text_column, tidy
 from attesta.llm.repeats import covered, repeated_spans, schema_with, with_spans
 
 GRAM = 8
@@ -147,4 +147,4 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 [*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.string())))],
                 names=[*batch.schema.names[:-1], *out])
 
-    return rows.mapInArrow(run, schema_with(rows, added))
+    return rows.mapInArrow(tidy(run), schema_with(rows, added))

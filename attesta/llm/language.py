@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from attesta.llm.columns import release
 from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
@@ -142,6 +143,10 @@ class Model:
 def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on the ``rows_per_language`` rows of each language with the least ``pick``. Every count of these rows stays."""
     ranked = labelled.select(F.col(lang).alias("lang"), pick.alias("pick"))
+    # picks are hashes: all but a share of each language a little larger than wanted is passed over before any row is ranked
+    sizes = ranked.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.lit(1.5 * rows_per_language + 1000)) / F.col("n")
+    ranked = ranked.join(sizes, "lang").filter((F.col("pick").cast("double") + 2.0**63) / 2.0**64 <= share).select("lang", "pick")
     cut = (ranked.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("pick")))
            .filter(F.col("place") <= rows_per_language).groupBy("lang").agg(F.max("pick").alias("cut"), F.count("*").alias("rows")))
     limits = cut.orderBy("lang").collect()
@@ -169,8 +174,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(schema)
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         for series in texts:
             yield pd.DataFrame([shared.value.predict(x) for x in series], columns=["lang_pred", "score"])
+        release()
 
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score")))
     verdict, = fresh(docs, "verdict")

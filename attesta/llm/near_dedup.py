@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column
+from attesta.llm.columns import Words, gram_hashes, mix64, slices, text_column, tidy
 from attesta.llm.graph import connected_components
 from attesta.llm.scratch import fresh, identity, materialise
 
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     threshold = threshold_pct / 100
     named = docs.select(*identity(key, text), F.col(key).cast("long").alias("label"), F.col(text).alias("text"))
     sketches = materialise(named.mapInArrow(
-        _sketch(shingle), "row_id long, row_hash int, label long, n_shingles long, class binary, tokens array<int>, bytes binary"), "sketches")
+        tidy(_sketch(shingle)), "row_id long, row_hash int, label long, n_shingles long, class binary, tokens array<int>, bytes binary"), "sketches")
     classes = materialise(
         sketches.filter("class is not null").groupBy("class").agg(
             F.min("label").alias("label"), F.min(F.struct("row_id", "row_hash")).alias("row"),
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return full.select("node", "id", "n_shingles", "bytes", "component")
 
     def in_nodes(rows: DataFrame, work, schema: str) -> DataFrame:
-        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, schema)
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(work), schema)
 
     def stars(rows: DataFrame) -> DataFrame:
         """Every class of a large node with the node's least one."""
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.selectExpr("id as a", "text as text_a"), "a").join(texts.selectExpr("id as b", "text as text_b"), "b")
         return materialise(pairs.select("a", "b", "text_a", "text_b").mapInArrow(
-            _confirm(shingle, threshold_pct), "a long, b long"), "links")
+            tidy(_confirm(shingle, threshold_pct)), "a long, b long"), "links")
 
     components = materialise(connected_components(confirm(pairs)).withColumnRenamed("node", "of"), "components")
 

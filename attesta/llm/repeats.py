@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from attesta.llm.columns import Words, gram_hashes, inverse_powers, mix64, powers, slices, sliding_argmin, text_column
+from attesta.llm.columns import Words, gram_hashes, inverse_powers, mix64, powers, slices, sliding_argmin, text_column, tidy
 from attesta.llm.scratch import fresh, identity, materialise
 
 Resolver = Callable[[list[np.ndarray], np.ndarray, np.ndarray, int], list[np.ndarray]]
@@ -226,10 +226,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, unit: str, window: int,
                    shard_bytes: int) -> DataFrame:
     """Spans (row_id, row_hash, first, past) of symbols covered by windows that start more than once in ``docs``."""
     named = docs.select(*identity(key, text), F.col(text).alias("text"))
-    segments = materialise(named.mapInArrow(_find_segments(unit, window, gram), SEGMENT), "segments")
+    segments = materialise(named.mapInArrow(tidy(_find_segments(unit, window, gram)), SEGMENT), "segments")
     hot = materialise(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("anchor"), "hot")
     sorted_out = (segments.join(hot, "anchor", "left_anti").select(*segments.columns).repartition("anchor")
-                  .sortWithinPartitions("anchor", "body").mapInArrow(_settle, SETTLED))
+                  .sortWithinPartitions("anchor", "body").mapInArrow(tidy(_settle), SETTLED))
     crowd = segments.join(hot, "anchor", "left_semi").select(*segments.columns)
     counted = crowd.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "place")).alias("one"))
     repeated = crowd.join(counted.filter("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi")
@@ -241,13 +241,13 @@ def repeated_spans(docs: DataFrame, key: str, text: str, unit: str, window: int,
              .agg(F.collect_list(F.struct("anchor", "place", "role")).alias("asked")))
     bodies = materialise(
         asked.join(named, ["row_id", "row_hash"]).select("row_id", "row_hash", "text", "asked").mapInArrow(
-            _cut_out(unit, window), "row_id long, row_hash int, anchor long, place long, role int, symbols binary"), "bodies")
+            tidy(_cut_out(unit, window)), "row_id long, row_hash int, anchor long, place long, role int, symbols binary"), "bodies")
     place = F.col("place")
     begin = F.shiftright(place, _SPAN_BITS)
     past = begin + place.bitwiseAND((1 << _SPAN_BITS) - 1) + F.lit(window - 1)
     span = ["row_id", "row_hash", begin.alias("first"), past.alias("past")]
     found = (bodies.filter(F.col("role") < _WINDOWS).repartition("anchor").sortWithinPartitions("anchor")
-             .mapInArrow(_resolve(unit, window, resolver, shard_bytes), SPAN))
+             .mapInArrow(tidy(_resolve(unit, window, resolver, shard_bytes)), SPAN))
     windows = bodies.filter(F.col("role") >= _WINDOWS)
     twice = windows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found_hot = windows.filter(F.col("role") == 1 + _WINDOWS).join(twice, "anchor", "left_semi").select(*span)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C, regression as R
@@ -285,3 +286,50 @@ def learning_curve(df: DataFrame, key: str, features: Sequence[str], label: str,
         model = fit(part, features, label)
         rows.append((float(share), part.count(), float(score(model, part)), float(score(model, held))))
     return df.sparkSession.createDataFrame(rows, "share double, train_size long, train_score double, validation_score double")
+
+
+def linear_learning_curve(df: DataFrame, key: str, features: Sequence[str], label: str,
+                          shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), alpha: float = 0.0, seed: int = 42) -> DataFrame:
+    """The learning curve of least squares (or ridge) in one scan: share, train_size, train_score, validation_score (r2),
+    intercept and coefficients.
+
+    Rows meet as sums of products only: a Gram matrix per slice of the hash between two shares, and one of the held-out
+    rows. The matrix of a share is the sum of its slices, and fit and scores follow from it. Splits are those of
+    :func:`learning_curve`. Rows with a null among features and label are left out.
+    """
+    shares = sorted(shares)
+    split = X.split_random(df, key, seed=seed).withColumn("_h", F.substring(X.split_hash(F.col(key), seed + 1), 1, 8))
+    bounds = [f"{min(int(share * 2 ** 32), 2 ** 32 - 1):08x}" for share in shares]
+    part = F.when(F.col("is_test"), -1)
+    for i, bound in enumerate(bounds):
+        part = part.when(F.col("_h") <= bound, i)
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, label)]]
+    known = split.withColumn("_part", part).filter(F.col("_part").isNotNull()).dropna(subset=[*features, label])
+    sums = known.groupBy("_part").agg(*[F.sum(terms[i] * terms[j]).alias(f"_g{i}_{j}") for i in range(len(terms)) for j in range(i + 1)])
+    grams = {}
+    for row in sums.collect():  # a row per share, and one
+        gram = np.empty((len(terms), len(terms)))
+        for i in range(len(terms)):
+            for j in range(i + 1):
+                gram[i, j] = gram[j, i] = row[f"_g{i}_{j}"]
+        grams[row["_part"]] = gram
+    empty = np.zeros((len(terms), len(terms)))
+
+    def r2(gram, beta):
+        n, total, square = gram[0, 0], gram[0, -1], gram[-1, -1]
+        if not n or square - total * total / n <= 0:
+            return None
+        error = square - 2 * beta @ gram[:-1, -1] + beta @ gram[:-1, :-1] @ beta
+        return float(1 - error / (square - total * total / n))
+
+    rows, gram = [], empty
+    for i, share in enumerate(shares):
+        gram = gram + grams.get(i, empty)
+        if not gram[0, 0]:
+            rows.append((float(share), 0, None, None, None, None))
+            continue
+        penalty = alpha * np.diag([0.0] + [1.0] * len(features))
+        beta = np.linalg.lstsq(gram[:-1, :-1] + penalty, gram[:-1, -1], rcond=None)[0]
+        rows.append((float(share), int(gram[0, 0]), r2(gram, beta), r2(grams.get(-1, empty), beta), float(beta[0]), [float(b) for b in beta[1:]]))
+    return df.sparkSession.createDataFrame(rows, "share double, train_size long, train_score double, validation_score double, "
+                                           "intercept double, coefficients array<double>")

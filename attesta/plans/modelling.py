@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import features as X, metrics as M, models as L
 from attesta.plans.catalog import bind, plain, query
-from attesta.plans.features import CHURN_SQL, churn, fraud, price
+from attesta.plans.features import CHURN_SQL, PRICE_SQL, churn, fraud, price
 from attesta.plans.metrics import nice
 
 CHURN_CATEGORIES = ["internet_service", "contract_type", "payment_method"]
@@ -192,3 +192,93 @@ def g53(spark, sf_dir):
 
     return L.learning_curve(scaled_price(spark, sf_dir), "property_id", PRICE_NUMERIC, "price", L.linear_regression, r2,
                             shares=(0.25, 0.5, 1.0))
+
+
+# Fits whose result is known in closed form: one binary feature, so that a saturated model is a rate or mean per value.
+URGENT = """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0D ELSE 0.0D END AS urgent,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0D ELSE 0.0D END AS high, CASE WHEN o_totalprice > 200000 + CASE WHEN o_orderpriority = '1-URGENT'
+    THEN 60000 WHEN o_orderpriority = '2-HIGH' THEN -60000 ELSE 0 END THEN 1 ELSE 0 END AS y FROM {orders}"""
+URGENT_SQL = plain(URGENT).replace("1.0D", "1.0").replace("0.0D", "0.0")
+LARGE = """SELECT p_partkey, CASE WHEN p_size > 25 THEN 1.0D ELSE 0.0D END AS large, p_retailprice + CASE WHEN p_size > 25 THEN 500 ELSE 0 END AS y
+  FROM {part}"""
+LARGE_SQL = plain(LARGE).replace("1.0D", "1.0").replace("0.0D", "0.0")
+_ODDS = "ln(sum(y) / (count(*) - sum(y)))"
+
+
+@query("g21_logistic_odds", f"""WITH d AS ({URGENT_SQL}), o AS (SELECT {_ODDS} FILTER (WHERE true) AS every FROM d),
+  a AS (SELECT {_ODDS} AS plain FROM d WHERE urgent = 0), b AS (SELECT {_ODDS} AS urgent FROM d WHERE urgent = 1)
+  SELECT round(urgent - plain, 2) AS slope, round(plain - every, 2) AS intercept FROM o, a, b""".replace(" FILTER (WHERE true)", ""))
+def g21_odds(spark, sf_dir):
+    fitted = L.logistic_regression(bind(spark, sf_dir, URGENT), ["urgent"], "y", c=1e9).stages[-1]  # balanced: less the odds of all
+    return spark.createDataFrame([(round(float(fitted.coefficients[0]), 2), round(float(fitted.intercept), 2))], "slope double, intercept double")
+
+
+@query("g22_forest_without_noise", f"""SELECT urgent::DOUBLE AS urgent, high::DOUBLE AS high, count(*) AS n,
+  CASE WHEN urgent + high > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS probability FROM ({URGENT_SQL}) GROUP BY urgent, high""")
+def g22_noiseless(spark, sf_dir):
+    df = bind(spark, sf_dir, URGENT).withColumn("y", (F.col("urgent") + F.col("high") > 0).cast("int"))
+    scored = L.random_forest(df, ["urgent", "high"], "y", trees=5, depth=2).transform(df)
+    return nice(scored.groupBy("urgent", "high").agg(F.count(F.lit(1)).alias("n"), F.max(L.probability()).alias("probability")), 6)
+
+
+@query("g23_one_round", f"""SELECT urgent::DOUBLE AS urgent, count(*) AS n, round(1 / (1 + exp(-2 * (2 * avg(y) - 1))), 6) AS probability
+  FROM ({URGENT_SQL}) GROUP BY urgent""")
+def g23_one_round(spark, sf_dir):
+    df = bind(spark, sf_dir, URGENT)
+    scored = L.boosted_classifier(df, ["urgent"], "y", rounds=1, depth=1, positive_weight=1.0).transform(df)
+    return nice(scored.groupBy("urgent").agg(F.count(F.lit(1)).alias("n"), F.max(L.probability()).alias("probability")), 6)
+
+
+@query("g25_one_round", f"SELECT large::DOUBLE AS large, round(avg(y), 6) AS prediction FROM ({LARGE_SQL}) GROUP BY large")
+def g25_one_round(spark, sf_dir):
+    df = bind(spark, sf_dir, LARGE)
+    scored = L.boosted_regressor(df, ["large"], "y", rounds=1, depth=1).transform(df)
+    return nice(scored.groupBy("large").agg(F.max("prediction").alias("prediction")), 6)
+
+
+@query("g26_vote_of_equals", f"SELECT large::DOUBLE AS large, round(avg(y), 6) AS prediction FROM ({LARGE_SQL}) GROUP BY large")
+def g26_vote(spark, sf_dir):
+    df = bind(spark, sf_dir, LARGE)
+    scored = L.VotingRegressor(rounds=(1, 1), depths=(1, 1), alpha=0.0).fit(df, ["large"], "y").transform(df)
+    return nice(scored.groupBy("large").agg(F.max("prediction").alias("prediction")), 6)
+
+
+@query("g28_importance_of_odds", f"""WITH d AS ({URGENT_SQL}), p AS (SELECT {_ODDS} AS plain FROM d WHERE urgent = 0 AND high = 0),
+  u AS (SELECT {_ODDS} AS urgent FROM d WHERE urgent = 1), h AS (SELECT {_ODDS} AS high FROM d WHERE high = 1)
+  SELECT 'urgent' AS feature, round(abs(urgent - plain), 2) AS importance FROM p, u UNION ALL SELECT 'high', round(abs(high - plain), 2) FROM p, h""")
+def g28_odds(spark, sf_dir):
+    model = L.logistic_regression(bind(spark, sf_dir, URGENT), ["urgent", "high"], "y", c=1e9)
+    return nice(L.importance_table(spark, ["urgent", "high"], L.importances(model)), 2)
+
+
+@query("g29_grid_without_noise", f"""WITH s AS (SELECT md5(concat('42:', property_id)) AS h FROM ({PRICE_SQL}))
+  SELECT run_id, name, current_stage, metric, 1.0::DOUBLE AS value, (SELECT count(*) FROM s WHERE substr(h, 1, 8) < '33333333') AS n_test
+  FROM (VALUES ('run-0', 'plain', 'None'), ('run-1', 'engineered', 'Staging')) r(run_id, name, current_stage),
+    (VALUES ('r2_score'), ('train_r2_score')) m(metric)""")
+def g29_noiseless(spark, sf_dir):
+    df = price(spark, sf_dir).select("property_id", "neighborhood", *PRICE_NUMERIC, "has_garage", "has_pool", "has_fireplace", "has_basement",
+                                     "is_renovated", "years_since_renovation", "school_rating")
+    df = df.withColumn("price", F.lit(1000.0) + 3 * F.col("square_feet") - 20 * F.col("bedrooms") + 7 * F.col("lot_size"))
+    grid = [{"experiment": "linear", "name": name, "feature_version": version, "stage": stage, "kind": "regression", "fit": L.linear_regression}
+            for name, version, stage in (("plain", "v1", "None"), ("engineered", "v3", "Staging"))]
+    runs = L.experiment_grid(df, "property_id", "price", "price", grid, ["neighborhood"])
+    held = X.split_random(df, "property_id").agg(F.count_if("is_test").alias("n")).scalar()
+    shown = runs.select("run_id", "name", "current_stage", F.explode("metrics").alias("metric", "value")).withColumn("n_test", held)
+    return nice(shown.filter(F.col("metric").isin("r2_score", "train_r2_score")), 6)
+
+
+CURVE = "SELECT o_orderkey, cast(o_custkey % 50 AS double) AS x, cast(o_totalprice + o_custkey % 50 * 900 AS double) AS y FROM {orders}"
+
+
+@query("g53_linear_curve", f"""WITH d AS (SELECT x, y, substr(md5(concat('42:', o_orderkey)), 1, 8) < '33333333' AS is_test,
+    substr(md5(concat('43:', o_orderkey)), 1, 8) AS h FROM ({plain(CURVE).replace(' double', ' DOUBLE')})),
+  s AS (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS share, unnest(['40000000', '80000000', 'ffffffff']) AS bound),
+  f AS (SELECT share, bound, count(*) AS train_size, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS train_score
+        FROM d JOIN s ON NOT is_test AND h <= bound GROUP BY ALL),
+  v AS (SELECT share, 1 - sum((y - intercept - slope * x) ** 2) / (var_pop(y) * count(*)) AS validation_score FROM d, f WHERE is_test GROUP BY share)
+  SELECT share, train_size, round(train_score, 6) AS train_score, round(validation_score, 6) AS validation_score, round(intercept, 3) AS intercept,
+    round(slope, 3) AS slope FROM f JOIN v USING (share)""")
+def g53_linear(spark, sf_dir):
+    curve = L.linear_learning_curve(bind(spark, sf_dir, CURVE), "o_orderkey", ["x"], "y", (0.25, 0.5, 1.0))
+    return curve.select("share", "train_size", F.round("train_score", 6).alias("train_score"), F.round("validation_score", 6).alias("validation_score"),
+                        F.round("intercept", 3).alias("intercept"), F.round(F.col("coefficients")[0], 3).alias("slope"))

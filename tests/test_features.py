@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import features as X, models as L
+from attesta.operators import features as X, metrics as M, models as L
 from attesta.operators.neighbours import nearest_neighbours
 
 
@@ -158,3 +158,23 @@ def test_price_errors_only_with_an_actual(spark):
     assert (rows[0]["predicted_price"], rows[0]["price_difference"], rows[0]["percent_error"]) == (105, 5.0, 5.0)
     assert rows[1]["predicted_price"] == -3 and rows[1]["percent_error"] is None
     assert "percent_error" not in L.price_errors(df, "p").columns
+
+
+def test_linear_curve_in_one_scan_equals_separate_fits(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(3, 2), 0.0) for i in range(600)]
+    rows = [(i, a, b, 5 + 2 * a - b + rng.gauss(0, 0.5)) for i, a, b, _ in rows] + [(9000, None, 1.0, 1.0), (9001, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+
+    def r2(model, part):
+        return M.regression_metrics(model.transform(part), [], "y", "prediction").first()["r2_score"]
+
+    whole = L.learning_curve(df.dropna(), "id", ["a", "b"], "y", L.linear_regression, r2, shares=(0.3, 1.0)).collect()
+    quick = L.linear_learning_curve(df, "id", ["a", "b"], "y", shares=(1.0, 0.3)).collect()
+    for one, other in zip(whole, quick):
+        assert (one["share"], one["train_size"]) == (other["share"], other["train_size"])
+        assert [other["train_score"], other["validation_score"]] == pytest.approx([one["train_score"], one["validation_score"]], abs=1e-9)
+    fitted = L.linear_regression(X.split_random(df.dropna(), "id").filter("NOT is_test"), ["a", "b"], "y").stages[-1]
+    assert quick[1]["coefficients"] == pytest.approx(list(fitted.coefficients)) and quick[1]["intercept"] == pytest.approx(fitted.intercept)
+    nothing = L.linear_learning_curve(df.limit(0), "id", ["a", "b"], "y", shares=(0.5,)).first()
+    assert nothing["train_size"] == 0 and nothing["train_score"] is None

@@ -17,11 +17,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from attesta.llm.columns import release
+from attesta.llm.columns import release, tidy
 from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 50_000
+#: Rows whose n-grams are counted at once.
+COUNTED_ROWS = 2_000
 #: A longer run of letters (a clause, where words are not spaced) is no word of its own, but its n-grams count.
 LONGEST_WORD = 40
 LONGEST_GRAM = 5
@@ -47,7 +49,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, COUNTED_ROWS) for b in batches for at in range(0, b.num_rows, COUNTED_ROWS)):
         words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for piece in words_of(text):
@@ -155,7 +157,7 @@ def fit(labelled: DataFrame, text: str, lang: str, pick: Column, rows_per_langua
     cuts = labelled.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in limits], "l string, cut long")
     sample = labelled.select(F.col(lang).alias("l"), F.col(text).alias("text"), pick.alias("pick"))\
         .join(F.broadcast(cuts), "l").filter(F.col("pick") <= F.col("cut")).filter("text is not null")
-    counts = materialise(sample.select("l", "text").mapInArrow(_count, "lang string, size int, token string, n long")
+    counts = materialise(sample.select("l", "text").mapInArrow(tidy(_count), "lang string, size int, token string, n long")
                          .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")), "counts")
 
     def entries() -> Iterator[tuple[str, int, str, int]]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from attesta import rules
 from attesta.functions.numbers import fixed
 from attesta.functions.text import basename, contains_any, matches_patterns
+from attesta.operators.grams import GRAM, explode_grams
 
 LOG_MODEL_TAG = "mlflow.log-model"
 PROJECT_TAG = "project_id"
@@ -172,20 +173,10 @@ def _purpose_patterns() -> list[str]:
     return sorted({p for patterns in rules.IMAGE_PURPOSES.values() for p in patterns})
 
 
-GRAM = 3
-
-
-def _explode_grams(df: DataFrame, text: str, sizes: Column) -> DataFrame:
-    """A row per size and place: ``gram``, the letters of ``text`` there. Texts shorter than a size have none of it."""
-    sized = df.withColumn("_size", F.explode(sizes)).filter(F.length(text) >= F.col("_size"))
-    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1)))
-    return placed.withColumn("gram", F.substring(F.col(text), F.col("_at"), F.col("_size"))).drop("_size", "_at")
-
-
 def _path_grams(names: DataFrame, images: DataFrame) -> DataFrame:
     """The grams of every path, of the sizes that names are looked up by."""
     in_use = names.agg(F.collect_set(F.least(F.length("_name"), F.lit(GRAM))).alias("sizes")).scalar()  # 1 to GRAM
-    return _explode_grams(images.select("scope", "seq", "path", F.lower("path").alias("_low"), in_use.alias("_sizes")), "_low", F.col("_sizes"))
+    return explode_grams(images.select("scope", "seq", "path", F.lower("path").alias("_low"), in_use.alias("_sizes")), "_low", F.col("_sizes"))
 
 
 def rarest_grams(names: DataFrame, images: DataFrame) -> DataFrame:
@@ -196,7 +187,7 @@ def rarest_grams(names: DataFrame, images: DataFrame) -> DataFrame:
     only, and just the grams that some name of the scope has are counted.
     """
     size = F.least(F.length("_name"), F.lit(GRAM))
-    of_names = _explode_grams(names, "_name", F.array(size)).select("scope", "_name", "gram").distinct()
+    of_names = explode_grams(names, "_name", F.array(size)).select("scope", "_name", "gram").distinct()
     counts = _path_grams(names, images).join(of_names.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")\
         .groupBy("scope", "gram").agg(F.count("seq").alias("n"))  # reads the same columns as the look-up: one exchange for both
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")

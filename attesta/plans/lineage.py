@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import citations as C
 from attesta.operators import lineage as L
+from attesta.operators.grams import match_key_table
 from attesta.plans.catalog import bind, plain, query
 
 LINES_SPARK = """SELECT doc_id, cast(pos AS bigint) AS seq, lang, source, line FROM {documents}
@@ -416,6 +417,20 @@ def e25(spark, sf_dir):
     return docs.select("doc_id", F.array_join(L.match_keys(F.col("text"), KEYS), "|").alias("found"))
 
 
+# The opening words of every turn, as a table of keys.
+OPENINGS = "SELECT DISTINCT regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) AS key FROM {conversations}"
+
+
+@query("e25_key_table", r"""WITH k AS (SELECT key, regexp_replace(lower(key), '([a-z]+)', '<\1>', 'g') AS marked FROM ("""
+       + plain(OPENINGS) + r""") WHERE key <> ''),
+  t AS (SELECT conv_id * 1000 + turn AS turn_id, regexp_replace(replace(replace(lower(text), '<', ' < '), '>', ' > '),
+    '([\p{L}\p{N}_]+)', '<\1>', 'g') AS marked FROM conversations)
+  SELECT turn_id, key FROM t JOIN k ON contains(t.marked, k.marked)""")
+def e25_table(spark, sf_dir):
+    turns = bind(spark, sf_dir, "SELECT conv_id * 1000 + turn AS turn_id, text FROM {conversations}")
+    return match_key_table(turns, "turn_id", "text", bind(spark, sf_dir, OPENINGS))
+
+
 EVIDENCE = """SELECT lang AS project, doc_id, concat(source, '.py') AS path, CASE WHEN doc_id % 2 = 0 THEN concat('f',
   cast(doc_id AS string)) ELSE '' END AS symbol, concat('statement ', cast(doc_id AS string)) AS statement, text AS snippet
   FROM {documents}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import registry as G
+from attesta.operators.grams import match_pattern_table
 from attesta.plans.catalog import bind, partitions, plain, query
 
 EXPERIMENTS = """SELECT cast(n_nationkey AS string) AS experiment_id, n_name AS name,
@@ -77,6 +78,19 @@ def d02(spark, sf_dir):
     return G.wildcard_match(customers, "c_name", ["Customer#0000000[0-4]?", "Customer#*[!0-6]", "Customer#000000012"])
 
 
+# Two shell patterns per part: thousands of them, from a table.
+PATTERNS = """SELECT concat('*', lpad(cast(p_partkey * 7 AS string), 5, '0'), CASE WHEN p_partkey % 3 = 0 THEN '?' WHEN p_partkey % 3 = 1 THEN '[0-4]*' ELSE '' END) AS pattern
+  FROM {part} UNION ALL SELECT concat('Customer#', CASE WHEN p_partkey % 2 = 0 THEN '0000?' ELSE '00000' END, lpad(cast(p_partkey * 3 AS string), 4, '0'))
+  FROM {part}"""
+
+
+@query("d02_pattern_table", f"""SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM ({plain(PATTERNS).replace(' string', ' VARCHAR')}) p
+  WHERE CASE WHEN contains(pattern, '*') OR contains(pattern, '?') THEN c_name GLOB pattern ELSE c_name = pattern END)""")
+def d02_table(spark, sf_dir):
+    customers = bind(spark, sf_dir, "SELECT c_custkey, c_name FROM {customer}")
+    return match_pattern_table(customers, "c_name", bind(spark, sf_dir, PATTERNS))
+
+
 _MODELS = f"""targets AS (SELECT * FROM experiments WHERE lifecycle_stage <> 'deleted' AND {NAME_RULE}),
   logged_models AS (SELECT DISTINCT v.name FROM versions v JOIN runs r USING (run_id)
     WHERE r.logged <> '' AND r.experiment_id IN (SELECT experiment_id FROM targets))"""

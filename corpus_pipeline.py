@@ -38,8 +38,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the copies that the mix takes of it (none for some)."""
-    return mixing.mix(docs)
+    """The mix: each document that it takes, with the number of its copies; documents of no copies go."""
+    return mixing.mix(docs).filter(F.col("copies") > 0)
 
 
 STAGES = [("language", identify_language), ("near duplicates", drop_near_duplicates), ("repeats", cut_repeats),

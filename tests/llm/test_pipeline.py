@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from attesta.llm import queries
+from attesta.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,7 +51,10 @@ def test_stages(spark, tmp_path):
             assert r.text == rows[i][1]
     assert set(seen["decontamination"]) == set(seen["repeats"]) - {20, 21}
     mixed = seen["mixing"]
-    assert set(mixed) == set(seen["decontamination"]) and all(r.taken == r.copies * r.size for r in mixed.values())
+    kept = spark.read.parquet(str(tmp_path / f"stage{len(corpus_pipeline.STAGES) - 2}"))
+    taken = {r.doc_id: r.copies for r in mixing.copies(kept).withColumnRenamed("id", "doc_id").collect()}
+    assert set(taken) == set(seen["decontamination"]) and all(r.taken == r.copies * r.size for r in mixed.values())
+    assert {i: r.copies for i, r in mixed.items()} == {i: n for i, n in taken.items() if n > 0}
     whole = {r.doc_id: r.copies for r in queries.QUERIES["pipeline"](spark, str(tmp_path)).collect()}
     assert whole == {i: r.copies for i, r in mixed.items()}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta import rules
 from attesta.operators import corpus as S
-from attesta.plans.catalog import bind, plain, query, table
+from attesta.plans.catalog import ORACLES, bind, plain, query, table
 from attesta.plans.redaction import KEYWORD_STEPS, PATTERN_STEPS, fold_sql
 
 FILES = """SELECT doc_id, source AS project, language, concat(CASE doc_id % 6 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/'
@@ -203,16 +203,21 @@ def c07(spark, sf_dir):
     return cards.select("path", "parse_ok", F.size("snippets").alias("n_snippets"), first.alias("first_snippet"))
 
 
-@query("c08_card_text", WITH + r"""SELECT path, concat_ws(chr(10), concat('### ', path, ' (', size, ' bytes, sas)'),
-  concat('Imports: ', array_to_string(list_concat(regexp_extract_all(content, '(?i)%include\s+["'']?([^"'';\s]+)', 1),
-    regexp_extract_all(content, '(?i)libname\s+([\p{L}\p{N}_]+)', 1))[1:20], ', ')),
-  concat('Symbols: ', array_to_string(list_concat(list_transform(regexp_extract_all(content, '(?i)%macro\s+([\p{L}\p{N}_]+)', 1),
-    lambda m: 'macro ' || m), list_transform(regexp_extract_all(content, '(?i)proc\s+([\p{L}\p{N}_]+)', 1), lambda m: 'proc ' || m))[1:20], ', ')),
-  concat('Snippet 1:', chr(10), substr(content, 1, 500))) AS card FROM files WHERE language = 'sas'""")
+_NATIVE_SQL = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[name]})" for name in ("c04_index_r", "c05_index_sas", "c06_index_matlab"))
+_SHORT = "array_to_string(string_split(nullif({}, ''), '|')[1:20], ', ')"
+
+
+@query("c08_card_text", WITH + f""", n AS ({_NATIVE_SQL}), i AS (SELECT path, imports, symbols, docstring FROM n UNION ALL
+    SELECT * FROM ({ORACLES['c02_index_python']})),
+  s AS (SELECT path, nth, snippet FROM ({ORACLES['c03_sample_snippets']}) UNION ALL SELECT path, 0, snippet FROM n),
+  t AS (SELECT path, string_agg(concat('Snippet ', nth + 1, ':', chr(10), snippet), chr(10) ORDER BY nth) AS numbered FROM s
+        WHERE nth < 3 AND regexp_matches(snippet, '[^\\s\\p{{Z}}]') GROUP BY path)
+  SELECT path, concat_ws(chr(10), concat('### ', path, ' (', size, ' bytes, ', language, ')'), 'Imports: ' || {_SHORT.format('imports')},
+    'Symbols: ' || {_SHORT.format('symbols')}, 'Docstring: ' || substr(nullif(docstring, ''), 1, 300), numbered) AS card
+  FROM files JOIN i USING (path) LEFT JOIN t USING (path)""")
 def c08(spark, sf_dir):
-    cards = S.file_cards(files(spark, sf_dir).filter("language = 'sas'"))
     names = ("path", "size", "language", "imports", "symbols", "docstring", "snippets")
-    return cards.select("path", S.card_text(*[F.col(n) for n in names]).alias("card"))
+    return S.file_cards(files(spark, sf_dir)).select("path", S.card_text(*[F.col(n) for n in names]).alias("card"))
 
 
 _SECRET = "concat(text, chr(10), 'password = ', md5(cast(doc_id AS string)))"

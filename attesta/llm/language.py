@@ -21,7 +21,7 @@ from attesta.llm.columns import release, tidy
 from attesta.llm.scratch import fresh, materialise
 
 ROWS_PER_LANGUAGE = 4_000
-CACHED_WORDS = 50_000
+CACHED_WORDS = 150_000
 #: Rows whose n-grams are counted at once.
 COUNTED_ROWS = 2_000
 #: A longer run of letters (a clause, where words are not spaced) is no word of its own, but its n-grams count.

@@ -46,13 +46,13 @@ class Node:
 def build_tree(source: str) -> Node:
     """The tree of a page: elements with their children, texts as strings."""
     root = Node("html")
-    open_ = [root]
+    open_ = Open(root)
     at, end = 0, len(source)
     while at < end:
         found = _TOKEN.match(source, at)
         token, at = found.group(), found.end()
         if token[0] != "<" or token == "<":
-            open_[-1].children.append(html.unescape(token))
+            open_.nodes[-1].children.append(html.unescape(token))
         elif token[1] in "!?":
             continue
         elif token[1] == "/":
@@ -65,7 +65,7 @@ def build_tree(source: str) -> Node:
             _imply(open_, tag)
             rest = token[len(tag) + 1:].rstrip(">").rstrip("/")
             node = Node(tag, {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip() else None)
-            open_[-1].children.append(node)
+            open_.nodes[-1].children.append(node)
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -74,35 +74,49 @@ def build_tree(source: str) -> Node:
                 node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
                 at = past.end()
             else:
-                open_.append(node)
+                open_.push(node)
     return root
 
 
-def _close(open_: list[Node], tag: str) -> None:
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag == tag:
-            del open_[i:]
-            return
-        if open_[i].tag in FENCE and tag not in ("table", "tr", "thead", "tbody", "tfoot", "template", "object"):
-            return
+class Open:
+    """The open elements, and where those of each name stand among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+def _close(open_: Open, tag: str) -> None:
+    place = open_.last((tag,))
+    fenced = tag not in ("table", "tr", "thead", "tbody", "tfoot", "template", "object")
+    if place and (not fenced or place >= open_.last(FENCE)):
+        open_.cut(place)
 
 
-def _imply(open_: list[Node], tag: str) -> None:
+def _imply(open_: Open, tag: str) -> None:
     """Close what ``tag`` ends, and open the rows that cells need."""
-    if open_[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
-        del open_[-1]
+    if open_.nodes[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
+        open_.cut(len(open_.nodes) - 1)
     ends, fence = CLOSES.get(tag, ((), ()))
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in fence and open_[i].tag not in ends:
+    while (place := open_.last(ends)) and place > open_.last(t for t in fence if t not in ends):
+        open_.cut(place)
+        if tag not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
             break
-        if open_[i].tag in ends:
-            del open_[i:]
-            if tag not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
-                break
-    if tag in _CELLS and open_[-1].tag in ("table", *_PARTS):
+    if tag in _CELLS and open_.nodes[-1].tag in ("table", *_PARTS):
         row = Node("tr")
-        open_[-1].children.append(row)
-        open_.append(row)
+        open_.nodes[-1].children.append(row)
+        open_.push(row)
 
 
 def visible(node: Node) -> bool:

@@ -186,3 +186,13 @@ def test_cgk_keeps_close_rows_close():
     near = (decontaminate.embed(a, 1) != decontaminate.embed(b, 1)).mean()
     far = (decontaminate.embed(a, 1) != decontaminate.embed(c, 1)).mean()
     assert (a != b).mean() > 0.9 and near < 0.5 < far
+
+
+def test_deep_nesting_and_closings():
+    from attesta.llm import html_text
+
+    for tags in (["div"], ["ul", "li"], ["table", "tr", "td"], ["b", "p"]):
+        n = 30_000 // len(tags)
+        page = "".join(f"<{t}>" for t in tags) * n + "deep" + "".join(f"</{t}>" for t in reversed(tags)) * n + "<p>after</b></i>"
+        lines = [x.strip("•*- ") for x in html_text.render(html_text.build_tree(page)).split("\n") if x.strip("•*- ")]
+        assert lines[-1] == "after" and lines[0].endswith("deep") and len(lines) == 2

@@ -239,6 +239,7 @@ def smote_oversample(df: DataFrame, key: str, label: str, features: Sequence[str
     sizes = df.agg(F.count_if(F.col(label) == 1).alias("m"), F.count_if(F.col(label) == 0).alias("n"))
     wanted = F.greatest(F.floor(F.lit(ratio) * F.col("n")) - F.col("m"), F.lit(0))
     near = nearest_neighbours(df.filter(F.col(label) == 1), key, features, neighbours).filter(F.size("_near") > 0)
+    near = near.persist()  # on first use: counted, ranked and copied below
     bases = near.agg(F.count(F.lit(1)).alias("bases")).scalar()
     hashed = near.withColumn("_hash", split_hash(F.col("_key"), seed))
     numbered = ranked(hashed, [], ["_hash", "_key"], "_rank", bucket=hash_range(F.col("_hash"), df.sparkSession))

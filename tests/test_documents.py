@@ -25,6 +25,25 @@ def test_spec_errors(spark):
         assert r["errors"] == r["want"], r["body"]
 
 
+def test_yaml_bodies_are_dealt_and_read_alike(spark):
+    cases = ["a: b\n- c", "title: 'x'\nsections:\n- A\n- name: B\n  per_model: yes", "x: \t|\n", "- ! ", "\n\ufeff|-\n", "- " * 600 + "x", "- " * 20 + "x",
+             "a: >\n  b\n  c", "d: 2020-01-01", "k: &a [1]\nl: *a", "? a\n: b", "t: [x", "n: 0x1f\nm: 1_0", "", "é: 日", "a: 1\ra: 2"]
+    fast = [D._as_json(c) for c in cases]
+    known, D.yaml.__with_libyaml__ = D.yaml.__with_libyaml__, False
+    try:
+        assert fast == [D._as_json(c) for c in cases]
+    finally:
+        D.yaml.__with_libyaml__ = known
+    body = "title: ok\nsections:\n- A: per_model\nhints:\n  A: " + "h" * 20
+    few = spark.range(3, numPartitions=1).select(F.col("id").alias("spec_id"), F.lit("p").alias("project"), F.concat(
+        F.lit("title: ok\nsections:\n- A"), F.col("id").cast("string")).alias("body"))
+    sections = D.parse_sections(few)
+    plan = sections._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan  # one file was one task
+    assert plan.count("as_json(") == 1  # the filter for specs that have sections parsed every body a second time
+    assert sorted(r["name"] for r in sections.collect()) == ["A0", "A1", "A2"]
+
+
 def test_sections_without_models_stay_generic(spark):
     body = json.dumps({"title": "t", "sections": ["A", "M: per_model", {"name": "Z", "hint": "own"}], "hints": {"M": "hm", "Z": "hz"}})
     specs = D.parse_specs(spark.createDataFrame([(1, "p", body), (2, "q", body)], "spec_id int, project string, body string"))

@@ -74,6 +74,18 @@ def test_status_stream_equals_batch(spark, tmp_path):
     assert log.select("batch").distinct().count() > 1
 
 
+def test_status_stream_logs_changes_only_and_stays_in_the_jvm(spark, tmp_path, monkeypatch):
+    feed = str(tmp_path / "feed")
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.transformWithStateInPandas", None)  # a Python call per run took too long
+    waves = [[("a", 5, "Running"), ("b", 1, "Pending")], [("a", 4, "Done"), ("b", 1, "Pending"), ("c", None, "Done"), (None, 9, "Done")],
+             [("a", 5, "Stopped"), ("b", 2, None), ("c", 3, "Failed")]]
+    for rows in waves:
+        spark.createDataFrame(rows, "run_ref string, ts long, raw_status string").coalesce(1).write.mode("append").parquet(feed)
+    log = job_stream.run_status_log(spark, feed, str(tmp_path / "out"), files_per_batch=1)
+    got = sorted(tuple(r) for r in log.select("batch", "run_ref", "ts", "raw_status").collect())
+    assert got == [(0, "a", 5, "Running"), (0, "b", 1, "Pending"), (2, "a", 5, "Stopped"), (2, "c", 3, "Failed")]
+
+
 def test_admission_stream_promotes_in_turn(spark, tmp_path):
     feed = str(tmp_path / "feed")
     spark.createDataFrame([job(i) for i in range(4)], SCHEMA).coalesce(1).write.parquet(feed)

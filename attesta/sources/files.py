@@ -29,11 +29,77 @@ def relative_path(path: Column, root: str) -> Column:
     return F.regexp_replace(path, r"^.*?\Q" + bare + r"\E/+", "")
 
 
+#: Levels of folders whose entries are dealt over tasks; deeper ones are walked by the task that found them.
+LISTED_APART = 3
+#: Rows of a listing and bytes of content that a task hands on at once.
+LISTED_AT_ONCE, READ_AT_ONCE = 10_000, 8 << 20
+
+
+def _passed_over(name: str) -> bool:
+    """Names that Spark's readers do not list."""
+    return (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+            and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def _list_folders(root: str, deep: bool):
+    """Rows (path, size) of files as they come; a row without a size is a folder, its entries take its place."""
+    def run(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            folders = [p for p, s in zip(paths, sizes) if s is None]
+            kept = batch.filter(batch.column(1).is_valid())
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["path", "size"])
+            while folders:
+                folder = folders.pop()
+                found = [e for e in store.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"))) if not _passed_over(e.base_name)]
+                for at in range(0, len(found), LISTED_AT_ONCE):
+                    some = [(f"{folder}/{e.base_name}".lstrip("/"), e.type == fs.FileType.Directory, e.size) for e in found[at:at + LISTED_AT_ONCE]]
+                    if deep:
+                        folders += [path for path, is_folder, _ in some if is_folder]
+                        some = [row for row in some if not row[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()),
+                                                      pa.array([None if r[1] else r[2] for r in some], pa.int64())], names=["path", "size"])
+    return run
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below ``root``: tasks list the folders, so that no list of all files is in the driver."""
+    rows = spark.range(1, numPartitions=1).select(F.lit("").alias("path"), F.lit(None).cast("bigint").alias("size"))
+    for level in range(LISTED_APART):
+        rows = rows.mapInArrow(_list_folders(root, level == LISTED_APART - 1), "path string, size long").repartition("path")
+    return rows
+
+
+def _read_files(root: str):
+    def run(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths, contents, start = batch.column(0).to_pylist(), [], 0
+            held = 0
+            for at, path in enumerate(paths):
+                with store.open_input_stream(f"{top}/{path}", compression=None) as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                if held >= READ_AT_ONCE or at + 1 == len(paths):
+                    part = batch.slice(start, len(contents))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(contents, pa.binary())], names=["path", "size", "content"])
+                    contents, start, held = [], at + 1, 0
+    return run
+
+
 def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] | None = None) -> DataFrame:
-    """(path, size, content bytes) of every file below ``root``; the bytes are only read where selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
-    return files if extensions is None else files.filter(has_extension(F.col("path"), extensions))
+    """(path, size, content bytes) of every file below ``root``. Tasks list and read it; for file systems that only Spark knows,
+    Spark's reader does, which lists the files in the driver."""
+    try:
+        fs.FileSystem.from_uri(root)
+    except pa.ArrowInvalid:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        files = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
+        return files if extensions is None else files.filter(has_extension(F.col("path"), extensions))
+    files = list_files(spark, root)
+    files = files if extensions is None else files.filter(has_extension(F.col("path"), extensions))
+    return files.mapInArrow(_read_files(root), "path string, size long, content binary")
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:

@@ -34,6 +34,23 @@ def test_scan_by_exact_extension(spark, tree):
     assert {r["path"] for r in FS.scan_source_files(spark, str(tree), "r").collect()} == {"model.R"}
 
 
+def test_scan_lists_in_tasks(spark, tree):
+    deep = tree / "b" / "c=1" / "d" / "e f"
+    deep.mkdir(parents=True)
+    (deep / "deep.py").write_text("y")
+    (tree / "b" / "empty.py").write_text("")
+    (tree / "b" / "_metadata.py").write_text("m")
+    for hidden in (".git/a.py", "_tmp/b.py", "b/_c.py", "b/.d.py"):
+        (tree / hidden).parent.mkdir(exist_ok=True)
+        (tree / hidden).write_text("z")
+    found = FS.scan_files(spark, str(tree))
+    assert "InMemoryFileIndex" not in found._jdf.queryExecution().executedPlan().toString()  # the driver listed every file
+    sizes = {r["path"]: (r["size"], len(r["content"])) for r in found.collect()}
+    assert sizes["b/c=1/d/e f/deep.py"] == (1, 1) and sizes["b/empty.py"] == (0, 0) and sizes["b/_metadata.py"] == (1, 1)
+    assert set(sizes) == {"b/c=1/d/e f/deep.py", "b/empty.py", "b/_metadata.py", "train.py", "tests/test_train.py", "nul.py", "bad.py",
+                          "model.R", "model.pkl", "README.md"}
+
+
 def test_parse_artifacts(spark):
     rows = [("a.csv", b'f,v\n"x, ""y""",1\nz,2\n'), ("n.txt", "é".encode()), ("p.PNG", b"no"), ("p.jpeg", b"\x01\x02"), ("q.csv", None), ("e.csv", b"")]
     got = {r["path"]: r for r in FS.parse_artifacts(spark.createDataFrame(rows, "path string, content binary")).collect()}

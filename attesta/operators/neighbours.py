@@ -1,9 +1,9 @@
 """Exact nearest neighbours of every row among all rows: a self-join over cells of space.
 
-Equal points are one point. Pivots, a bounded number of points by hash, part space into cells: a point belongs to its nearest pivot.
-Inside its cell each point finds k neighbours, whose k-th distance bounds the true one; with that bound it visits just the
-cells that can hold a nearer point (distance to the pivot less the cell's radius). Cells meet their visitors by an equality
-join, and nothing runs while the query is built.
+Equal points are one point. A bounded number of points by hash parts space into cells, which are halved at the median of the widest
+feature; a cell's box is that of its points. Inside its cell each point finds k neighbours, whose k-th distance bounds the true one; with
+that bound it visits just the cells whose box can hold a nearer point. Boxes are passed over for a whole cell first, so a point
+is compared with few of them. Cells meet their visitors by an equality join, and nothing runs while the query is built.
 """
 
 from __future__ import annotations
@@ -12,21 +12,84 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Points of a cell, and cells (so pivots) at most.
+#: Points of a cell, and cells at most.
 CELL_POINTS, MOST_CELLS = 256, 4096
+#: Points that a cell's bounds are taken from; tasks' shares of the points that are given a cell; runs of cells that one task looks round.
+KNOWN, SHARES, RUNS, RUN_CELLS = 4, 64, 128, 8
 BLOCK = 512
 
 
-def _apart(a: Sequence, b: Sequence) -> Column:
-    """The squared distance, summed in the order of the features."""
-    out = (a[0] - b[0]) * (a[0] - b[0])
-    for x, y in zip(a[1:], b[1:]):
-        out = out + (x - y) * (x - y)
+def _cells(points: np.ndarray, known: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each point, by halving ``known`` points at the median of their widest feature; cells side by side have numbers
+    side by side, and the order of ``known`` says nothing."""
+    out = np.zeros(len(points), dtype=np.int32)
+    todo = [(np.arange(len(points)), known, 0, cells)]
+    while todo:
+        rows, known, first, n = todo.pop()
+        out[rows] = first
+        if n == 1 or not len(rows) or not len(known):
+            continue
+        spread = known.max(axis=0) - known.min(axis=0)
+        widest = int(np.argmax(spread))
+        if not spread[widest] > 0:
+            continue
+        values = np.sort(known[:, widest])
+        at = values[(len(values) - 1) // 2]
+        if at == values[-1]:  # both halves hold some
+            at = values[np.searchsorted(values, at) - 1]
+        low, under = points[rows, widest] <= at, known[:, widest] <= at
+        below = min(max(round(n * float(under.mean())), 1), n - 1)
+        todo += [(rows[low], known[under], first, below), (rows[~low], known[~under], first + below, n - below)]
     return out
 
 
+def _gaps(low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distance of each box (low, high) to each of ``boxes``."""
+    out = np.zeros((len(low), len(boxes[0])))
+    for i in range(low.shape[1]):
+        out += np.maximum(np.maximum(boxes[0][:, i] - high[:, i][:, None], low[:, i][:, None] - boxes[1][:, i]), 0.0) ** 2
+    return np.sqrt(out)
+
+
+def _reaching(points: np.ndarray, boxes: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each point has k others for sure: the far corners of boxes that hold so many."""
+    out = np.full(len(points), np.inf)
+    for at in range(0, len(points), BLOCK):
+        part = points[at:at + BLOCK]
+        far = np.zeros((len(part), len(counts)))
+        for i in range(points.shape[1]):
+            x = part[:, i][:, None]
+            far += np.maximum(np.abs(x - boxes[0][:, i]), np.abs(x - boxes[1][:, i])) ** 2
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(counts[order], axis=1) > k
+        first = np.argmax(enough, axis=1)
+        reached = np.sqrt(far[np.arange(len(part)), order[np.arange(len(part)), first]])
+        out[at:at + BLOCK] = np.where(enough.any(axis=1), reached, np.inf)
+    return out
+
+
+def _visits(points: np.ndarray, ids: np.ndarray, boxes: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box): the boxes that can hold one of the k nearest of each point of a cell."""
+    row, _, apart = _nearest(points, points, ids, ids, k)
+    found = np.bincount(row, minlength=len(points))
+    bound = np.zeros(len(points))
+    np.maximum.at(bound, row, apart)
+    bound = np.sqrt(bound)
+    few = found < k
+    bound[few] = _reaching(points[few], boxes, counts, k)
+    reach = bound * (1 + 1e-9) + 1e-12
+    near = np.flatnonzero(_gaps(points.min(axis=0)[None], points.max(axis=0)[None], boxes)[0] * (1 - 1e-9) <= reach.max())
+    rows, places = [], []
+    for at in range(0, len(points), BLOCK):
+        part = points[at:at + BLOCK]
+        row, place = np.nonzero(_gaps(part, part, (boxes[0][near], boxes[1][near])) * (1 - 1e-9) <= reach[at:at + BLOCK][:, None])
+        rows.append(row + at)
+        places.append(near[place])
+    return np.concatenate(rows), np.concatenate(places)
+
+
 def _nearest(asked: np.ndarray, points: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row asked, place, squared distance) of the k points nearest to each, itself left out; ties to the smaller id."""
     rows, places, distances = [], [], []
@@ -65,36 +128,36 @@ def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int
     points = (rows.withColumn("_nth", F.row_number().over(among_equal)).filter(F.col("_nth") <= k + 1)
               .groupBy(*xs).agg(F.min("_key").alias("id"), F.sort_array(F.collect_list("_key")).alias("keys"))  # k + 1 at most
               .persist())  # on first use: many steps read the points
-    hashed = F.xxhash64(*xs).alias("h")
-    first = points.select(hashed, *xs).orderBy("h", *xs).limit(most_cells).agg(F.array_sort(F.collect_list(F.struct("h", *xs))).alias("p"))
     total = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     cells = F.greatest(F.lit(1), F.least(F.lit(most_cells), F.ceil(total / cell_points))).cast("int")
-    pivots = first.select(F.slice("p", F.lit(1), cells).alias("p")).scalar()
-    mine = [F.col(x) for x in xs]
-
-    def from_pivots() -> Column:
-        return F.transform(F.col("_pivots"), lambda p, i: F.struct(F.sqrt(_apart([p[x] for x in xs], mine)).alias("d"), i.alias("cell")))
-
-    home = points.withColumn("_pivots", pivots).withColumn("_home", F.array_min(from_pivots())).select(
-        "id", *xs, F.col("_home.cell").alias("cell"), F.col("_home.d").alias("d"))
-    radii = home.groupBy("cell").agg(F.max("d").alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "r"))).alias("m")).scalar()
+    first = points.select(F.xxhash64(*xs).alias("h"), *xs).orderBy("h", *xs).limit(KNOWN * most_cells).agg(
+        F.array_sort(F.collect_list(F.struct("h", *xs))).alias("p"))
+    known = (first.select(cells.alias("cells"), F.slice("p", F.lit(1), KNOWN * cells).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+             .select("share", "cells", F.explode("p").alias("p")).select("share", "cells", *[F.col(f"p.{x}").alias(x) for x in xs]))
     kind = df.schema[key].dataType.simpleString()
-
-    def own(part: pd.DataFrame) -> pd.DataFrame:
-        x, ids = part[xs].to_numpy(dtype=float), part["id"].to_numpy()
-        bound = np.full(len(part), np.inf)
-        if len(part) > k:
-            row, _, apart = _nearest(x, x, ids, ids, k)
-            np.maximum.at(bound_k := np.zeros(len(part)), row, apart)
-            bound = np.sqrt(bound_k)
-        return part[["id", *xs]].assign(bound=bound)
-
-    point = f"id {kind}, " + ", ".join(f"{x} double" for x in xs)
-    bounded = home.groupBy("cell").applyInPandas(own, point + ", bound double")
-    reach = F.col("bound") * (1 + 1e-9) + 1e-12
-    near_cells = F.filter(from_pivots(), lambda c: F.coalesce(c["d"] * (1 - 1e-9) - F.try_element_at("_radii", c["cell"]) <= reach, F.lit(False)))
-    visits = (bounded.withColumn("_pivots", pivots).withColumn("_radii", radii)
-              .select("id", *xs, F.explode(F.transform(near_cells, lambda c: c["cell"])).alias("cell")))
+    point = f"id {kind}, " + ", ".join(f"{x} double" for x in xs) + ", cell int"
+
+    def settle(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        n = int(known["cells"].iloc[0]) if len(part) else 1
+        return part[["id", *xs]].assign(cell=_cells(part[xs].to_numpy(dtype=float), known[xs].to_numpy(dtype=float), n))
+
+    shared = points.select("id", *xs, F.pmod(F.hash(*xs), F.lit(SHARES)).alias("share"))
+    home = shared.groupBy("share").cogroup(known.groupBy("share")).applyInPandas(settle, point).persist()  # read by three steps
+    run_cells = F.greatest(F.lit(RUN_CELLS), F.ceil(cells / RUNS)).cast("int")
+    boxes = home.groupBy(F.col("cell").alias("box")).agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"_low{x}") for x in xs], *[F.max(x).alias(f"_high{x}") for x in xs])
+    boxes = boxes.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((cells - 1) / run_cells).cast("int"))))
+
+    def look_round(part: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        out = [part[["id", *xs, "cell"]].head(0)]
+        sides = tuple(boxes[[f"_{side}{x}" for x in xs]].to_numpy(dtype=float) for side in ("low", "high"))
+        counts, numbers = boxes["n"].to_numpy(), boxes["box"].to_numpy()
+        for _, members in part.groupby("cell"):
+            row, place = _visits(members[xs].to_numpy(dtype=float), members["id"].to_numpy(), sides, counts, k)
+            out.append(members[["id", *xs]].iloc[row].assign(cell=numbers[place]))
+        return pd.concat(out)
+
+    visits = (home.withColumn("run", F.floor(F.col("cell") / run_cells).cast("int")).groupBy("run")
+              .cogroup(boxes.groupBy("run")).applyInPandas(look_round, point))
 
     def meet(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if visitors.empty or members.empty:

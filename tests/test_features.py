@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import features as X, metrics as M, models as L
+from attesta.operators import features as X, metrics as M, models as L, neighbours
 from attesta.operators.neighbours import nearest_neighbours
 
 
@@ -79,6 +79,27 @@ def test_neighbours_against_all_pairs(spark, cell_points, most_cells):
         assert got[i] == sorted((sq(x[0], y[0]) + sq(x[1], y[1]) + sq(x[2], y[2]), j) for j, *y in rows if j != i)[:5]
 
 
+def test_points_are_compared_with_few_boxes():
+    rng = np.random.default_rng(3)
+    points = np.stack([rng.exponential(200, 40_000), rng.integers(0, 24, 40_000), rng.integers(0, 40, 40_000)], axis=1).astype(float)
+    home = neighbours._cells(points, points[:640], 160)
+    assert (home == neighbours._cells(points, points[:640][::-1], 160)).all()
+    cells, counts = np.unique(home, return_counts=True)
+    assert len(cells) == 160 and counts.max() < 2_000
+    boxes = tuple(np.array([f(points[home == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    ids, visited = np.arange(len(points)), 0
+    for c in cells[::20]:
+        own = ids[home == c]
+        row, place = neighbours._visits(points[own], own, boxes, counts, 5)
+        visited += len(row) / len(own)
+        for i in range(0, len(own), 97):  # no nearer point stands in a cell that is not visited
+            apart = ((points - points[own[i]]) ** 2).sum(axis=1)
+            nearest = np.lexsort((ids, apart))
+            nearest = nearest[nearest != own[i]][:5]
+            assert set(home[nearest]) <= set(cells[place[row == i]])
+    assert visited / len(cells[::20]) < 12
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 1.0)], "id string, a double")
     got = {r["_key"]: [n["key"] for n in r["_near"]] for r in nearest_neighbours(df, "id", ["a"]).collect()}

@@ -114,6 +114,17 @@ def test_oversampling_of_nothing(spark):
         assert X.smote_oversample(rows, "id", "y", ["a"], ratio=2.0).filter("NOT synthetic").count() == rows.count()
 
 
+def test_rows_of_a_fit_are_held_by_several_tasks(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", "cast(id % 2 AS double) AS a", "cast(id % 3 AS double) AS b", "cast(id % 2 AS int) AS y")
+    assert L.dealt_for_fit(df, ["a", "b", "y"]).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(L, "NUMBERS_PER_TASK", 3000)
+    dealt = L.dealt_for_fit(df, ["a", "b", "y"])
+    assert dealt.columns == ["a", "b", "y"] and dealt.count() == 3000
+    assert dealt.rdd.getNumPartitions() == 11 and max(dealt.rdd.glom().map(len).collect()) <= 300
+    model = L.random_forest(df, ["a", "b"], "y", trees=3, depth=2)
+    assert model.transform(df).filter("prediction <> y").count() == 0
+
+
 def test_fit_transform_contract(spark, tmp_path):
     cols = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv", "streaming_movies", "partner", "dependents"]
     rows = [(i, 20.0 + i, 10.0 * i, ["a", "b"][i % 2], *[i % 2] * 8) for i in range(1, 30)]

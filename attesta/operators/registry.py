@@ -15,6 +15,7 @@ from attesta import rules
 from attesta.functions.numbers import fixed
 from attesta.functions.text import basename, contains_any, matches_patterns
 from attesta.operators.grams import GRAM, explode_grams
+from attesta.session import materialise
 
 LOG_MODEL_TAG = "mlflow.log-model"
 PROJECT_TAG = "project_id"
@@ -184,12 +185,11 @@ def rarest_grams(names: DataFrame, images: DataFrame) -> DataFrame:
     hold; names with a gram that no path holds are left out. images(scope, seq, path).
 
     Names of GRAM letters or more have grams of that size, shorter ones are their own gram; paths are cut into the sizes in use
-    only, and just the grams that some name of the scope has are counted.
+    only. What is counted are a scope's different grams, few next to its paths.
     """
     size = F.least(F.length("_name"), F.lit(GRAM))
     of_names = explode_grams(names, "_name", F.array(size)).select("scope", "_name", "gram").distinct()
-    counts = _path_grams(names, images).join(of_names.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")\
-        .groupBy("scope", "gram").agg(F.count("seq").alias("n"))  # reads the same columns as the look-up: one exchange for both
+    counts = _path_grams(names, images).groupBy("scope", "gram").agg(F.count("seq").alias("n"))  # most are added up before any exchange
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
     return (of_names.join(counts, ["scope", "gram"], "left").groupBy("scope", "_name").agg(best)
             .filter("best.n > 0").select("scope", "_name", "best.gram", "best.n"))
@@ -197,9 +197,14 @@ def rarest_grams(names: DataFrame, images: DataFrame) -> DataFrame:
 
 def _first_named(names: DataFrame, images: DataFrame) -> DataFrame:
     """(scope, _name, _named): the first image of the scope whose path holds the name. Each path is looked up by its grams
-    among the rarest grams of the names, and then compared."""
-    chosen = rarest_grams(names, images)
-    found = _path_grams(names, images).join(chosen.select("scope", "_name", "gram"), ["scope", "gram"]).filter(F.contains("_low", F.col("_name")))
+    among the rarest grams of the names, and then compared. Scopes with names, and the grams chosen, are small tables of their own:
+    paths and grams that are not among them go before anything is exchanged, if Spark broadcasts these by their bytes."""
+    scopes = materialise(names.select("scope").distinct(), "image-scopes")
+    images = images.join(scopes, "scope", "left_semi")
+    chosen = materialise(rarest_grams(names, images), "image-names")
+    looked_up = materialise(chosen.select("scope", "gram").distinct(), "image-grams")
+    found = (_path_grams(names, images).join(looked_up, ["scope", "gram"], "left_semi")
+             .join(chosen.select("scope", "_name", "gram"), ["scope", "gram"]).filter(F.contains("_low", F.col("_name"))))
     return found.groupBy("scope", "_name").agg(F.min(F.struct("seq", "path")).alias("_named"))
 
 

@@ -1,4 +1,5 @@
 import fnmatch
+import re
 
 from pyspark.sql import functions as F
 
@@ -95,3 +96,13 @@ def test_number_texts(spark):
     for r in df.select("t", safe_int(F.col("t")).alias("i"), safe_float(F.col("t")).alias("f")).collect():
         if r["t"] != "٣":  # other digit scripts are not read
             assert (r["i"], r["f"]) == (parsed(int, r["t"]), parsed(float, r["t"])), r["t"]
+
+
+def test_paths_that_no_name_can_hold_go_before_any_exchange(spark):
+    images = spark.range(2000).selectExpr("concat('s', id % 50) AS scope", "id AS seq", "concat('plots/roc_', id, '.png') AS path")
+    names = spark.createDataFrame([("s1", "c_51."), ("s2", "_152."), ("s2", "none")], "scope string, _name string")
+    found = G._first_named(names, images)
+    assert {tuple(r) for r in found.select("scope", "_name", "_named.seq").collect()} == {("s1", "c_51.", 51), ("s2", "_152.", 152)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[scope#\d+\], \[scope#\d+\], LeftSemi", plan)
+    assert re.search(r"BroadcastHashJoin \[scope#\d+, gram#\d+\], \[scope#\d+, gram#\d+\], LeftSemi", plan)

@@ -1,7 +1,7 @@
 """Tables of names, patterns and keys looked up in texts: an index of literal pieces, never a pair of every text and pattern.
 
-Each pattern is looked up by the rarest of its literal grams (or words), counted over the texts; texts that hold it are candidates,
-which are then compared. Only grams that some pattern has are counted.
+Each pattern is looked up by the rarest of its literal grams (keys: of their short runs of words), counted over the texts; texts that hold
+it are candidates, which are then compared. Only grams that some pattern has are counted.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta.functions.text import WORD, glob_regex, unicode_regex
 
 GRAM = 3
+RUN = 3
 _LITERALS = "literals array<string>, regex string, exact boolean"
 
 
@@ -64,20 +65,36 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]+|[^{WORD}])"), F.lit(1))
 
 
+def _windows(sizes: Column) -> Column:
+    """The different runs of ``_tokens`` of each of the sizes, as text: tokens of equal text are equal, and so are their runs."""
+    def of(size: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size("_tokens") - size + 1)
+        return F.when(F.size("_tokens") >= size, F.transform(places, lambda i: F.array_join(F.slice("_tokens", i, size), ""))).otherwise(
+            F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
 def match_key_table(docs: DataFrame, doc: str, text: str, keys: DataFrame, key: str = "key") -> DataFrame:
     """(doc, key): the keys of the table that occur in each text as whole words, case ignored. Null and empty keys and null
-    texts match nothing; rows of one ``doc`` are one text's, so it should be unique."""
+    texts match nothing; rows of one ``doc`` are one text's, so it should be unique. A whole-word match begins and ends between
+    tokens, so keys are looked up by their rarest run of RUN tokens (shorter ones by themselves); those that are one such run, with letters
+    at both ends, need no further look at the text."""
     named = keys.select(F.col(key).alias("key")).filter(F.coalesce("key", F.lit("")) != "").distinct()
-    of_keys = named.select("key", F.explode(F.array_distinct(_tokens(F.col("key")))).alias("token"))
-    of_docs = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(_tokens(F.col(text)))).alias("token"))
+    of_keys = named.select("key", _tokens(F.col("key")).alias("_tokens"))
+    of_keys = of_keys.select("key", F.explode(_windows(F.array(F.least(F.size("_tokens"), F.lit(RUN))))).alias("token"),
+                             F.least(F.size("_tokens"), F.lit(RUN)).alias("size"))
+    in_use = of_keys.agg(F.coalesce(F.collect_set("size"), F.array().cast("array<int>")).alias("sizes")).scalar()  # 1 to RUN
+    of_docs = (docs.select(F.col(doc).alias("doc"), _tokens(F.col(text)).alias("_tokens")).withColumn("_sizes", in_use)
+               .select("doc", F.explode(_windows(F.col("_sizes"))).alias("token")))
     of_docs = of_docs.join(of_keys.select("token").distinct(), "token", "left_semi")
     counts = of_docs.groupBy("token").agg(F.count("doc").alias("n"))
     rarest = (of_keys.join(counts, "token", "left").groupBy("key")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).filter("r.n > 0").select("key", "r.token"))
     found = of_docs.join(rarest, "token").select("doc", "key", "token").distinct()
     edge = unicode_regex(r"\b")
-    whole = found.filter(F.lower("key") == F.col("token")).filter(F.rlike("token", F.lit(f"[{WORD}]"))).select("doc", "key")
-    check = found.filter((F.lower("key") != F.col("token")) | ~F.rlike("token", F.lit(f"[{WORD}]")))
+    itself = (F.lower("key") == F.col("token")) & F.rlike("token", F.lit(f"^[{WORD}]")) & F.rlike("token", F.lit(f"[{WORD}]\\z"))
+    whole = found.filter(itself).select("doc", "key")
+    check = found.filter(~itself)
     escaped = F.concat(F.lit(edge), F.lit("\\Q"), F.replace(F.lower("key"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), F.lit(edge))
     checked = (check.join(docs.select(F.col(doc).alias("doc"), F.lower(text).alias("_low")), "doc")
                .filter(F.contains("_low", F.lower("key"))).filter(F.rlike("_low", escaped)).select("doc", "key"))

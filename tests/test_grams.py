@@ -43,3 +43,16 @@ def test_key_table_against_single_keys(spark):
     plain = docs.select("id", F.explode(L.match_keys(F.col("t"), [k for k in keys if "\\E" not in k])).alias("key")).collect()
     assert [g for g in got if "\\E" not in g[1]] == sorted(map(tuple, plain)) and len(got) > 200
     assert grams.match_key_table(docs, "id", "t", table.limit(0)).count() == 0
+
+
+def test_keys_of_two_words_are_looked_up_together(spark):
+    runs = spark.createDataFrame([("B, a b",), ("a",), ("",), (None,)], "t string").select(grams._tokens(F.col("t")).alias("_tokens"))
+    got = [r[0] for r in runs.select(grams._windows(F.array(F.lit(1), F.lit(3)))).collect()]
+    assert got[:3] == [["b", ",", " ", "a", "b, ", ", a", " a ", "a b"], ["a"], []] and not got[3]
+    words = [f"w{i}" for i in range(40)]
+    keys = spark.createDataFrame([(f"{a} {b}",) for a in words for b in words], "key string")
+    rng = random.Random(9)
+    texts = [[rng.choice(words) for _ in range(60)] for _ in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "id int, t string")
+    want = {(i, f"{a} {b}") for i, t in enumerate(texts) for a, b in zip(t, t[1:])}
+    assert {tuple(r) for r in grams.match_key_table(docs, "id", "t", keys).collect()} == want

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta.functions.text import WORD, glob_regex, unicode_regex
 
 GRAM = 3
+#: Letters of a shell pattern's literal that are looked up together: with few, the values of one gram grow with the table.
+LITERAL = 8
 RUN = 3
 _LITERALS = "literals array<string>, regex string, exact boolean"
 
@@ -45,8 +47,8 @@ def match_pattern_table(df: DataFrame, column: str, patterns: DataFrame, pattern
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
     globs = parsed.filter("NOT exact").select("regex", "literals")
     pieces = globs.select("regex", F.explode("literals").alias("piece"))
-    of_globs = explode_grams(pieces, "piece", F.array(F.least(F.length("piece"), F.lit(GRAM)))).select("regex", "gram").distinct()
-    in_use = of_globs.agg(F.coalesce(F.collect_set(F.length("gram")), F.array().cast("array<int>")).alias("sizes")).scalar()  # 1 to GRAM
+    of_globs = explode_grams(pieces, "piece", F.array(F.least(F.length("piece"), F.lit(LITERAL)))).select("regex", "gram").distinct()
+    in_use = of_globs.agg(F.coalesce(F.collect_set(F.length("gram")), F.array().cast("array<int>")).alias("sizes")).scalar()  # 1 to LITERAL
     of_values = explode_grams(values.withColumn("_sizes", in_use), "value", F.col("_sizes")).select("value", "gram")
     counts = (of_values.join(of_globs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("value").alias("n")))
     rarest = (of_globs.join(counts, "gram", "left").groupBy("regex")

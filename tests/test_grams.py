@@ -56,3 +56,14 @@ def test_keys_of_two_words_are_looked_up_together(spark):
     docs = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "id int, t string")
     want = {(i, f"{a} {b}") for i, t in enumerate(texts) for a, b in zip(t, t[1:])}
     assert {tuple(r) for r in grams.match_key_table(docs, "id", "t", keys).collect()} == want
+
+
+def test_patterns_are_looked_up_by_long_literals(spark, monkeypatch):
+    asked, real = [], grams.explode_grams
+    monkeypatch.setattr(grams, "explode_grams", lambda df, *a: asked.append(real(df, *a)) or asked[-1])
+    df = spark.range(3000).select(F.format_string("model_%06d", "id").alias("v"))
+    table = spark.range(3000).select(F.format_string("*_%06d?", "id").alias("pattern")).unionByName(
+        spark.range(100).select(F.format_string("*%06d", "id").alias("pattern")))
+    assert grams.match_pattern_table(df, "v", table).count() == 100
+    of_globs = {r["gram"] for r in asked[0].select("gram").distinct().collect()}
+    assert {"_000000", "000099"} <= of_globs and min(map(len, of_globs)) == 6  # a gram each, held by few values

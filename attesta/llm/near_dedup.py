@@ -8,8 +8,9 @@ signatures, and pairs that may reach the threshold are confirmed on their full s
 A dense group never parts, and listing all its pairs is no use. So leaves first give a spanning forest of their likely
 pairs, and large nodes a star; confirmed links merge classes into components. After that the classes of a node that have
 a likely partner in another component meet there with their texts, every such pair still apart is compared on its full
-sets, and only links that tie components leave the task. A large node goes on branching only while it holds more than one component; what is still large
-at ``depth`` is compared exhaustively, block by block.
+sets, and only links that tie components leave the task. A node branches only if it holds more than one component and more
+classes than one task compares. What is still as large at ``depth``, and before that a node whose branches held as many pairs
+as itself twice in a row, is compared exhaustively, block by block.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ ESTIMATED, DEVIATIONS = 192, 4.5
 TREES, LEAF, DEPTH = 12, 256, 6
 #: Coordinates that a large node chooses: a pair at the threshold goes on in 1.6 children of each node that holds it.
 CHOICES = 2
-#: A node of this many leaves' classes is still compared in one task if few of its pairs are of different components.
+#: A node of this many leaves' classes is still compared in one task, class by class.
 CROWD = 16
+#: Shingles of one node's texts in a task; the texts of a node with more are dealt over pairs of blocks.
+SHINGLES = 1 << 22
+#: A node whose children hold this share of its pairs or more has not parted.
+FLAT = 0.9
 
 _SEEDS = mix64(np.arange(1, ESTIMATED + 1, dtype=np.uint64))
 _FACTORS = mix64(np.arange(1001, ESTIMATED + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -107,44 +112,53 @@ def _branch(path: Column, level: Column, tries: Column) -> Column:
     return F.transform(chosen, lambda t: F.xxhash64(path, level, t["i"], t["value"]))
 
 
-def _likely_pairs(threshold: float):
-    """A function of a node's (sizes, bytes, components): (agreement, i, j) of pairs of different components that may reach
-    the threshold, the most alike first."""
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def _agreeing(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """In how many bytes each of the rows (eight bytes to a number) agrees with one."""
+    differ = rows ^ row
+    some = (differ & _LOW) + _LOW
+    some |= differ
+    some &= _HIGH  # one bit for each byte that differs
+    return 8 * rows.shape[1] - np.bitwise_count(some).sum(axis=1, dtype=np.int64)
+
+
+def _likely_partners(threshold: float):
+    """A function of a node's (sizes, bytes, components): (i, js, agreement) of pairs of different components that may reach
+    the threshold, each pair once."""
     least = int(np.floor(ESTIMATED * (threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / ESTIMATED))))
 
-    def pairs(sizes: np.ndarray, tokens: np.ndarray, component: np.ndarray) -> np.ndarray:
+    def partners(sizes: np.ndarray, brief: np.ndarray, component: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         _, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
         # every pair of different components has a class outside the largest one
         largest = inverse == np.argmax(counts)
         order = np.argsort(largest, kind="stable")
-        sizes, tokens, component = sizes[order], tokens[order], component[order]
-        out = [np.zeros((3, 0), dtype=np.int64)]
+        sizes, words, component = sizes[order], np.ascontiguousarray(brief[order]).view(np.uint64), component[order]
         for i in range(len(order) - int(largest.sum())):
             rest = slice(i + 1, None)
             small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
             at = np.flatnonzero((small >= threshold * large - 1e-9) & (component[rest] != component[i])) + i + 1
             if len(at):
-                same = (tokens[at] == tokens[i]).sum(axis=1)
+                same = _agreeing(words[at], words[i])
                 at, same = at[same >= least], same[same >= least]
-                out.append(np.stack([same, np.full(len(at), order[i]), order[at]]))
-        found = np.concatenate(out, axis=1)
-        return found[:, np.argsort(-found[0], kind="stable")]
+                if len(at):
+                    yield order[i], order[at], same
 
-    return pairs
+    return partners
 
 
-def _joined(n: int, component: np.ndarray, found: np.ndarray, same) -> list[tuple[int, int]]:
-    """The pairs that tie components which those before did not, of the pairs for which ``same`` holds."""
-    _, place = np.unique(component, return_inverse=True)
-    root, place, out = list(range(n)), place.tolist(), []
+def _joined(n: int, found: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that tie classes which those before did not."""
+    root, out = list(range(n)), []
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
-    for _, i, j in found.T.tolist():
-        a, b = top(place[i]), top(place[j])
-        if a != b and same(i, j):
+    for i, j in found.T.tolist():
+        a, b = top(i), top(j)
+        if a != b:
             root[b] = a
             out.append((i, j))
     return out
@@ -183,39 +197,65 @@ def _columns(parts: list[pa.RecordBatch]):
 
 
 def _forest(threshold: float):
-    """Of each node a spanning forest of its likely pairs."""
-    pairs = _likely_pairs(threshold)
+    """Of each node a spanning forest of its likely pairs, the most alike first."""
+    partners = _likely_partners(threshold)
 
     def work(parts: list[pa.RecordBatch]) -> list[tuple]:
         ids, sizes, brief, component = _columns(parts)
-        tied = _joined(len(ids), component, pairs(sizes, brief, component), lambda i, j: True)
+        found = [np.stack([same, np.full(len(js), i), js]) for i, js, same in partners(sizes, brief, component)]
+        if not found:
+            return []
+        pairs = np.concatenate(found, axis=1)
+        tied = _joined(len(ids), pairs[1:, np.argsort(-pairs[0], kind="stable")])
         return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in tied]
     return _by_node(work, ["a", "b"])
 
 
 def _border(threshold: float):
     """(node, id) of classes with a likely partner in another component."""
-    pairs = _likely_pairs(threshold)
+    partners = _likely_partners(threshold)
 
     def work(parts: list[pa.RecordBatch]) -> list[tuple]:
         ids, sizes, brief, component = _columns(parts)
+        met = np.zeros(len(ids), dtype=bool)
+        for i, js, _ in partners(sizes, brief, component):
+            met[i] = met[js] = True
         node = parts[0].column(0)[0].as_py()
-        return [(node, ids[i]) for i in np.unique(pairs(sizes, brief, component)[1:])]
+        return [(node, x) for x in ids[met].tolist()]
     return _by_node(work, ["node", "id"])
 
 
 def _ties(size: int, threshold_pct: int):
     """Links that tie the components of a node: every likely pair of classes still apart is compared on its full sets."""
-    pairs = _likely_pairs(threshold_pct / 100)
+    partners = _likely_partners(threshold_pct / 100)
 
     def work(parts: list[pa.RecordBatch]) -> list[tuple]:
-        ids, sizes, brief, component = _columns(parts)
+        ids, _, brief, component = _columns(parts)
         sets = [s for p in parts for _, part in shingle_sets(text_column(p, "text"), size) for s in part]
-
-        def same(i: int, j: int) -> bool:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return 100 * both >= threshold_pct * (len(sets[i]) + len(sets[j]) - both)
-        return [(ids[i], ids[j]) for i, j in _joined(len(ids), component, pairs(sizes, brief, component), same)]
+        sizes = np.array([len(s) for s in sets])
+        start = np.cumsum(sizes) - sizes
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        del sets
+        held = np.zeros(len(values), dtype=np.int8)
+        _, label = np.unique(component, return_inverse=True)
+        out = []
+        for i, js, _ in partners(sizes, brief, component):
+            mine = codes[start[i]:start[i] + sizes[i]]
+            held[mine] = 1
+            for lo in range(0, len(js), 1024):
+                some = js[lo:lo + 1024]
+                some = some[label[some] != label[i]]
+                if not len(some):
+                    continue
+                first = np.cumsum(sizes[some]) - sizes[some]
+                each = np.arange(sizes[some].sum()) + np.repeat(start[some] - first, sizes[some])
+                both = np.add.reduceat(held[codes[each]], first, dtype=np.int64)
+                for j in some[100 * both >= threshold_pct * (sizes[i] + sizes[some] - both)].tolist():
+                    if label[j] != label[i]:
+                        out.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+            held[mine] = 0
+        return out
     return _by_node(work, ["a", "b"])
 
 
@@ -307,41 +347,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return materialise(known.unionByName(single), "components")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows (with ``tries``) of the nodes that hold several components, with n (classes) and ``apart`` (pairs of different
+        """The rows of the nodes that hold several components, with n (classes) and ``apart`` (pairs of different
         components)."""
         rooted = rows.select("node", "id").join(components, F.col("id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "id"))
         held = rooted.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
         several = held.select("node", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("apart")).filter("apart > 0")
-        return rows.select("node", "id", "tries").join(several, "node")
+        return rows.drop("n", "apart").join(several, "node")
+
+    def dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+        """(node, id) of nodes for every pair of the ``blocks`` that the classes of a node are dealt over."""
+        each = rows.select("node", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("i"),
+                           F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+        return each.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id")
 
-    easy = (F.col("n") <= leaf) | ((F.col("n") <= CROWD * leaf) & (F.col("apart") <= leaf * leaf))
+    crowd = CROWD * leaf
+    easy = F.col("n") <= crowd
+    blocks = F.ceil(2 * F.col("n") / crowd).cast("int")
     todo = [mixed(small).select("node", "id")]
-    level, large = 1, materialise(mixed(large), "nodes")
-    while not large.isEmpty():
-        todo.append(large.filter(easy).select("node", "id"))
-        hard = large.filter(~easy)
-        if level == depth:  # exhaustive, by pairs of blocks
-            blocks = F.ceil(2 * F.col("n") / leaf).cast("int")
-            dealt = hard.select("node", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("i"),
-                                F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-            todo.append(dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "id"))
+    level, large = 1, materialise(mixed(large).withColumn("flat", F.lit(False)), "nodes")
+    todo.append(large.filter(easy).select("node", "id"))
+    hard = large.filter(~easy)
+    while not hard.isEmpty():
+        if level == depth:
+            todo.append(dealt(hard, blocks))
             break
         level += 1
         children = hard.select("id", "node", "tries").join(classes.select("id", "tokens"), "id")
-        children = children.select("id", F.explode(_branch(F.col("node"), F.lit(level), F.col("tries"))).alias("node")).distinct()
+        children = children.select("id", F.col("node").alias("parent"), F.explode(_branch(F.col("node"), F.lit(level), F.col("tries"))).alias("node"))
         children = materialise(children, "rows")
         children = materialise(mixed(children.join(nodes_of(children).select("node", "tries"), "node")), "nodes")
-        todo.append(children.filter(F.col("n") <= leaf).select("node", "id"))
-        large = children.filter(F.col("n") > leaf)
-        if not large.isEmpty():
-            components = joined(confirm(stars(large).distinct().join(pairs, ["a", "b"], "left_anti")))
-            large = materialise(mixed(large), "nodes")
+        below = children.groupBy("parent", "node").agg(F.max("apart").alias("apart")).groupBy("parent").agg(F.sum("apart").alias("below"))
+        known = hard.select(F.col("node").alias("parent"), "apart", F.col("flat").alias("before")).distinct().join(below, "parent")
+        known = known.select("parent", "before", (F.col("below") >= FLAT * F.col("apart")).alias("flat"))
+        dense = known.filter("before and flat").select("parent")
+        todo.append(dealt(hard.join(dense, hard["node"] == dense["parent"], "left_semi"), blocks))
+        children = children.join(known.filter("not (before and flat)").select("parent", "flat"), "parent").drop("parent")
+        todo.append(children.filter(easy).select("node", "id"))
+        hard = materialise(children.filter(~easy), "nodes")
+        if not hard.isEmpty():
+            components = joined(confirm(stars(hard).distinct().join(pairs, ["a", "b"], "left_anti")))
+            hard = materialise(mixed(hard), "nodes")
 
     remaining = todo[0]
     for part in todo[1:]:
         remaining = remaining.unionByName(part)
     border = materialise(in_nodes(sketched(remaining, components), _border(threshold), "node long, id long"), "border")
+    held = border.join(brief.select("id", "n_shingles"), "id").groupBy("node").agg(F.sum("n_shingles").alias("held"))
+    border = dealt(border.join(held, "node"), F.when(F.col("held") <= SHINGLES, 1).otherwise(F.ceil(2 * F.col("held") / SHINGLES)).cast("int"))
     full = sketched(border, components).join(texts, "id").select("node", "id", "n_shingles", "bytes", "component", "text")
     components = joined(in_nodes(full, _ties(shingle, threshold_pct), "a long, b long"))
 

@@ -69,6 +69,31 @@ def test_components(spark, leaf, depth):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_dense_group_does_not_multiply(spark, monkeypatch):
+    """A group of near copies, many below the threshold: its rows stay few on every level, and no link is lost."""
+    rng = random.Random(11)
+    vocabulary, rows = [f"w{i}" for i in range(500)], []
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(0, 25)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words), "s", "r", "c"))
+    written, before = [], near_dedup.materialise
+
+    def counted(df, purpose):
+        table = before(df, purpose)
+        if purpose == "rows":
+            written.append(table.count())
+        return table
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 2_000, raising=False)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4, leaf=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 4, 80))
+    assert len(written) > 1 and max(written) <= 4 * written[0]
+
+
 def test_every_tree_has_a_root_choice():
     for threshold, trees in ((0.8, near_dedup.TREES), (0.95, 40)):
         assert {tree for tree, _ in near_dedup._root_choices(threshold, trees)} == set(range(trees))

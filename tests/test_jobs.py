@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,91 @@ def test_admission_waits_survive_a_batch_without_rows_of_the_user(spark, tmp_pat
     assert got == [(0, "None", "j8", 0), (0, "u", "j0", 0), (1, "u", "j1", 1), (1, "w", "j20", 0), (2, "u", "j2", 2), (3, "w", "j23", 0)]
 
 
+class _State:
+    """A map state and a value state in memory that count what is asked of them."""
+
+    def __init__(self):
+        self.held, self.value, self.calls, self.timers = {}, None, 0, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    def registerTimer(self, _):  # noqa: N802
+        self.timers += 1
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return 1
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.calls += 1
+            if name == "updateValue":
+                self.held[key] = value
+            elif name == "removeKey":
+                del self.held[key]
+            elif name == "containsKey":
+                return key in self.held
+            elif name == "iterator":
+                return iter(list(self.held.items()))
+            return self.held.get(key)
+        return call
+
+
+class _Value:
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def _admissions(batches, max_jobs):
+    """What a plain replay of one user's batches of (id, status, run_ref, submitted, seq) admits."""
+    held, out = {}, []
+    for rows in batches:
+        for row in sorted(rows, key=lambda r: int(r[4])):
+            held[row[0]] = row
+        held = {k: r for k, r in held.items() if r[1] not in job_stream.rules.COMPLETED_STATUSES}
+        active = sum(r[1] in job_stream.rules.RUNNING_STATUSES for r in held.values())
+        queue = sorted((int(r[3]), int(r[4]), k) for k, r in held.items() if r[1] == "queued")
+        if queue and active < max_jobs and not held[queue[0][2]][2]:
+            job = queue[0][2]
+            held[job] = (job, "submitted", f"run-{job}", *held[job][3:])
+            out.append((job, active))
+    return out, set(held)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_admission_reads_and_writes_jobs_in_blocks(monkeypatch, block):
+    import json
+    import random
+    monkeypatch.setattr(job_stream, "BLOCK", block, raising=False)
+    rng, state, seq, batches, got = random.Random(3), _State(), 0, [], []
+    kinds = ["queued"] * 6 + ["submitted", "running", "succeeded", "failed", None]
+    for _ in range(12):
+        rows = []
+        for _ in range(300):
+            seq += 1
+            rows.append((f"j{rng.randrange(900)}", rng.choice(kinds), None, str(rng.randrange(50)), str(seq)))
+        batches.append(rows)
+    processor = job_stream.Admission(400, False)
+    processor.init(state)
+    for rows in batches:
+        part = pd.DataFrame(rows, columns=["id", "status", "run_ref", "submitted", "seq"], dtype=object)
+        for found in processor.handleInputRows(("u",), iter([part]), state):
+            got += zip(found["id"], found["active"])
+    want, still = _admissions(batches, 400)
+    assert got == want and len(want) > 6
+    if block == 256:
+        assert state.calls < sum(map(len, batches)) / 20
+    assert {job[0] for _, (jobs,) in state.held.items() for job in json.loads(jobs)} == still
+
+
 def test_a_replayed_batch_gives_what_it_gave_before(spark, tmp_path, monkeypatch):
     feed = str(tmp_path / "feed")
     for wave in range(3):

@@ -33,7 +33,7 @@ SEED_ROWS = 1024
 
 CODED = "key long, label long, cell long, near double, far double, width int, vector binary"
 PIECE = "cell long, rows int, width int, ids binary, labels binary, matrix binary"
-VISIT = "cell long, salt int, asked binary, ids binary, labels binary, floors binary, ceilings binary, targets binary, matrix binary"
+VISIT = "cell long, salt int, asked binary, ids binary, labels binary, floors binary, ceilings binary, targets binary, width int, matrix binary"
 HIT = "query_no long, kind int, target long, key long, score long"
 _LEAST = -(1 << 62)
 _SEED, _POSITIVES, _NEGATIVES = range(3)
@@ -198,21 +198,22 @@ def _route(books: Codebooks, dim: int, rows: dict[int, int], salts: dict[int, in
                             left -= rows[cell]
                 out, held = [], 0
                 for cell, who in visited.items():
-                    asked = _narrow(vectors[who]).astype(np.int64)
-                    row = [numbers[who], ids[who], labels[who], floors[who], ceilings[who], wanted[who], asked]
-                    packed = [x.astype(np.int64).tobytes() for x in row]
-                    out += [(cell, salt, *packed) for salt in range(salts[cell])]
-                    held += salts[cell] * sum(map(len, packed))
-                    if held >= 1 << 23:
-                        yield _visits(out)
-                        out, held = [], 0
+                    asked = _narrow(vectors[who])
+                    row = [numbers[who], ids[who], labels[who], floors[who], ceilings[who], wanted[who]]
+                    packed = [*(x.astype(np.int64).tobytes() for x in row), asked.itemsize, asked.tobytes()]
+                    for salt in range(salts[cell]):
+                        out.append((cell, salt, *packed))
+                        held += sum(map(len, packed[:-2])) + len(packed[-1])
+                        if held >= 1 << 23:
+                            yield _visits(out)
+                            out, held = [], 0
                 if out:
                     yield _visits(out)
     return run
 
 
 def _visits(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 6 + [pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)],
                                       names=[f.split()[0] for f in VISIT.split(", ")])
 
@@ -238,7 +239,7 @@ def _score(dim: int, stage: int, k: int, low_pct: int):
                     np.frombuffer(columns[n][i].as_py(), dtype=np.int64) for n in
                     ("ids", "labels", "asked", "q_ids", "q_labels", "floors", "ceilings", "targets"))
                 rows = _unpack(columns["width"][i].as_py(), columns["matrix"][i].as_py(), dim)
-                queries = np.frombuffer(columns["q_matrix"][i].as_py(), dtype=np.int64).reshape(len(asked), dim)
+                queries = _unpack(columns["q_width"][i].as_py(), columns["q_matrix"][i].as_py(), dim).astype(np.int64)
                 targets = targets.reshape(len(asked), -1)
                 scores = _products(queries, rows)
                 other = own[:, None] != ids
@@ -321,12 +322,15 @@ def hard_negatives(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
     queries = materialise(coded.filter(F.col("key") % every == 0).select(
         F.monotonically_increasing_id().alias("query_no"), "key", "label", "cell", "width", "vector"), "anchors")
 
+    routes = max(1, -(-queries.count() // CHUNK_QUERIES))
+
     def visit(asked: DataFrame, stage: int, k: int) -> DataFrame:
-        routed = (asked.repartitionByRange("cell", "query_no").sortWithinPartitions("cell")
+        """Visits grow with queries times cells, though Spark sees a few queries only: they are merged, never broadcast."""
+        routed = (asked.repartitionByRange(routes, "cell", "query_no").sortWithinPartitions("cell")
                   .select("query_no", "key", "label", "floor", "ceiling", "targets", "width", "vector")
                   .mapInArrow(_route(books, dim, held, salts, SEED_ROWS if stage == _SEED else None), VISIT)
-                  .withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "matrix": "q_matrix"}))
-        return routed.join(index, ["cell", "salt"]).drop("cell", "salt", "rows").mapInArrow(_score(dim, stage, k, low_pct), HIT)
+                  .withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "width": "q_width", "matrix": "q_matrix"}))
+        return routed.hint("merge").join(index, ["cell", "salt"]).drop("cell", "salt", "rows").mapInArrow(_score(dim, stage, k, low_pct), HIT)
 
     def ranked(hits: DataFrame, k: int) -> DataFrame:
         best = W.partitionBy("query_no", "kind", "target").orderBy(F.col("score").desc(), "key")

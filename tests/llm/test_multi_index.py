@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -65,6 +66,17 @@ def test_empty_tables(spark):
         assert multi_index.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect() == []
 
 
+def test_visits_are_not_broadcast(spark, monkeypatch):
+    """They grow with queries times cells, of which Spark's estimate knows nothing."""
+    plans, write = {}, multi_index.materialise
+    monkeypatch.setattr(multi_index, "materialise", lambda df, purpose: (
+        plans.update({purpose: df._jdf.queryExecution().sparkPlan().toString()}), write(df, purpose))[1])
+    got = multi_index.hard_negatives(spark.createDataFrame(vectors(5, 300, 8, 6, 3), SCHEMA), every=20, scale=16)
+    plans["result"] = got._jdf.queryExecution().sparkPlan().toString()
+    assert [len(re.findall(r"SortMergeJoin \[cell#\d+L?, salt#", plans[x])) for x in ("found", "result")] == [2, 1]
+    assert not re.search(r"BroadcastHashJoin \[cell#\d+L?, salt#", plans["found"] + plans["result"])
+
+
 def test_walk_goes_down_and_its_bounds_hold():
     rng = np.random.default_rng(4)
     rows = np.round(rng.normal(size=(500, 10)) * 50)

@@ -277,16 +277,17 @@ def cite_metric_values(docs: DataFrame, key: str, scope: str, text: str, metrics
     metrics(scope, ord, citation_id, value), ``ord`` unique in its scope; a form's citation is the one of its last row. Longer
     forms are cited first, then those of earlier rows. Which forms occur in which text, and where, is an equality join;
     the choice among them is a fold over each text's own places. Markers are never put inside markers. Texts of one
-    key must be one row; a null text stays null.
+    key must be one row; a null text stays null. Forms and chosen places are many times the rows they come from, which Spark's
+    estimates miss, so both joins are merges and nothing is broadcast.
     """
     hits = _number_texts(docs, key, scope, text).join(
-        metric_forms(metrics).withColumnRenamed("first", "row"), ["scope", "form"]).repartition("key")
+        metric_forms(metrics).withColumnRenamed("first", "row").hint("merge"), ["scope", "form"]).repartition("key")
     per_form = hits.groupBy("key", "form", "row", "citation_id").agg(
         F.array_sort(F.collect_list(F.struct("first", "past", "marked"))).alias("places"))
     form = F.struct((-F.length("form")).alias("size"), "row", F.concat(F.lit("[@"), "citation_id", F.lit("]")).alias("marker"), "places")
     per_doc = per_form.groupBy("key").agg(F.array_sort(F.collect_list(form)).alias("forms"))
     put = per_doc.select(F.col("key").alias("_key"), _chosen_places(F.col("forms")).alias("_put"))
-    joined = docs.join(put, F.col(key) == F.col("_key"), "left")
+    joined = docs.join(put.hint("merge"), F.col(key) == F.col("_key"), "left")
     n = F.size("_put")
     begin = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.try_element_at("_put", i)["place"])
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(

@@ -112,6 +112,16 @@ def test_metric_citations_in_dense_texts(spark):
         assert got[i] == naive_citations(text, metrics)
 
 
+def test_metric_citations_broadcast_nothing(spark):
+    """Printed forms and chosen places are many times the rows they come from."""
+    docs = spark.range(200).selectExpr("id", "id % 20 AS scope", "concat('at ', id, '.50 of 0.25') AS text")
+    values = spark.range(200).selectExpr("id % 20 AS scope", "id AS ord", "concat('E-', id) AS citation_id", "id + 0.5D AS value")
+    got = L.cite_metric_values(docs, "id", "scope", "text", values)
+    assert sum("[@E-" in r["cited"] for r in got.collect()) == 200
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") and "Broadcast" not in plan
+
+
 def test_render_and_restore_round_trip(spark):
     df = spark.createDataFrame([("see [@a-b] x", ["a-b", "k", "k"])], "t string, extra array<string>")
     row = df.select(C.render_markers(F.col("t"), F.col("extra"), True).alias("r")).first()["r"]

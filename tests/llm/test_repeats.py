@@ -69,6 +69,20 @@ def test_bytes(spark, monkeypatch, hot):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got)
 
 
+def test_copies_are_settled_where_they_are_found(spark, monkeypatch):
+    rng, tables, write = random.Random(6), {}, repeats.materialise
+    monkeypatch.setattr(repeats, "HOT_ROWS", 50)
+    monkeypatch.setattr(repeats, "materialise", lambda df, purpose: tables.setdefault(purpose, write(df, purpose)))
+    text = " ".join(f"w{rng.randrange(60)}" for _ in range(90))
+    docs = spark.createDataFrame([(i, text, "en", "r", 1) for i in range(400)] + [(400, text[30:] + " end", "en", "r", 1)], SCHEMA).coalesce(1)
+    got = fm_index.remove_repeated_words(docs, window=12)
+    assert {(r.n_removed, r.n_words) for r in got.collect() if r.doc_id < 400} == {(90, 90)}
+    segments = tables["segments"]  # one row of equal ones goes on, so no anchor of copies alone has many rows
+    assert segments.count() > 400 and segments.filter("twins < 2").groupBy("anchor", "body").count().agg({"count": "max"}).first()[0] == 1
+    assert tables["hot"].count() == 0
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert fm_index.remove_repeated_words(empty).count() == 0

@@ -181,7 +181,8 @@ def citation_details(models: DataFrame, artifacts: DataFrame, evidence: DataFram
                  code_symbol=F.col("symbol"))
     rows = runs.unionByName(files).unionByName(code)
     last = F.max_by(F.struct(*DETAIL_FIELDS), F.struct("_o", "artifact_path"))
-    return rows.groupBy("doc_id", "citation_id").agg(last.alias("d")).select("doc_id", "citation_id", "d.*")
+    # Dealt before they are grouped: rows of one id seldom meet before, and a task would sort for the join and for the ids at once.
+    return rows.repartition("doc_id", "citation_id").groupBy("doc_id", "citation_id").agg(last.alias("d")).select("doc_id", "citation_id", "d.*")
 
 
 FORMS_PER_VALUE = 32  # more than the printed forms of one value

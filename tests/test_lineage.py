@@ -122,6 +122,18 @@ def test_metric_citations_broadcast_nothing(spark):
     assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") and "Broadcast" not in plan
 
 
+def test_citation_details_are_dealt_before_they_are_sorted(spark):
+    """The task that joins models with artifacts holds no second sort of all its rows by id."""
+    models = spark.createDataFrame([(1, i, f"r{i}", "m", "7", "E x", i != 2) for i in range(4)], "doc_id int, ord int, run_id string, "
+                                   "name string, experiment_id string, experiment_name string, has_keys boolean")
+    files = spark.createDataFrame([("r1", "a/p.csv"), ("r1", "b/p.csv"), ("r0", "z/p.csv")], "run_id string, path string")
+    code = spark.createDataFrame([(1, 1, "t.py", "f")], "doc_id int, ord int, path string, symbol string")
+    got = L.citation_details(models, files, code)
+    assert sorted((r.citation_id, r.run_id, r.artifact_path) for r in got.collect()) == [
+        ("Code:t.py#f", None, None), ("E_x-m", "r3", None), ("E_x-m:p.csv", "r1", "b/p.csv")]
+    assert re.search(r"Aggregate [^\n]*\n[^\n]*RepartitionByExpression \[doc_id", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_render_and_restore_round_trip(spark):
     df = spark.createDataFrame([("see [@a-b] x", ["a-b", "k", "k"])], "t string, extra array<string>")
     row = df.select(C.render_markers(F.col("t"), F.col("extra"), True).alias("r")).first()["r"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import features as X, metrics as M, models as L, neighbours
 from attesta.operators.neighbours import nearest_neighbours
+from attesta.plans import modelling
 
 
 def test_bins_are_right_closed(spark):
@@ -184,6 +185,30 @@ def test_models_learn_a_clear_signal(spark):
         assert right >= 390 and values[0] > values[1]
 
 
+def test_price_grid_boosts_to_its_end(spark, monkeypatch):
+    grids, stages = [], []
+
+    def grid_only(df, key, target, family, experiments, categorical):
+        grids.append(experiments)
+        return spark.createDataFrame([("run-0", "a", "None", {"mae": 1.0})], "run_id string, name string, current_stage string, metrics map<string,double>")
+
+    class Recorded:
+        def __init__(self, features, stage):
+            stages.append(stage)
+
+        def fit(self, df):
+            return df
+
+    monkeypatch.setattr(L, "experiment_grid", grid_only)
+    modelling.g29(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(L, "_pipeline", Recorded)
+    boosted, = (e for e in grids[0] if e["name"] == "boosted")
+    boosted["fit"](spark.createDataFrame([(1.0, 2.0)], "x double, y double"), ["x"], "y")
+    stage, = stages
+    assert (stage.getMaxIter(), stage.getMaxDepth(), stage.getStepSize(), stage.getMinInstancesPerNode()) == (150, 5, 0.1, 10)
+    assert stage.getSubsamplingRate() == 1.0
+
+
 def test_price_errors_only_with_an_actual(spark):
     df = spark.createDataFrame([(105.9, 100.0), (-3.7, 0.0)], "p double, price double")
     rows = L.price_errors(df, "p", "price").collect()

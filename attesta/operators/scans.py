@@ -21,6 +21,11 @@ def range_count(df: DataFrame) -> int:
     return ranges
 
 
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over as many tasks as shuffles have, however few bytes it is now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _steps_below(steps: Column, value: Column, lo: int, hi: int) -> Column:
     """How many of the sorted ``steps`` are below ``value``: a binary search spelled as nested conditions, so that it
     compiles with the rest of the projection."""

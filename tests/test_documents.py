@@ -57,6 +57,36 @@ def test_sections_without_models_stay_generic(spark):
     assert [r["number"] for r in D.order_sections(out.filter("spec_id = 1")).collect()] == order
 
 
+def test_sections_meet_models_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "MODELS_PER_ROW", 2)
+    body = json.dumps({"title": "t", "sections": ["A", "B: per_model", {"name": "C", "per_model": True, "hint": "own"}], "hints": {"A": "a", "C": "c"}})
+    projects = ["p", "q", "r", None, "p"]
+    specs = spark.createDataFrame([(i, x, body) for i, x in enumerate(projects)] + [(9, "p", json.dumps({"title": "none"}))],
+                                  "spec_id int, project string, body string")
+    models = [("p", 7, "g", "run7"), ("p", 1, "a", "run1"), ("p", 5, None, "run5"), ("p", 3, "c", None), ("p", 6, "f", "run6"), ("q", 2, "b", "run2"),
+              ("z", 1, "z", "runz"), (None, 1, "n", "runn")]
+    out = D.expand_sections(D.parse_specs(specs), spark.createDataFrame(models, "project string, ord int, name string, run_id string"))
+    want = []
+    for i, x in enumerate(projects):
+        of = sorted(m[1:] for m in models if x is not None and m[0] == x)
+        want.append((i, "1", "A", None, None, "a"))
+        for pos, name, hint in (("2", "B", None), ("3", "C", "own")):
+            want += [(i, f"{pos}.{j}", name, m[1], m[2], hint) for j, m in enumerate(of, 1)] or [(i, pos, name, None, None, hint)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_many_specs_of_few_models_are_expanded_by_many_tasks(spark):
+    body = json.dumps({"title": "t", "sections": ["A: per_model", "B: per_model"]})
+    specs = spark.range(400, numPartitions=4).select(F.col("id").alias("spec_id"), F.lit("p").alias("project"), F.concat(
+        F.lit(body), F.repeat(F.lit(" "), (F.col("id") % 2).cast("int"))).alias("body"))
+    models = spark.createDataFrame([("p", 1, "m", "run")], "project string, ord int, name string, run_id string")
+    out = D.expand_sections(D.parse_specs(specs), models)
+    tasks = [r["count"] for r in out.filter("model_name = 'm'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 800 and max(tasks) < 400
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as_json(") == 1  # bodies are read once
+
+
 def test_first_number_in_json(spark):
     cases = [("1", 1.0), ("true", 1.0), ("null", None), ('"2_5"', 25.0), ('"nan x"', None), ('{"9": "x", "b": [null, "7"]}', 7.0),
              ('["a:", "8"]', 8.0), ('-1.5e2', -150.0), ('{"a\\"": 1}', 1.0), ("[]", None), ('"inf"', float("inf"))]

@@ -107,7 +107,7 @@ def f03(spark, sf_dir):
 @query("f04_order_sections", WITH + f""", {_EXPANDED} SELECT spec_id, number, row_number() OVER (PARTITION BY spec_id ORDER BY
   string_split(number, '.')[1]::INT, coalesce(TRY_CAST(string_split(number, '.')[2] AS INT), 0)) AS position FROM expanded""")
 def f04(spark, sf_dir):
-    return D.section_positions(_expanded(spark, sf_dir), "spec_id").select("spec_id", "number", "position")
+    return D.section_positions(_expanded(spark, sf_dir), "spec_id", dealt=True).select("spec_id", "number", "position")
 
 
 PLANS = """SELECT l_orderkey, l_partkey, l_linenumber, concat('Part ', cast(l_partkey AS string)) AS name,

@@ -1,8 +1,9 @@
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from attesta.operators import documents as D
+from attesta.plans import documents as plans
 
 
 def test_spec_errors(spark):
@@ -87,6 +88,26 @@ def test_many_specs_of_few_models_are_expanded_by_many_tasks(spark):
     assert plan.count("as_json(") == 1  # bodies are read once
 
 
+def test_positions_with_ties_and_odd_numbers(spark):
+    numbers = ["10", "2.10", "2.9", "2", "1.3.7", "1.0", "1", "1", "2.2000", "2.1000", "2.999"]
+    df = spark.createDataFrame([(d, n) for d in ("a", "b", None) for n in numbers[:len(numbers) if d == "a" else 8]], "doc string, number string")
+    for dealt in (False, True):
+        out = D.section_positions(df, "doc", dealt=dealt)
+        assert dict(out.dtypes)["position"] == "bigint" and out.columns == ["doc", "number", "position"]
+        for d in ("a", "b", None):
+            got = sorted((r["position"], [int(x) for x in [*r["number"].split("."), "0"][:2]]) for r in out.filter(F.col("doc").eqNullSafe(d)).collect())
+            keys = [k for _, k in got]
+            assert [p for p, _ in got] == list(range(1, len(numbers) + 1 if d == "a" else 9)) and keys == sorted(keys)
+
+
+def test_expanded_sections_are_numbered_where_they_are_made(spark):
+    out = plans.f04(spark, "/root/testdata/sf0.001")
+    above = out._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Window" in above and "Join" not in above and "Exchange" not in above
+    rows = out.select("spec_id", "position", F.count(F.lit(1)).over(Window.partitionBy("spec_id")).alias("n"))
+    assert rows.agg(F.count_distinct("spec_id", "position"), F.max(F.col("position") - F.col("n"))).first()[:] == (out.count(), 0)
+
+
 def test_first_number_in_json(spark):
     cases = [("1", 1.0), ("true", 1.0), ("null", None), ('"2_5"', 25.0), ('"nan x"', None), ('{"9": "x", "b": [null, "7"]}', 7.0),
              ('["a:", "8"]', 8.0), ('-1.5e2', -150.0), ('{"a\\"": 1}', 1.0), ("[]", None), ('"inf"', float("inf"))]
